@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.jaccard_join import op3_jaccard_join
 from corpusloom.llm.packing import op10_packing
+from corpusloom.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op10_packing": op10_packing,
 }
