@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.jaccard_join import op3_jaccard_join
+from corpusloom.llm.line_dedup import op7_line_dedup
 from corpusloom.llm.packing import op10_packing
+from corpusloom.llm.pseudonyms import op2_pseudonyms
 from corpusloom.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
 
