@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.byte_bpe import op4_byte_bpe
 from corpusloom.llm.jaccard_join import op3_jaccard_join
 from corpusloom.llm.line_dedup import op7_line_dedup
 from corpusloom.llm.packing import op10_packing
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_byte_bpe": op4_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
