@@ -11,6 +11,7 @@ from corpusloom.llm.jaccard_join import op3_jaccard_join
 from corpusloom.llm.line_dedup import op7_line_dedup
 from corpusloom.llm.packing import op10_packing
 from corpusloom.llm.pseudonyms import op2_pseudonyms
+from corpusloom.llm.suffix_dedup import op6_suffix_dedup
 from corpusloom.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pseudonyms": op2_pseudonyms,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
