@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.byte_bpe import op4_byte_bpe
+from corpusloom.llm.hilbert_search import op8_hilbert_search
 from corpusloom.llm.jaccard_join import op3_jaccard_join
 from corpusloom.llm.line_dedup import op7_line_dedup
 from corpusloom.llm.packing import op10_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_hilbert_search": op8_hilbert_search,
     "op10_packing": op10_packing,
 }
 
