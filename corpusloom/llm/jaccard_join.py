@@ -7,9 +7,13 @@ documents share come last, the others by hash. Two sets of similarity t share a
 1. Equal sets form a class, classes with the same prefix and size form a group; a group's prefix is
    shuffled once, by shingle.
 2. Among the groups that share a shingle, each is paired with one leader of its size band only. These few
-   pairs are expanded to classes and verified on whole texts; verified links give first components.
+   pairs are expanded to classes and verified on whole texts; verified links give first components. A second
+   round does the same across components, with sixteen leaders in turn.
 3. Pairs that still lie in different components and pass the size and position filters are verified
    too, so no link between different components is lost, and pairs inside one need no work.
+
+Before texts are read, pairs are filtered by parity sketches: each element of the symmetric difference flips
+one bit, so more differing bits than the similarity allows elements rule a pair out for certain.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import blocks, components, materialize, mix64, row_key, shingle_sets, signed, table
 
-_SIGN = "rk long, doc_id long, n int, ck long, gkey long, prefix array<long>"
+_SIGN = "rk long, doc_id long, n int, ck long, gkey long, prefix array<long>, sketch binary"
 
 
 def _common_shingles(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +65,20 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """Parities of the elements' buckets, four to eight buckets for an element."""
+    bits = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the size of the symmetric difference of the sketched sets; the longer sketch is folded first."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sign(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Size, class key, group key and prefix of every row; a batch carries a group's prefix once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -74,6 +92,7 @@ def _sign(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, n
             ck = np.zeros(len(sets), dtype=np.uint64)
             gkey = np.zeros(len(sets), dtype=np.uint64)
             prefixes: list[np.ndarray | None] = []
+            sketches = [parity_sketch(x) if len(x) else None for x in sets]
             every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             ranks = np.zeros(len(every), dtype=np.int64)
             if len(heavy):
@@ -100,8 +119,8 @@ def _sign(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, n
             if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, type=pa.int32()), pa.array(signed(ck)), pa.array(signed(gkey)), pa.array(prefixes, type=pa.list_(pa.int64()))],
-                names=["rk", "doc_id", "n", "ck", "gkey", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(n, type=pa.int32()), pa.array(signed(ck)), pa.array(signed(gkey)), pa.array(prefixes, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())],
+                names=["rk", "doc_id", "n", "ck", "gkey", "prefix", "sketch"],
             )
 
     return docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, _SIGN)
@@ -114,7 +133,11 @@ def _can_link(n, i, m, j, percent):  # noqa: ANN001  numpy arrays or Columns
 
 
 def _leaders(percent: int):  # noqa: ANN202
-    """For rows (token, band, pos, n, gkey) sorted by token, band, pos: those whose token others share, each with its leader."""
+    """For rows (token, band, pos, n, key, root) sorted by token and band: those whose token others share, each with its leader.
+
+    The leader of a token and band is the first row; it itself follows the leader of the band before. Rows with
+    the leader's root, or too far from it in size or position, have none.
+    """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row waits for the next one, which tells whether its token is shared
@@ -124,47 +147,64 @@ def _leaders(percent: int):  # noqa: ANN202
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             held = [c[-1:] for c in cols]
-            out, state = _led([c[:-1] for c in cols], held[0][0], state, percent)
-            if out is not None:
-                yield out
-        if held is not None:
-            out, _ = _led(held, None, state, percent)
-            if out is not None:
+            if len(cols[0]) > 1:
+                out, state = _led([c[:-1] for c in cols], held[0][0], state, percent)
                 yield out
+        if held is not None and len(held[0]):
+            yield _led(held, None, state, percent)[0]
 
     return lead
 
 
 def _led(cols, next_token, state, percent):  # noqa: ANN001, ANN202
-    """The rows to give out and the state after them: the last row's (token, band, g) and its band's leader (g, n, pos)."""
-    token, band, pos, n, g = cols
-    if not len(token):
-        return None, state
+    """The rows to give out and the state after them: the last row's (token, band, key) and its band's leader (n, pos, key, root)."""
+    token, band, pos, n, key, root = cols
     last, leader = state
     new_token = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
     new_band = new_token | np.concatenate([[last is None or band[0] != last[1]], band[1:] != band[:-1]])
-    again = ~new_token & np.concatenate([[last is not None and g[0] == last[2]], g[1:] == g[:-1]])  # the same group from another batch
+    again = ~new_token & np.concatenate([[last is not None and key[0] == last[2]], key[1:] == key[:-1]])  # the same from another batch
     shared = ~new_token
     shared[:-1] |= ~new_token[1:]
     shared[-1] |= next_token is not None and next_token == token[-1]
     at = np.maximum.accumulate(np.where(new_band, np.arange(len(token)), -1))
-    own = [np.where(at >= 0, x[np.maximum(at, 0)], 0 if leader is None else leader[k]) for k, x in enumerate((g, n, pos))]
+    own = [np.where(at >= 0, x[np.maximum(at, 0)], 0 if leader is None else leader[k]).astype(np.int64) for k, x in enumerate((n, pos, key, root))]
     heads = np.flatnonzero(new_band & ~new_token)  # these follow the leader of the band before
     to = [x.copy() for x in own]
-    for k in range(3):
+    for k in range(4):
         to[k][heads] = np.where(heads > 0, own[k][heads - 1], 0 if leader is None else leader[k])
-    ok = _can_link(n.astype(np.int64), pos.astype(np.int64), to[1].astype(np.int64), to[2].astype(np.int64), percent) & ~new_token & (to[0] != g)
+    ok = _can_link(n.astype(np.int64), pos.astype(np.int64), to[0], to[1], percent) & ~new_token & (to[3] != root)
     keep = shared & ~again
     out = pa.RecordBatch.from_arrays(
-        [pa.array(x[keep]) for x in (token, band, pos, n, g)] + [pa.array(to[0][keep].astype(np.int64), mask=~ok[keep])],
-        names=["token", "band", "pos", "n", "gkey", "leader"],
+        [pa.array(x[keep]) for x in (token, band, pos, n, key)] + [pa.array(to[2][keep], mask=~ok[keep])],
+        names=["token", "band", "pos", "n", "key", "leader"],
     )
-    return out, ((token[-1], band[-1], g[-1]), tuple(x[-1] for x in own))
+    return out, ((token[-1], band[-1], key[-1]), tuple(x[-1] for x in own))
+
+
+def _led_rows(rows: DataFrame, percent: int, leaders: int) -> DataFrame:
+    """``rows`` (token, band, pos, n, key, root) by token, with one of ``leaders`` leaders of each family, which one by the token."""
+    turn = F.col("key").bitwiseXOR(F.col("token")).bitwiseAND(F.lit(leaders - 1))
+    rows = rows.repartition("token").sortWithinPartitions("token", "band", turn, "key").select("token", "band", "pos", "n", "key", "root")
+    return rows.mapInArrow(_leaders(percent), "token long, band int, pos int, n int, key long, leader long")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            ok = [sketch_distance(p, q) * (100 + percent) <= (100 - percent) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("ck").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 8) -> DataFrame:
     """Of class pairs (a, b), those whose sets reach the similarity; each text is sent once for each pair it is the b of."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    pairs = materialize(_plausible(pairs, classes, percent), "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     wanted = materialize(pairs.select(F.col("a").alias("ck")).union(pairs.select(F.col("b").alias("ck"))).distinct().join(classes.select("ck", "rk"), "ck"), "wanted")
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
     texts = materialize(keyed.join(wanted, "rk").select("ck", "text"), "texts")
@@ -189,6 +229,14 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     return together.mapInArrow(compare, "a long, b long")
 
 
+def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` (with ck) of tokens that classes of several components hold, with their roots; and each class's root."""
+    placed = classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "gkey", F.coalesce("root", "ck").alias("root"))
+    rows = rows.join(placed.select("ck", "root"), "ck")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return materialize(rows.join(mixed, "token").select("token", "band", "pos", "n", "ck", "root"), "mixed"), placed
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, common: int = 1 << 18) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links_class.
 
@@ -201,30 +249,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     docs = docs.select("doc_id", "text")
     signs = materialize(_sign(docs, words, percent, _common_shingles(docs, words, common)), "signs")
     # extra work for equal sets ends here: from now on there is one row for each class
-    classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey")), "classes")
-    tokens = signs.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "n", "gkey", F.floor(F.log(F.col("n")) / np.log(1.25)).cast("int").alias("band"))
-    tokens = tokens.select("token", "band", "pos", "n", "gkey").repartition("token").sortWithinPartitions("token", "band", "pos", "gkey")
-    live = materialize(tokens.mapInArrow(_leaders(percent), "token long, band int, pos int, n int, gkey long, leader long"), "live")
+    classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")), "classes")
+    tokens = signs.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("gkey").alias("key"), F.col("gkey").alias("root"), F.floor(F.log(F.col("n")) / np.log(1.25)).cast("int").alias("band"))
+    live = materialize(_led_rows(tokens, percent, 1), "live")
     # star pairs: each group with its leaders, and the classes of one group with the first of them
     groups = classes.groupBy("gkey").agg(F.min("ck").alias("first_ck"))
-    stars = live.where("leader is not null").select("gkey", "leader").distinct()
+    stars = live.where("leader is not null").select(F.col("key").alias("gkey"), "leader").distinct()
     stars = stars.join(groups, "gkey").withColumnRenamed("first_ck", "b").join(groups.select(F.col("gkey").alias("leader"), F.col("first_ck").alias("a")), "leader").select("a", "b")
     inner = classes.join(groups, "gkey").where("ck <> first_ck").select(F.col("first_ck").alias("a"), F.col("ck").alias("b"))
-    first = materialize(_verify(materialize(stars.union(inner), "pairs"), classes, docs, words, percent), "links")
-    roots = components(first)
-    # the rest: pairs across components that the filters let through
-    placed = classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "gkey", "n", F.coalesce("root", "ck").alias("root"))
-    rows = live.select("token", "band", "pos", "gkey").join(placed, "gkey")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    rows = materialize(rows.join(mixed, "token").select("token", "band", "pos", "n", "ck", "root"), "mixed")
+    links = materialize(_verify(stars.union(inner), classes, docs, words, percent), "links")
+    # from here on only shingles that several components share matter
+    rows = live.select("token", "band", "pos", "n", F.col("key").alias("gkey")).join(classes.select("gkey", "ck"), "gkey").select("token", "band", "pos", "n", "ck")
+    rows, placed = _between(rows, classes, components(links))
+    turns = _led_rows(rows.select("token", "band", "pos", "n", F.col("ck").alias("key"), "root"), percent, 16).where("leader is not null")
+    more = turns.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    links = links.union(materialize(_verify(more, classes, docs, words, percent), "links"))
+    rows, placed = _between(rows.drop("root"), classes, components(links))
+    # the rest: every pair across components that the filters let through
     far = rows.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("pos").alias("i"), F.col("n").alias("x"), F.col("ck").alias("b"), F.col("root").alias("root_b"), F.col("band").alias("own"))
     across = rows.join(far, ["token", "band"]).where(
         (F.col("root") != F.col("root_b")) & ((F.col("own") != F.col("band")) | (F.col("ck") < F.col("b"))) & _can_link(F.col("n"), F.col("pos"), F.col("x"), F.col("i"), percent)
     )
     within = placed.join(placed.select("gkey", F.col("ck").alias("b"), F.col("root").alias("root_b")), "gkey").where("root < root_b").select(F.col("ck").alias("a"), "b")
-    rest = materialize(across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    links = first.union(_verify(rest, classes, docs, words, percent))
-    roots = components(links)
+    rest = across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = components(links.union(_verify(rest, classes, docs, words, percent)))
     named = classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "root").select("ck", "component_id")

@@ -10,8 +10,10 @@ from corpusloom.llm.byte_bpe import op4_byte_bpe
 from corpusloom.llm.hilbert_search import op8_hilbert_search
 from corpusloom.llm.jaccard_join import op3_jaccard_join
 from corpusloom.llm.line_dedup import op7_line_dedup
+from corpusloom.llm.media import op9_media_columns
 from corpusloom.llm.packing import op10_packing
 from corpusloom.llm.pseudonyms import op2_pseudonyms
+from corpusloom.llm.quality import op5_quality
 from corpusloom.llm.suffix_dedup import op6_suffix_dedup
 from corpusloom.llm.toxicity import op1_toxicity
 
@@ -20,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pseudonyms": op2_pseudonyms,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_hilbert_search": op8_hilbert_search,
+    "op9_media_columns": op9_media_columns,
     "op10_packing": op10_packing,
 }
 
