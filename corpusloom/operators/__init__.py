@@ -1 +1 @@
-
+"""Operators on messages, graphs, retrieval, code and archives."""
