@@ -8,7 +8,7 @@ documents share come last, the others by hash. Two sets of similarity t share a
    shuffled once, by shingle.
 2. Among the groups that share a shingle, each is paired with one leader of its size band only. These few
    pairs are expanded to classes and verified on whole texts; verified links give first components. A second
-   round does the same across components, with sixteen leaders in turn.
+   round pairs classes of different components with leaders and neighbours that change from shingle to shingle.
 3. Pairs that still lie in different components and pass the size and position filters are verified
    too, so no link between different components is lost, and pairs inside one need no work.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import blocks, components, materialize, mix64, row_key, shingle_sets, signed, table
 
-_SIGN = "rk long, doc_id long, n int, ck long, gkey long, prefix array<long>, sketch binary"
+_SIGN = "rk long, doc_id long, n int, ck long, gkey long, prefix array<long>, sketch binary, bits array<long>"
 
 
 def _common_shingles(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +65,12 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def parity_sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements' buckets, four to eight buckets for an element."""
-    bits = 1 << max(6, (4 * len(elements) - 1).bit_length())
+_SHORT = 512  # bits of the short sketch, which goes along in the last join
+
+
+def parity_sketch(elements: np.ndarray, bits: int = 0) -> bytes:
+    """Parities of the elements' ``bits`` buckets, or of four to eight buckets for an element."""
+    bits = bits or 1 << max(6, (4 * len(elements) - 1).bit_length())
     return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -93,6 +96,7 @@ def _sign(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, n
             gkey = np.zeros(len(sets), dtype=np.uint64)
             prefixes: list[np.ndarray | None] = []
             sketches = [parity_sketch(x) if len(x) else None for x in sets]
+            short = [np.frombuffer(parity_sketch(x, _SHORT), dtype=np.int64) if len(x) else None for x in sets]
             every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             ranks = np.zeros(len(every), dtype=np.int64)
             if len(heavy):
@@ -119,8 +123,8 @@ def _sign(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, n
             if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, type=pa.int32()), pa.array(signed(ck)), pa.array(signed(gkey)), pa.array(prefixes, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())],
-                names=["rk", "doc_id", "n", "ck", "gkey", "prefix", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, type=pa.int32()), pa.array(signed(ck)), pa.array(signed(gkey)), pa.array(prefixes, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary()), pa.array(short, type=pa.list_(pa.int64()))],
+                names=["rk", "doc_id", "n", "ck", "gkey", "prefix", "sketch", "bits"],
             )
 
     return docs.select(row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, _SIGN)
@@ -132,11 +136,12 @@ def _can_link(n, i, m, j, percent):  # noqa: ANN001  numpy arrays or Columns
     return ((n - i) * (100 + percent) >= need) & ((m - j) * (100 + percent) >= need) & (n * percent <= m * 100) & (m * percent <= n * 100)
 
 
-def _leaders(percent: int):  # noqa: ANN202
+def _leaders(percent: int, beside: int):  # noqa: ANN202
     """For rows (token, band, pos, n, key, root) sorted by token and band: those whose token others share, each with its leader.
 
     The leader of a token and band is the first row; it itself follows the leader of the band before. Rows with
-    the leader's root, or too far from it in size or position, have none.
+    the leader's root, or too far from it in size or position, have none. With ``beside``, only pairs (a, b) are
+    given out: each row with its leader and with so many rows before it.
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +153,15 @@ def _leaders(percent: int):  # noqa: ANN202
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             held = [c[-1:] for c in cols]
             if len(cols[0]) > 1:
-                out, state = _led([c[:-1] for c in cols], held[0][0], state, percent)
+                out, state = _led([c[:-1] for c in cols], held[0][0], state, percent, beside)
                 yield out
         if held is not None and len(held[0]):
-            yield _led(held, None, state, percent)[0]
+            yield _led(held, None, state, percent, beside)[0]
 
     return lead
 
 
-def _led(cols, next_token, state, percent):  # noqa: ANN001, ANN202
+def _led(cols, next_token, state, percent, beside):  # noqa: ANN001, ANN202
     """The rows to give out and the state after them: the last row's (token, band, key) and its band's leader (n, pos, key, root)."""
     token, band, pos, n, key, root = cols
     last, leader = state
@@ -173,19 +178,32 @@ def _led(cols, next_token, state, percent):  # noqa: ANN001, ANN202
     for k in range(4):
         to[k][heads] = np.where(heads > 0, own[k][heads - 1], 0 if leader is None else leader[k])
     ok = _can_link(n.astype(np.int64), pos.astype(np.int64), to[0], to[1], percent) & ~new_token & (to[3] != root)
+    after = ((token[-1], band[-1], key[-1]), tuple(x[-1] for x in own))
+    if beside:
+        found = [(to[2][ok], key[ok])]
+        for k in range(1, min(beside, len(token) - 1) + 1):
+            near = (token[k:] == token[:-k]) & (band[k:] == band[:-k]) & (root[k:] != root[:-k])
+            near &= _can_link(n[k:].astype(np.int64), pos[k:].astype(np.int64), n[:-k].astype(np.int64), pos[:-k].astype(np.int64), percent)
+            found.append((key[:-k][near], key[k:][near]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"]), after
     keep = shared & ~again
     out = pa.RecordBatch.from_arrays(
         [pa.array(x[keep]) for x in (token, band, pos, n, key)] + [pa.array(to[2][keep], mask=~ok[keep])],
         names=["token", "band", "pos", "n", "key", "leader"],
     )
-    return out, ((token[-1], band[-1], key[-1]), tuple(x[-1] for x in own))
+    return out, after
+
+
+def _led_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (token, band, pos, n, key, root) whose token others share, each with the leader of its token and band."""
+    rows = rows.repartition("token").sortWithinPartitions("token", "band", "key").select("token", "band", "pos", "n", "key", "root")
+    return rows.mapInArrow(_leaders(percent, 0), "token long, band int, pos int, n int, key long, leader long")
 
 
-def _led_rows(rows: DataFrame, percent: int, leaders: int) -> DataFrame:
-    """``rows`` (token, band, pos, n, key, root) by token, with one of ``leaders`` leaders of each family, which one by the token."""
-    turn = F.col("key").bitwiseXOR(F.col("token")).bitwiseAND(F.lit(leaders - 1))
-    rows = rows.repartition("token").sortWithinPartitions("token", "band", turn, "key").select("token", "band", "pos", "n", "key", "root")
-    return rows.mapInArrow(_leaders(percent), "token long, band int, pos int, n int, key long, leader long")
+def _led_pairs(rows: DataFrame, percent: int, beside: int) -> DataFrame:
+    """Pairs across roots of rows that share a token: each with a leader and neighbours that change from token to token."""
+    rows = rows.repartition("token").sortWithinPartitions("token", "band", F.xxhash64("key", "token")).select("token", "band", "pos", "n", "key", "root")
+    return rows.mapInArrow(_leaders(percent, beside), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -249,9 +267,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     docs = docs.select("doc_id", "text")
     signs = materialize(_sign(docs, words, percent, _common_shingles(docs, words, common)), "signs")
     # extra work for equal sets ends here: from now on there is one row for each class
-    classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
     tokens = signs.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("gkey").alias("key"), F.col("gkey").alias("root"), F.floor(F.log(F.col("n")) / np.log(1.25)).cast("int").alias("band"))
-    live = materialize(_led_rows(tokens, percent, 1), "live")
+    live = materialize(_led_rows(tokens, percent), "live")
     # star pairs: each group with its leaders, and the classes of one group with the first of them
     groups = classes.groupBy("gkey").agg(F.min("ck").alias("first_ck"))
     stars = live.where("leader is not null").select(F.col("key").alias("gkey"), "leader").distinct()
@@ -261,14 +279,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     # from here on only shingles that several components share matter
     rows = live.select("token", "band", "pos", "n", F.col("key").alias("gkey")).join(classes.select("gkey", "ck"), "gkey").select("token", "band", "pos", "n", "ck")
     rows, placed = _between(rows, classes, components(links))
-    turns = _led_rows(rows.select("token", "band", "pos", "n", F.col("ck").alias("key"), "root"), percent, 16).where("leader is not null")
-    more = turns.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    more = _led_pairs(rows.select("token", "band", "pos", "n", F.col("ck").alias("key"), "root"), percent, 3)
     links = links.union(materialize(_verify(more, classes, docs, words, percent), "links"))
     rows, placed = _between(rows.drop("root"), classes, components(links))
     # the rest: every pair across components that the filters let through
-    far = rows.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("pos").alias("i"), F.col("n").alias("x"), F.col("ck").alias("b"), F.col("root").alias("root_b"), F.col("band").alias("own"))
+    rows = rows.join(classes.select("ck", "bits"), "ck")
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _SHORT // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
+    far = rows.select("token", F.col("bits").alias("bits_b"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("pos").alias("i"), F.col("n").alias("x"), F.col("ck").alias("b"), F.col("root").alias("root_b"), F.col("band").alias("own"))
     across = rows.join(far, ["token", "band"]).where(
         (F.col("root") != F.col("root_b")) & ((F.col("own") != F.col("band")) | (F.col("ck") < F.col("b"))) & _can_link(F.col("n"), F.col("pos"), F.col("x"), F.col("i"), percent)
+        & (differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("x")))
     )
     within = placed.join(placed.select("gkey", F.col("ck").alias("b"), F.col("root").alias("root_b")), "gkey").where("root < root_b").select(F.col("ck").alias("a"), "b")
     rest = across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
