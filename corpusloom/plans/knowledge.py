@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -482,14 +482,15 @@ def _written(spark: SparkSession, d: str, line, name: str) -> str:  # noqa: ANN0
     return path
 
 
-_SID = F.concat(F.lit("s"), F.col("conv_id"))
+def _sid() -> Column:
+    return F.concat(F.lit("s"), F.col("conv_id"))
 
 
 @query("read_transcripts_claude", "SELECT 's' || conv_id AS session_id, turn AS seq, role, CASE WHEN turn % 2 = 0 THEN text ELSE text || chr(10) || 'more' END AS text FROM conversations WHERE role IN ('user', 'assistant')")
 def read_transcripts_claude(spark: SparkSession, d: str) -> DataFrame:
     block = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
-    plain = F.struct(F.col("role").alias("type"), _SID.alias("sessionId"), F.col("turn").alias("seq"), F.struct(F.col("text").alias("content")).alias("message"))
-    blocks = F.struct(F.col("role").alias("type"), _SID.alias("sessionId"), F.col("turn").alias("seq"), F.struct(F.array(block(F.col("text")), block(F.lit("more"))).alias("content")).alias("message"))
+    plain = F.struct(F.col("role").alias("type"), _sid().alias("sessionId"), F.col("turn").alias("seq"), F.struct(F.col("text").alias("content")).alias("message"))
+    blocks = F.struct(F.col("role").alias("type"), _sid().alias("sessionId"), F.col("turn").alias("seq"), F.struct(F.array(block(F.col("text")), block(F.lit("more"))).alias("content")).alias("message"))
     path = fresh_path(spark, "claude")
     table(spark, d, "conversations").select(F.when(F.col("turn") % 2 == 0, F.to_json(plain)).otherwise(F.to_json(blocks)).alias("value")).write.text(path)
     return S.read_transcripts_claude(spark, path)
@@ -498,14 +499,14 @@ def read_transcripts_claude(spark: SparkSession, d: str) -> DataFrame:
 @query("read_transcripts_codex", "SELECT 'codex:s' || conv_id AS session_id, turn AS seq, role, text || chr(10) AS text FROM conversations WHERE role IN ('user', 'assistant')")
 def read_transcripts_codex(spark: SparkSession, d: str) -> DataFrame:
     content = F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), "text"), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")))
-    line = F.struct(F.lit("response_item").alias("type"), F.struct("role", content.alias("content"), _SID.alias("session"), F.col("turn").alias("seq")).alias("payload"))
+    line = F.struct(F.lit("response_item").alias("type"), F.struct("role", content.alias("content"), _sid().alias("session"), F.col("turn").alias("seq")).alias("payload"))
     return S.read_transcripts_codex(spark, _written(spark, d, line, "codex"))
 
 
 @query("read_transcripts_buddy", "SELECT 'codebuddy:s' || conv_id AS session_id, turn AS seq, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
 def read_transcripts_buddy(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("<system-reminder>a</system-reminder><environment_context>b</environment_context> <user_query>"), "text", F.when(F.col("turn") % 3 == 0, "").otherwise("</user_query> tail"))
-    line = F.struct(F.lit("message").alias("type"), "role", text.alias("content"), _SID.alias("sessionId"), F.col("turn").alias("seq"))
+    line = F.struct(F.lit("message").alias("type"), "role", text.alias("content"), _sid().alias("sessionId"), F.col("turn").alias("seq"))
     return S.read_transcripts_buddy(spark, _written(spark, d, line, "buddy"))
 
 
