@@ -192,15 +192,26 @@ def chunk_code(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_code(_parted(spark, d).select(F.concat(F.lit("f/"), "doc_id", F.lit(".go")).alias("path"), F.col("text").alias("content")))
 
 
-@query("embed_local")
-def embed_local(spark: SparkSession, d: str) -> DataFrame:
-    return E.embed_batch(table(spark, d, "benchmark").select("item_id", "text"), "text").select("item_id", F.size("embedding").alias("dim"), F.filter("embedding", lambda x: x != 0).alias("weights"))
+_SPARSE = f"""WITH t AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS s FROM benchmark),
+    g AS (SELECT item_id, n || ':' || s[i:i + n - 1] AS term FROM (SELECT item_id, s, unnest([1, 2, 3]) AS n FROM t) x, LATERAL (SELECT unnest(range(1, length(s) - n + 2)) AS i) WHERE trim(s[i:i + n - 1]) <> ''
+      UNION ALL SELECT item_id, 'w:' || unnest(regexp_extract_all(s, '[\\p{{L}}\\p{{Nd}}]+')) FROM t),
+    c AS (SELECT item_id, term, 1 + ln(count(*)) AS w FROM g GROUP BY 1, 2),
+    h AS (SELECT term, list_reduce(list_prepend({E.FNV_OFFSET}::HUGEINT, list_transform(range(0, strlen(term)), lambda i: ('0x' || hex(encode(term))[2 * i + 1:2 * i + 2])::INTEGER::HUGEINT)), lambda a, b: (xor(a, b) * {E.FNV_PRIME}) % 18446744073709551616) AS h FROM (SELECT DISTINCT term FROM g)),
+    b AS (SELECT item_id, (h % 1024)::INTEGER AS bucket, sum(CASE WHEN h >= 9223372036854775808 THEN -w ELSE w END) AS v FROM c JOIN h USING (term) GROUP BY 1, 2),
+    z AS (SELECT item_id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS weight FROM b)"""
 
 
-@query("embed_sparse", "SELECT item_id, 1.0::DOUBLE AS norm FROM benchmark")
+@query("embed_sparse", f"{_SPARSE} SELECT item_id, bucket, round(weight, 7) AS weight FROM z WHERE abs(weight) > 1e-9")
 def embed_sparse(spark: SparkSession, d: str) -> DataFrame:
     x = E.embed_sparse(table(spark, d, "benchmark"), "item_id", "text")
-    return x.groupBy("item_id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("norm"))
+    return x.where("abs(weight) > 1e-9").withColumn("weight", F.round("weight", 7))
+
+
+@query("embed_local", f"{_SPARSE} SELECT item_id, 1024 AS dim, count(*) FILTER (abs(weight) > 1e-6) AS filled, max(bucket) FILTER (abs(weight) > 1e-6) AS last FROM z GROUP BY 1")
+def embed_local(spark: SparkSession, d: str) -> DataFrame:
+    x = E.embed_batch(table(spark, d, "benchmark").select("item_id", "text"), "text")
+    used = F.filter(F.sequence(F.lit(0), F.lit(E.DIM - 1)), lambda b: F.abs(F.get("embedding", b)) > 1e-6)
+    return x.select("item_id", F.size("embedding").alias("dim"), F.size(used).cast("long").alias("filled"), F.array_max(used).alias("last"))
 
 
 @query("embedder", "SELECT conv_id, turn, length(text)::DOUBLE AS size FROM conversations")
