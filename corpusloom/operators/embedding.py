@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,20 +110,59 @@ def embed_sparse(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(rows, f"`{key}` {kind}, bucket int, weight double")
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, by: list[str] | None = None, blocks: int = 32) -> DataFrame:
-    """Per query (query_id, embedding) the ``k`` items (id, embedding) of highest cosine, at least ``floor``; ties by id.
+def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, blocks: int = 32, together: int = 4096) -> DataFrame:
+    """Per query (query_id, embedding) the ``k`` items (id, embedding) of highest cosine, at least ``floor``: score and rank; ties by id.
 
-    Items are dealt out to ``blocks``, every query goes to each, and a window keeps the best of all blocks (Spark drops the
-    others of a block before it shuffles). ``by`` names columns that both sides must share.
+    Items are dealt out to ``blocks`` and queries to blocks of about ``together``; each query block meets each item block in
+    one task, which multiplies batch by batch and keeps the best, and a window merges the blocks' results.
+    Empty and zero vectors take no part; vectors are compared with those of their own length.
     """
-    by = by or []
-    q = queries.where(F.size("embedding") > 0).select("query_id", *by, F.transform("embedding", lambda x: x.cast("double")).alias("qv"))
-    v = items.where(F.size("embedding") > 0).select("id", *by, F.transform("embedding", lambda x: x.cast("double")).alias("iv"))
-    unit = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    q, v = q.withColumn("qn", unit(F.col("qv"))).where("qn > 0"), v.withColumn("vn", unit(F.col("iv"))).where("vn > 0")
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = q.join(v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), ["block", *by]).where(F.size("qv") == F.size("iv"))
-    dot = F.aggregate(F.zip_with("qv", "iv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", *by, "id", (dot / (F.col("qn") * F.col("vn"))).alias("score")).where(F.col("score") >= floor)
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = max(1, -(-queries.count() // together))
+    vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    kinds = {"query_id": queries.schema["query_id"].dataType, "id": items.schema["id"].dataType}
+    q = queries.where(F.size("embedding") > 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("part"), F.lit(0).alias("role"), "query_id", F.lit(None).cast(kinds["id"]).alias("id"), vector)
+    v = items.where(F.size("embedding") > 0).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(1).alias("role"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "id", vector)
+    met = q.unionByName(v).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    schema = f"query_id {kinds['query_id'].simpleString()}, id {kinds['id'].simpleString()}, score double"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}  # the block's queries by length of vector
+        block = None
+        for batch in batches:
+            types = [batch.schema.field("query_id").type, batch.schema.field("id").type]
+            names = list(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True))
+            ids, vectors = (batch.column("query_id").to_pylist(), batch.column("id").to_pylist()), batch.column("v")
+            at = 0
+            while at < len(names):
+                to = at
+                while to < len(names) and names[to] == names[at]:
+                    to += 1
+                if names[at][:2] != block:
+                    block, held = names[at][:2], {}
+                part = vectors.slice(at, to - at)
+                sizes, flat = pc.list_value_length(part).to_numpy(), part.flatten().to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                for dim in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == dim)
+                    x = flat[starts[rows][:, None] + np.arange(dim)]
+                    length = np.sqrt((x * x).sum(axis=1))
+                    rows, x = rows[length > 0], x[length > 0] / length[length > 0, None]
+                    if names[at][2] == 0:
+                        known = held.setdefault(dim, ([], []))
+                        known[0].extend(ids[0][at + r] for r in rows)
+                        known[1].append(x)
+                    elif dim in held and len(rows):
+                        yield _best(held[dim], [ids[1][at + r] for r in rows], x, k, floor, types)
+                at = to
+
+    found = met.mapInArrow(search, schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(known: tuple[list, list], ids: list, x: np.ndarray, k: int, floor: float, types: list) -> pa.RecordBatch:
+    """Of the items ``x``, those that can be among a query's ``k`` best: its k-th score or more, and the floor."""
+    scores = np.concatenate(known[1]) @ x.T
+    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -2.0)
+    q, i = np.nonzero(scores >= np.maximum(least, floor)[:, None])
+    return pa.RecordBatch.from_arrays([pa.array([known[0][a] for a in q], type=types[0]), pa.array([ids[b] for b in i], type=types[1]), pa.array(scores[q, i])], names=["query_id", "id", "score"])
