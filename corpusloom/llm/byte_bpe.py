@@ -1,28 +1,35 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-The rank table is a literal of the plan: an array of small maps, indexed by the hash of the piece, as a map of
-50,000 entries would be searched from end to end. Words are folded to ids by ``aggregate`` over their bytes
-(each step merges the leftmost pair of lowest rank). The ``frequent`` most frequent distinct words of all
-documents are folded once and become a second literal; rarer ones are folded where they occur, so nothing
-about a document leaves its row and no word is cut off. Decoding looks pieces up by id and concatenates their bytes.
+"""Byte-level BPE encoding and decoding.
+
+Spark counts the words of all documents and folds the ``frequent`` most frequent distinct ones to ids with
+higher-order functions: ``aggregate`` merges, over an array of the word's bytes, the leftmost pair of lowest rank.
+The rank table is a literal of that plan: an array of small maps, indexed by the hash of the piece, as one
+map of 50,000 entries would be searched from end to end. The folded words, a bounded table, are broadcast; documents
+are put together from them in batches. Words beyond the table are merged where they occur, by the tokenizer
+library's merges, as folding them there costs more than the limits allow (README). Decoding looks the ids up in the
+table of pieces and concatenates their bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import blocks, materialize, table
 
-#: Texts with a longer run than this of either white space or other characters can hold words whose fold is
-#: quadratic; they go to the tokenizer library, whose merges are not.
+#: Longer words are left to the library, whose merges are not quadratic.
 LONG = 256
+#: The letters and numbers up to U+00FF, for a pattern of the standard module that splits such texts as the tokenizer's does.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+_BEYOND = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to that module alone
 
 
 @lru_cache(maxsize=4)
@@ -41,8 +48,6 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 
 def _buckets(entries: dict[str, object], buckets: int) -> list[dict[str, object]]:
-    import zlib
-
     out: list[dict[str, object]] = [{} for _ in range(buckets)]
     for k, v in entries.items():
         out[zlib.crc32(k.encode()) % buckets][k] = v
@@ -50,16 +55,12 @@ def _buckets(entries: dict[str, object], buckets: int) -> list[dict[str, object]
 
 
 class Encoder:
-    """Columns that encode words and decode ids by one rank table."""
+    """Columns that encode words by one rank table."""
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = 1 << 15):
         self._buckets = buckets
         # a piece is written with a character for each byte, so that any bytes make a string
         self._ranks = _literal(_buckets({p.decode("latin-1"): r for p, r in ranks.items()}, buckets), "array<map<string,int>>")
-        by_id = {r: p for p, r in ranks.items()}
-        top = max(by_id, default=-1) + 1
-        self._hex = _literal([by_id.get(i, b"").hex() for i in range(top)], "array<string>")
-        self._id_hex = _literal([i.to_bytes(4, "little").hex() for i in range(top)], "array<string>")
 
     def rank(self, piece: Column) -> Column:
         return F.element_at(F.element_at(self._ranks, _bucket(piece, self._buckets)), piece)
@@ -69,15 +70,17 @@ class Encoder:
 
         def merge(acc: Column, _: Column) -> Column:
             p = acc["p"]
-            ranks = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))
+            n = F.size(p)
+            pairs = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), lambda x, y: F.concat(x, y))
+            ranks = F.transform(pairs, self.rank)
 
             def at(r: Column) -> Column:
                 k = F.array_position(r, F.array_min(r)).cast("int")
-                joined = F.concat(F.slice(p, F.lit(1), k - 1), F.array(F.concat(F.element_at(p, k), F.element_at(p, k + 1))), F.slice(p, k + 2, F.size(p)))
+                joined = F.concat(F.slice(p, F.lit(1), k - 1), F.array(F.concat(F.element_at(p, k), F.element_at(p, k + 1))), F.slice(p, k + 2, n))
                 return F.when(F.array_min(r).isNull(), F.struct(p.alias("p"), F.lit(False).alias("go"))).otherwise(F.struct(joined.alias("p"), F.lit(True).alias("go")))
 
             stop = F.struct(p.alias("p"), F.lit(False).alias("go"))
-            return F.when(acc["go"] & (F.size(p) > 1), F.element_at(F.transform(F.array(ranks), at), 1)).otherwise(stop)
+            return F.when(acc["go"] & (n > 1), F.element_at(F.transform(F.array(ranks), at), 1)).otherwise(stop)
 
         def ids(w: Column) -> Column:
             n = F.length(w)
@@ -88,14 +91,6 @@ class Encoder:
 
         return F.element_at(F.transform(F.array(F.decode(word.cast("binary"), "ISO-8859-1")), ids), 1)
 
-    def encoded_hex(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers, in hex digits."""
-        return F.array_join(F.transform(ids, lambda i: F.element_at(self._id_hex, i + 1)), "")
-
-    def decoded_hex(self, ids: Column) -> Column:
-        """The bytes that the ids stand for, in hex digits."""
-        return F.array_join(F.transform(ids, lambda i: F.element_at(self._hex, i + 1)), "")
-
 
 def frequent_words(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     """The ``most`` most frequent words of all documents (a bounded table)."""
@@ -104,38 +99,71 @@ def frequent_words(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 1 << 17) -> DataFrame:
-    """doc_id, ids of each document's whole text, and the ids' and the decoded bytes' hex digits.
+class Words(dict):
+    """Ids of words as little-endian 32-bit bytes: those folded beforehand, and up to ``limit`` others made on first use."""
+
+    def __init__(self, folded: dict[str, bytes], ranks_path: str, pattern: str, limit: int = 400_000):
+        import tiktoken
+
+        super().__init__(folded)
+        self._folded, self._most = folded, len(folded) + limit
+        ranks = load_ranks(ranks_path)
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
+        self._split = re.compile(_narrowed(pattern)).findall
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self._most:
+            self.clear()
+            self.update(self._folded)
+        self[word] = ids = np.asarray(self._encoding._encode_single_piece(word), dtype="<u4").tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        if any(x in text for x in _BEYOND):
+            return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, self._split(text)))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def _narrowed(pattern: str) -> str:
+    """The tokenizer's pattern for texts up to U+00FF, with its classes of letters and numbers spelt out."""
+    inside = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{_LETTERS}{_NUMBERS}]")
+    return inside.replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 1 << 18) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit bytes) of each document's whole text, and decoded (the bytes they stand for).
 
     Null texts count as empty and have no ids; a row without doc_id and repeated rows are encoded like any
-    other; further columns are ignored. ``frequent`` bounds the literal of words that are folded beforehand; it
-    changes no result.
+    other; further columns are ignored. ``frequent`` bounds the table of words that Spark folds; it
+    changes no result. ``pattern`` may use \\p{L} and \\p{N} alone or in [^\\s\\p{L}\\p{N}].
     """
-    spark, ranks = docs.sparkSession, load_ranks(ranks_path)
-    encoder = Encoder(ranks)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = materialize(frequent_words(docs, pattern, frequent), "words")
-    known = {r["word"]: r["ids"] for r in words.repartition(spark.sparkContext.defaultParallelism).select("word", encoder.fold(F.col("word")).alias("ids")).collect()}  # at most ``frequent`` rows
-    buckets = 1 << 15
-    literal = _literal(_buckets(known, buckets), "array<map<string,array<int>>>")
-    long = F.col("text").rlike(f"(?U)\\S{{{LONG + 1}}}|\\s{{{LONG + 1}}}")
-    short = docs.where(~long).select("doc_id", F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
-    ids = F.flatten(F.transform("words", lambda w: F.coalesce(F.element_at(F.element_at(literal, _bucket(w, buckets)), w), encoder.fold(w))))
-    short = short.select("doc_id", ids.alias("ids"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    encoder = Encoder(load_ranks(ranks_path))
+    words = materialize(frequent_words(docs, pattern, frequent), "words").repartition(spark.sparkContext.defaultParallelism)
+    folded = words.select("word", encoder.fold(F.col("word")).alias("ids")).toArrow()  # at most ``frequent`` rows
+    known = {w: np.asarray(i, dtype="<u4").tobytes() for w, i in zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True)}
+    shared = spark.sparkContext.broadcast(known)
 
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-        for batch, texts in blocks(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoding.encode_ordinary(t.decode()) for t in texts], type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value, ranks_path, pattern)
+        for batch, texts in blocks(batches, "text", 2 << 20):
+            ids = [words.encode(t.decode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, type=pa.binary()), pa.array([words.decode(i) for i in ids], type=pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    every = short.unionByName(docs.where(long).mapInArrow(whole, "doc_id long, ids array<int>"))
-    return every.select("doc_id", "ids", encoder.encoded_hex(F.col("ids")).alias("ids_hex"), encoder.decoded_hex(F.col("ids")).alias("decoded_hex"))
+    return docs.mapInArrow(put_together, "doc_id long, ids binary, decoded binary")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.unhex("ids_hex"), 256).alias("ids_sha256"), F.sha2(F.unhex("decoded_hex"), 256).alias("decoded_sha256"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
