@@ -69,28 +69,34 @@ def _all_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 s, e = np.clip(starts - p, 0, len(buf)), np.clip(ends - p, 0, len(buf))
                 lo, hi, a, c = contexts(buf, s, e, length, gram)
                 owner = np.searchsorted(ends, lo + p, side="right")
+                # contexts equal to one of this block: the first stands for them all, the others need no partner
+                by = np.lexsort((c, a))
+                same = (a[by][1:] == a[by][:-1]) & (c[by][1:] == c[by][:-1])
+                state = np.zeros(len(a), dtype=np.int32)
+                state[by[:-1][same]] = 1
+                state[by[1:][same]] = 2
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array((lo + p - starts[owner]).astype(np.int32)), pa.array((hi + p - starts[owner]).astype(np.int32)), pa.array(signed(a)), pa.array(signed(c))],
-                    names=["rk", "lo", "hi", "a", "c"],
+                    [batch.column(0).take(pa.array(owner)), pa.array((lo + p - starts[owner]).astype(np.int32)), pa.array((hi + p - starts[owner]).astype(np.int32)), pa.array(signed(a)), pa.array(signed(c)), pa.array(state)],
+                    names=["rk", "lo", "hi", "a", "c", "state"],
                 )
 
-    return docs.select(row_key("doc_id", "text").alias("rk"), "text").mapInArrow(find, "rk long, lo int, hi int, a long, c long")
+    return docs.select(row_key("doc_id", "text").alias("rk"), "text").mapInArrow(find, "rk long, lo int, hi int, a long, c long, state int")
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of contexts sorted by (a, c): those found twice or more (whole), and one of each kind where an anchor has several kinds.
 
-    Each row waits for the next one; the first kind of an anchor waits until there is a second.
+    Rows of state 2 are known to be found twice and pass through; a row of state 1 stands for them. Each row waits for the next one; the first kind of an anchor waits until there is a second.
     """
     held, last, waiting = None, None, None  # last: (a, c) given out; waiting: the first kind of the anchor being read
 
     def sort_out(cols: list[np.ndarray], following: tuple | None) -> pa.RecordBatch:
         nonlocal last, waiting
-        rk, lo, hi, a, c = cols
+        rk, lo, hi, a, c, state = cols
         new_a = np.concatenate([[last is None or a[0] != last[0]], a[1:] != a[:-1]])
         new_c = new_a | np.concatenate([[last is None or c[0] != last[1]], c[1:] != c[:-1]])
         again = ~np.concatenate([new_c[1:], [following is None or (a[-1], c[-1]) != following]])  # the next row is equal
-        twice = again | ~new_c
+        twice = again | ~new_c | (state == 1)
         first = np.flatnonzero(new_c)
         rows = [x[first] for x in (rk, lo, hi, a, c)] + [~twice[first]]
         head = new_a[first]
@@ -110,6 +116,11 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        known = cols[5] == 2
+        if known.any():
+            none = np.zeros(int(known.sum()), dtype=bool)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[known]) for x in cols[:5]), pa.array(none), pa.array(none)], names=["rk", "lo", "hi", "a", "c", "kind", "single"])
+            cols = [x[~known] for x in cols]
         if not len(cols[0]):
             continue
         if held is not None:
@@ -180,14 +191,20 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, starts: np.ndarray, leng
         carried = np.where(j < 0, 0, np.maximum(h[rows] - 1, 0))
         carried = np.where(np.maximum(i, j) + carried <= n, carried, 0)
         h[rows] = np.where(hashes(i, i + carried) == hashes(np.maximum(j, 0), np.maximum(j, 0) + carried), carried, 0)
-        growing = np.flatnonzero(j >= 0)
-        while len(growing):
+        room = np.minimum(most, n - np.maximum(i, j))
+        whole = (j >= 0) & (hashes(i, i + room) == hashes(np.maximum(j, 0), np.maximum(j, 0) + room))
+        h[rows[whole]] = room[whole]
+        growing = np.flatnonzero((j >= 0) & ~whole)
+        g = h[rows[growing]]
+        growing = growing[buf[i[growing] + g] == buf[j[growing] + g]]
+        for step in (1 << np.arange(most.bit_length() - 1, -1, -1)).tolist():  # the rest by halving steps
+            if not len(growing):
+                break
             g = h[rows[growing]]
             x, y = i[growing] + g, j[growing] + g
-            ok = (g < most) & (x < n) & (y < n)
-            ok[ok] = buf[x[ok]] == buf[y[ok]]
-            growing = growing[ok]
-            h[rows[growing]] += 1
+            fits = g + step <= room[growing]
+            to = np.where(fits, step, 0)
+            h[rows[growing]] += np.where(hashes(x, x + to) == hashes(y, y + to), to, 0)
         common[i] = h[rows]
     return common[order]
 
@@ -273,7 +290,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 200, hot: int = 2000) -> DataFrame:
     """(rk, lo, hi): the starts lo..hi in the row of key rk from which ``length`` bytes are found elsewhere too."""
-    found = _all_contexts(docs, length, gram).repartition("a").sortWithinPartitions("a", "c")
+    deal = F.when(F.col("state") == 2, F.xxhash64("rk", "lo")).otherwise(F.col("a"))  # copies that a block has settled go anywhere
+    found = _all_contexts(docs, length, gram).withColumn("deal", deal).repartition("deal").sortWithinPartitions("a", "c").drop("deal")
     found = materialize(found.mapInArrow(_sort_out, "rk long, lo int, hi int, a long, c long, kind boolean, single boolean"), "contexts")
     whole = found.where("not kind").select("rk", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     anchors = found.where("kind").groupBy("a").agg(F.count("*").alias("kinds"), F.max("single").alias("open")).where("open").select("a", "kinds")
