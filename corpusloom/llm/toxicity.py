@@ -9,6 +9,7 @@ forward-backward marginals give the toxic spans, and what they sum up to gives t
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -92,7 +93,7 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, pairs: bool = Fals
 
 
 def evidence(p: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """For each text: 1, the largest marginal, the second largest, and the logarithm of their sum."""
+    """For each text: 1, the largest marginal, the second largest, and the logarithm of the sum of those from 0.3 on."""
     out = np.zeros((len(sizes), 4))
     out[:, 0] = 1
     at = 0
@@ -100,7 +101,7 @@ def evidence(p: np.ndarray, sizes: list[int]) -> np.ndarray:
         if s:
             x = p[at : at + s]
             top = np.partition(x, -2)[-2:] if s > 1 else np.asarray([0.0, x[0]])
-            out[i, 1:] = top[1], top[0], np.log1p(x.sum())
+            out[i, 1:] = top[1], top[0], np.log1p(x[x >= 0.3].sum())
         at += s
     return out
 
@@ -114,35 +115,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 4
     return w
 
 
+def _unlike(words: list[list[str]]) -> list[int]:
+    """Of word lists that are probably near copies (the same smallest or largest hash of three words), the first."""
+    kept, seen = [], set()
+    for i, w in enumerate(words):
+        h = [zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(max(1, len(w) - 2))]
+        marks = {("least", min(h)), ("most", max(h))} if len(w) > 20 else {("whole", " ".join(w))}
+        if not marks & seen:
+            kept.append(i)
+        seen |= marks
+    return kept
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.3, ridge: float = 1.0) -> Field:
     """Fit the field on four fifths of the labelled texts and the score on the others (on all, if there are under 200)."""
     model = Field()
     if not any(toxic) or all(toxic):
         return model
     words = [WORD.findall(t.lower()) for t in texts]
-    y = np.asarray(toxic)
+    some = _unlike(words)
+    words, y = [words[i] for i in some], np.asarray(toxic)[some]
+    toxic = y.tolist()
+    if not any(toxic) or all(toxic):
+        return model
     part = np.arange(len(y)) % 5 != 4
     own = part if len(y) >= 200 else np.ones(len(y), dtype=bool)
     found: tuple[Counter, Counter] = (Counter(), Counter())
     for w, label, use in zip(words, toxic, own, strict=True):
-        if use:
-            found[label].update({f for x in set(w) for f in word_features(x)})
-    weight = own.sum() / max(1, (y[own] == 1).sum()) - 1  # how many clean documents there are for a toxic one
+        if use and label:
+            found[1].update({f for x in set(w) for f in word_features(x)})
+    often = {f for f, n in found[1].items() if n >= 3}  # no other can be a feature of the field
+    for w, label, use in zip(words, toxic, own, strict=True):
+        if use and not label:
+            found[0].update({f for x in set(w) for f in word_features(x) if f in often})
+    chance = y[own].mean()
     names, strong = {}, set()
-    for f, n in found[1].items():
-        share = n / (n + found[0][f] / max(1.0, weight / 8) + 1.0)
-        if n >= 3 and share >= 0.4:
+    for f in sorted(often):
+        n, c = found[1][f], found[0][f]
+        # evidence that documents with this feature are toxic more often than others, as a log likelihood ratio
+        surprise = n * np.log(n / ((n + c) * chance)) + (c * np.log(c / ((n + c) * (1 - chance))) if c else 0)
+        share = n / (n + c + 1.0)
+        if share >= 0.4 and share > chance and surprise >= 9:
             names[f] = len(names)
             if share >= 0.75:
                 strong.add(f)
     if not names:
         return model
-    known: dict[str, tuple[list[int], bool]] = {}
+    plain: tuple[tuple[int, ...], bool] = ((), False)
+    known: dict[str, tuple[tuple[int, ...], bool]] = {}
     for w in words:
         for x in w:
             if x not in known:
-                fs = word_features(x)
-                known[x] = ([names[f] for f in fs if f in names], any(f in strong for f in fs))
+                fs = [f for f in word_features(x) if f in names]
+                known[x] = (tuple(names[f] for f in fs), any(f in strong for f in fs)) if fs else plain
     use = np.flatnonzero(own)
     flat = [known[x] for i in use for x in words[i]]
     sizes = [len(words[i]) for i in use]
@@ -171,7 +196,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.3,
     model = Field({f: float(theta[k]) for f, k in names.items()}, float(theta[-5]), theta[-4:].reshape(2, 2))
     rest = np.flatnonzero(~part if len(y) >= 200 and y[~part].any() else np.ones(len(y), dtype=bool))
     sizes = [len(words[i]) for i in rest]
-    e = np.asarray([model.emission(x) for i in rest for x in words[i]])
+    e = np.fromiter((model.bias + sum(theta[f] for f in known[x][0]) for i in rest for x in words[i]), dtype=np.float64, count=sum(sizes))
     rows, place = chains(sizes, e, _PAD)
     model.score = _logistic(evidence(marginals(rows, model.transitions).ravel()[place], sizes), y[rest])
     return model
@@ -241,7 +266,7 @@ def hash_order(doc_id: int) -> int:
     return (int(doc_id) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFF
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 2500, longest: int = 65536) -> Field:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500, longest: int = 32768) -> Field:
     """The field fitted on a bounded sample of labelled rows (see ``training_sample``)."""
     return fit(*training_sample(docs, labels, toxic, clean, longest))
 
