@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, table
 from corpusloom.llm.jaccard_join import drop_near_copies
-from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.line_dedup import dedup_runs
 from corpusloom.llm.packing import pack
 from corpusloom.llm.pseudonyms import pseudonymize
 from corpusloom.llm.toxicity import drop_toxic, train
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of repeated runs of lines."""
-    return _as_documents(dedup_lines(docs), docs)
+    return _as_documents(dedup_runs(docs), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,135 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_bytes: int = 60) -> Dat
     return joined.mapInArrow(cut, f"{schema}, n_lines int, n_deleted int, n_runs int, longest_run int")
 
 
+def _stretches(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(rk, doc, place, lines, long, starts, name) of the shortest stretches of at least ``min_bytes`` bytes from every line and up to
+    every line, and of every line by itself. ``long``: it has the bytes; ``starts``: it is the shortest from its first line."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "text"):
+            buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+            ends = np.flatnonzero(buf == 10)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)  # of each text
+            first = np.concatenate([[0], last[:-1] + 1])
+            owner = np.repeat(np.arange(len(texts)), last - first + 1)
+            n = np.arange(len(ends))
+            to = np.searchsorted(ends, starts + min_bytes)
+            ok = to < len(ends)
+            ok[ok] = owner[to[ok]] == owner[ok]
+            since = np.searchsorted(starts, ends - min_bytes, side="right") - 1
+            back = since >= 0
+            back[back] = owner[since[back]] == owner[back]
+            pairs = np.unique(np.stack([np.concatenate([n[ok], since[back], n]), np.concatenate([to[ok], n[back], n])]), axis=1)
+            low, high = pairs
+            long = ends[high] - starts[low] >= min_bytes
+            cols = [batch.column(0).take(pa.array(owner[low])), batch.column(1).take(pa.array(owner[low])), pa.array((low - first[owner[low]]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32))]
+            cols += [pa.array(long), pa.array(long & (to[low] == high)), pa.array(signed(Substrings(buf)(starts[low], ends[high])))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rk", "doc", "place", "lines", "long", "starts", "name"])
+
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
+    return keyed.mapInArrow(name, "rk long, doc long, place int, lines int, long boolean, starts boolean, name long")
+
+
+def _again(rows: DataFrame, *order: str) -> DataFrame:
+    """Names that stand in more than one place, with the first; partial sums make hot names one row for each task."""
+    at = F.struct(*order)
+    return rows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("_last")).where("first <> _last").drop("_last")
+
+
+def _common_prefixes(lines: DataFrame) -> DataFrame:
+    """(rk, place, k) of rows (rk, place, name) of lines: the largest number of lines from that place that stand elsewhere too.
+
+    Upwards, names of 1, 2, 4, ... lines are found again. Downwards, each place tries to lengthen its prefix by half of the
+    last step. One representative of every longer prefix stays behind with the places that could not follow it, as these may still
+    share a shorter part of it.
+    """
+    held, k, levels = lines.select("rk", "place", "name", F.lit(0).cast("long").alias("below")), 1, []
+    while True:
+        active = materialize(held.join(_again(held, "rk", "place").select("name"), "name").select("rk", "place", "name", "below"), "level")
+        if not active.limit(1).count():
+            break
+        levels.append(active)
+        near = active.select("rk", (F.col("place") - k).alias("place"), F.col("name").alias("further"))
+        held = active.join(near, ["rk", "place"]).select("rk", "place", F.xxhash64("name", "further").alias("name"), F.col("name").alias("below"))
+        k *= 2
+    if not levels:
+        return lines.select("rk", "place", F.lit(0).alias("k")).limit(0)
+    state = None
+    for i, x in enumerate(levels):
+        own = x if i + 1 == len(levels) else x.join(levels[i + 1].select("rk", "place"), ["rk", "place"], "left_anti")
+        own = own.select("rk", "place", F.lit(1 << i).alias("k"), F.col("name").alias("node"), F.lit(True).alias("live"))
+        state = own if state is None else state.unionByName(own)
+        if i > 1:  # a prefix of one line has no step below it
+            for_below = x.groupBy("below", "name").agg(F.min(F.struct("rk", "place")).alias("r"))
+            state = state.unionByName(for_below.select("r.rk", "r.place", F.lit(1 << (i - 1)).alias("k"), F.col("below").alias("node"), F.lit(False).alias("live")))
+    state = materialize(state, "state")
+    columns = ["rk", "place", "k", "node", "live"]
+    for d in range(len(levels) - 2, -1, -1):
+        step = 1 << d
+        nexts = levels[d].select("rk", F.col("place").alias("at"), F.col("name").alias("ext"))
+        tried = materialize(state.where(F.col("k") >= 2 * step).withColumn("at", F.col("place") + F.col("k")).join(nexts, ["rk", "at"], "left").drop("at"), "tried")
+        split = materialize(tried.where("ext is not null").groupBy("node", "ext").agg(F.count("*").alias("n"), F.max("live").alias("lives"), F.min(F.struct("rk", "place")).alias("r")), "split")
+        both = split.where("n > 1 and lives").select("node", "ext", F.lit(True).alias("moves"))
+        judged = tried.join(both, ["node", "ext"], "left")
+        moved = judged.where("moves").select("rk", "place", (F.col("k") + step).alias("k"), F.xxhash64("node", "ext", F.lit(d)).alias("node"), "live")
+        stay = materialize(judged.where("moves is null and live").select(*columns), "stay")
+        nodes = stay.groupBy("node").agg(F.first("k").alias("k"))
+        behind = split.where("n > 1 or not lives").join(nodes, "node").select("r.rk", "r.place", "k", "node", F.lit(False).alias("live"))
+        state = materialize(state.where(F.col("k") < 2 * step).unionByName(moved).unionByName(stay).unionByName(behind), "state")
+    return state.where("live").select("rk", "place", "k")
+
+
+def dedup_runs(docs: DataFrame, min_bytes: int = 60) -> DataFrame:
+    """``docs`` without the later copies of all repeated runs of lines; adds n_lines, n_deleted, n_runs and longest_run.
+
+    A run is any number of consecutive lines, one too, that have ``min_bytes`` bytes together (line ends between them included), in
+    whatever lengths. A line goes if it lies in a run that stands earlier as well, in the order of (doc_id, place); copies may
+    overlap. Every such run is the union of the shortest stretches of ``min_bytes`` bytes from and up to its lines, so only these are
+    compared. ``n_runs`` counts the stretches deleted, ``longest_run`` is the number of lines of the document's longest
+    run that stands elsewhere too. Documents without lines left, null texts, rows without doc_id, equal rows and other columns are treated as
+    in ``dedup_lines``.
+    """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs", "longest_run")]
+    docs = docs.select(*names)
+    rows = _stretches(docs, min_bytes)
+    found = rows.join(_again(rows, "doc", "rk", "place"), "name").withColumn("later", F.struct("doc", "rk", "place") != F.col("first"))
+    found = materialize(found.select("rk", "place", "lines", "long", "starts", "name", "later").distinct(), "runs")
+    covered = found.where("long").select("rk", F.explode(F.sequence("place", F.col("place") + F.col("lines") - 1)).alias("place")).distinct()
+    prefixes = _common_prefixes(found.where("lines = 1").join(covered, ["rk", "place"], "left_semi"))
+    longest = prefixes.join(found.where("starts").select("rk", "place"), ["rk", "place"], "left_semi").groupBy("rk").agg(F.max("k").alias("_longest"))
+    cuts = found.where("long and later").groupBy("rk").agg(F.collect_list("place").alias("_cuts"), F.collect_list("lines").alias("_sizes"))
+    cuts = materialize(longest.join(cuts, "rk", "full"), "cuts")
+    equal = Window.partitionBy("_rk")
+    joined = docs.withColumn("_rk", row_key("doc_id", "text")).join(cuts.withColumnRenamed("rk", "_rk"), "_rk", "left")
+    joined = joined.withColumn("_nth", F.row_number().over(equal.orderBy("_rk"))).withColumn("_copies", F.count(F.lit(1)).over(equal)).drop("_rk")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "text", 4 << 20):
+            i = batch.schema.get_field_index("text")
+            at, sizes, longest, nth, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cuts", "_sizes", "_longest", "_nth", "_copies"))
+            null = batch.column(i).is_null().to_pylist()
+            kept, total, deleted, runs_ = [], [], [], []
+            for row, (text, gone) in enumerate(zip(texts, null, strict=True)):
+                lines = text.split(b"\n")
+                drop = np.zeros(len(lines), dtype=bool)
+                for p, size in zip(at[row] or (), sizes[row] or (), strict=True):
+                    drop[p : p + size] = True
+                if copies[row] > 1 and len(text) >= min_bytes:  # the whole text stands in an equal row
+                    longest[row] = len(lines)
+                    drop |= nth[row] > 1
+                total.append(0 if gone else len(lines))
+                deleted.append(int(drop.sum()))
+                runs_.append(int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum()))
+                kept.append(None if gone else b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if deleted[-1] else text.decode())
+            cols = [pa.array(kept, type=batch.schema.field(i).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
+            cols += [pa.array(x, type=pa.int32()) for x in (total, deleted, runs_, longest)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_deleted", "n_runs", "longest_run"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.mapInArrow(cut, f"{schema}, n_lines int, n_deleted int, n_runs int, longest_run int")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -175,6 +175,40 @@ def test_line_dedup(docs, corpus, empty):  # noqa: ANN001
     assert out.where("longest_run >= 2").count() and not line_dedup.dedup_lines(empty).count()
 
 
+def test_line_dedup_whole_runs(spark, docs, corpus, empty):  # noqa: ANN001
+    rng = random.Random(8)
+    short = [words(rng, 2)[:14] for _ in range(40)]  # runs of short lines, of all lengths, that differ after a while
+    texts = ["\n".join([words(rng, 6), *short[k % 7 : k % 7 + rng.randint(3, 30)], words(rng, 6)]) for k in range(24)]
+    texts += ["\n".join(rng.choice("ab") * 9 for _ in range(rng.randint(8, 60))) for _ in range(14)]
+    texts += ["\n".join([words(rng, 3), long, words(rng, 3)]) for long in [words(rng, 60)] * 3]
+    more = [(1000 + i, t, "en", "s", len(t), "clash", 1) for i, t in enumerate(texts)]
+    every = corpus + more + more[:1]
+    order = sorted(range(len(every)), key=lambda i: (every[i][0] is None, every[i][0] or 0))
+    places: dict = defaultdict(list)
+    for i in order:
+        lines = (every[i][1] or "").split("\n")
+        for k in range(len(lines)):
+            for to in range(k + 1, len(lines) + 1):
+                run = "\n".join(lines[k:to])
+                if len(run.encode()) >= 60:
+                    places[to - k, hash(run)].append((i, k))
+    drop = {i: [False] * len((every[i][1] or "").split("\n")) for i in order}
+    longest: dict = dict.fromkeys(order)
+    for (n, _), at in places.items():
+        for nth, (i, k) in enumerate(at):
+            if len(at) > 1:
+                longest[i] = max(longest[i] or 0, n)
+            if nth:
+                drop[i][k : k + n] = [True] * n
+    want = [(every[i][0], None if every[i][1] is None else "\n".join(x for x, d in zip(every[i][1].split("\n"), drop[i], strict=True) if not d), longest[i]) for i in order]
+    both = docs.unionByName(spark.createDataFrame(more + more[:1], SCHEMA))
+    assert rows_of(line_dedup.dedup_runs(both).select("doc_id", "text", "longest_run")) == sorted(want, key=repr)
+    assert not line_dedup.dedup_runs(empty).count()
+    both.select("doc_id", "text").write.mode("overwrite").parquet(path := f"{common.shared_dir(spark)}/whole-runs/documents.parquet")
+    got = line_dedup.op7_line_dedup(spark, path.rsplit("/", 1)[0]).select("doc_id", "longest_run", "kept_sha256")
+    assert rows_of(got) == sorted(((d, n, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n in want), key=repr)
+
+
 # 10 ---------------------------------------------------------------------------------------
 
 
