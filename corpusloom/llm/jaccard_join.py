@@ -10,7 +10,8 @@ documents share come last, the others by hash. Two sets of similarity t share a
    pairs are expanded to classes and verified on whole texts; verified links give first components. A second
    round pairs classes of different components with leaders and neighbours that change from shingle to shingle.
 3. Pairs that still lie in different components and pass the size and position filters are verified
-   too, so no link between different components is lost, and pairs inside one need no work.
+   too, so no link between different components is lost. Pairs inside one are not looked at: neither the
+   links themselves nor their numbers are given.
 
 Before texts are read, pairs are filtered by parity sketches: each element of the symmetric difference flips
 one bit, so more differing bits than the similarity allows elements rule a pair out for certain.
@@ -65,6 +66,11 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _band_width(percent: int) -> float:
+    """Width of the bands of log sizes: a little over the largest quotient of sizes that can link, so such sets lie in one band or in neighbours."""
+    return float(np.log(100 / min(percent, 99)) * (1 + 1e-9))
+
+
 _SHORT = 512  # bits of the short sketch, which goes along in the last join
 
 
@@ -256,7 +262,7 @@ def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[Dat
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, common: int = 1 << 18) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links_class.
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_id (equal sets).
 
     Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their sets of ``words``-word shingles
     (A-Z lower-cased; fewer words: the whole sequence). Null, empty and wordless texts have no set and
@@ -268,7 +274,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     signs = materialize(_sign(docs, words, percent, _common_shingles(docs, words, common)), "signs")
     # extra work for equal sets ends here: from now on there is one row for each class
     classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
-    tokens = signs.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("gkey").alias("key"), F.col("gkey").alias("root"), F.floor(F.log(F.col("n")) / np.log(1.25)).cast("int").alias("band"))
+    tokens = signs.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("gkey").alias("key"), F.col("gkey").alias("root"), F.floor(F.log(F.col("n")) / _band_width(percent)).cast("int").alias("band"))
     live = materialize(_led_rows(tokens, percent), "live")
     # star pairs: each group with its leaders, and the classes of one group with the first of them
     groups = classes.groupBy("gkey").agg(F.min("ck").alias("first_ck"))

@@ -151,6 +151,20 @@ def test_suffix_array_and_prefixes():
         assert lcp[k] == min(64, n)
 
 
+def test_jaccard_links_sizes_far_apart_below_80_percent(spark):  # noqa: ANN001
+    rng = random.Random(4)
+    w = words(rng, 118).split()
+    texts = [" ".join(w[:64]), " ".join(w)]  # 60 and 114 shingles
+    # texts of sizes between the two hold every shingle of the shorter one, a third each, and link with neither
+    texts += [" ".join(w[k : k + 24]) + " " + words(rng, 64) for k in (0, 20, 40)]
+    sets = [shingles(t) for t in texts]
+    links = {(i, j) for j in range(5) for i in range(j) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert links == {(0, 1)} and sets[0] <= sets[2] | sets[3] | sets[4]
+    rows = [(i + 1, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), percent=50)
+    assert rows_of(got.select("doc_id", "component_id")) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
 # 7 ----------------------------------------------------------------------------------------
 
 
