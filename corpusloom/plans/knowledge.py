@@ -113,14 +113,21 @@ def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve_entities(q, v.where("id % 50 <> 0").withColumn("id", F.concat(F.lit("v"), "id")), 0.3).select("query_id", "name")
 
 
+def _words_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities of all words of the benchmark's texts, and relations between all neighbouring words of a text; lower-cased."""
+    words = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
+    e = words.select(F.explode("words").alias("name")).distinct()
+    e = e.select("name", F.xxhash64("name").alias("ordinal"), F.lit("word").alias("type"), F.array(F.concat(F.lit("fact of "), "name")).alias("observations"), F.array().cast("array<string>").alias("aliases"), F.lit("ns").alias("namespace"))
+    pairs = F.transform(F.slice("words", F.lit(2), F.size("words")), lambda w, i: F.struct(F.get("words", i).alias("src"), w.alias("dst")))
+    r = words.select(F.explode(pairs).alias("p")).select("p.src", "p.dst", F.lit("next").alias("label")).distinct()
+    return e, r
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queries of the benchmark, entities of its first words, relations between them, chunks of conversations, all with lexical vectors."""
+    """Queries of the benchmark, entities of its words, relations between them, chunks of conversations, all with lexical vectors."""
     q = E.embed_batch(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
-    e = _named(spark, d).select("name", F.xxhash64("name").alias("ordinal"), F.lit("word").alias("type"), F.array(F.concat(F.lit("fact of "), "name")).alias("observations"), "aliases", "namespace")
-    e = E.embed_batch(e, "name")
-    words = F.transform(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)), 1, 2), lambda w: w)
-    r = table(spark, d, "benchmark").select(words[0].alias("src"), words[1].alias("dst"), F.lit("next").alias("label"))
-    return q, e, r, E.embed_batch(_chunks(spark, d), "text")
+    e, r = _words_graph(spark, d)
+    return q, E.embed_batch(e, "name"), r, E.embed_batch(_chunks(spark, d), "text")
 
 
 @query("recall")

@@ -117,3 +117,20 @@ def test_neighborhood_is_limited_by_distance_then_degree(spark):  # noqa: ANN001
     r = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("c", "e")], "src string, dst string")
     got = graph.neighborhood(spark.createDataFrame([("a",)], "name string"), r, 2, 2).collect()
     assert {(x["name"], x["hop"]) for x in got} == {("a", 0), ("c", 1)}
+
+
+def test_recall_is_over_all_words_of_the_benchmark(spark):  # noqa: ANN001
+    import re
+
+    from corpusloom.plans import knowledge
+
+    d = "/root/testdata/sf0.001"
+    texts = {r["item_id"]: r["text"].lower() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    words = {i: re.findall(r"\w+", t) for i, t in texts.items()}
+    _, entities, relations, _ = knowledge._graph(spark, d)
+    names = {w for ws in words.values() for w in ws}
+    assert sorted(r["name"] for r in entities.select("name").collect()) == sorted(names)
+    want = {pair for ws in words.values() for pair in zip(ws, ws[1:], strict=False)}
+    assert sorted((r["src"], r["dst"]) for r in relations.collect()) == sorted(want)
+    hits = {(r["query_id"], r["id"]) for r in knowledge.recall(spark, d).where("kind = 'entity'").select("query_id", "id").collect()}
+    assert {(i, w) for i, t in texts.items() for w in names if len(w) >= 3 and w in t} <= hits
