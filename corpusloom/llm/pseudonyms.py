@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,20 +23,24 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import blocks, table
 
 ROUNDS = 8
+BLOCK = 64  #: longer letters and digits are permuted in blocks of so many, each under its place
+
+
+def _round(right: int, left: int, key: bytes, tweak: str) -> int:
+    """A keyed number for one round, wide enough for residues of ``left``."""
+    seed = hmac.new(key, f"{tweak}|{right:x}".encode(), hashlib.sha256).digest()
+    return int.from_bytes(hashlib.shake_256(seed).digest(left.bit_length() // 8 + 16), "big") % left
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0..size-1: a Feistel network on a slightly larger rectangle, walked until inside."""
+    """A keyed permutation of 0..size-1: a Feistel network on a slightly larger square, walked until inside."""
     if size < 2:
         return value
-    left = int(size**0.5) + 1
-    while left * left < size:
-        left += 1
+    left = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, left)
         for r in range(ROUNDS):
-            mac = hmac.new(key, f"{tweak}|{size}|{r}|{b}".encode(), hashlib.sha256).digest()
-            a, b = b, (a + int.from_bytes(mac, "big")) % left
+            a, b = b, (a + _round(b, left, key, f"{tweak}|{size:x}|{r}")) % left
         value = a * left + b
         if value < size:
             return value
@@ -44,14 +50,11 @@ def invert(value: int, size: int, key: bytes, tweak: str) -> int:
     """The value whose ``permute`` is ``value``."""
     if size < 2:
         return value
-    left = int(size**0.5) + 1
-    while left * left < size:
-        left += 1
+    left = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, left)
         for r in reversed(range(ROUNDS)):
-            mac = hmac.new(key, f"{tweak}|{size}|{r}|{a}".encode(), hashlib.sha256).digest()
-            a, b = (b - int.from_bytes(mac, "big")) % left, a
+            a, b = (b - _round(a, left, key, f"{tweak}|{size:x}|{r}")) % left, a
         value = a * left + b
         if value < size:
             return value
@@ -117,22 +120,29 @@ def _insured(found: str, key: bytes) -> str | None:
     return _fill(found, d)
 
 
-_DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
+#: First days of the eras that a date stays in, so that its pseudonym is a likely one.
+_ERAS = [datetime.date(y, 1, 1).toordinal() for y in (1, 1000, 1900, 2100, 3000)] + [datetime.date.max.toordinal() + 1]
+
+
+def _orders(found: str, first: str) -> list[tuple[int, int, int]]:
+    """Where year, month and day can stand: with slashes the month comes first, or else the day."""
+    if len(first) == 4:
+        return [(0, 1, 2)]
+    return [(2, 1, 0)] if "." in found else [(2, 0, 1), (2, 1, 0)]
 
 
 def _date(found: str, key: bytes) -> str | None:
     parts = re.split(r"[-./]", found)
-    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if "." in found else (2, 0, 1)
-    try:
-        day = datetime.date(*(int(parts[i]) for i in order))
-    except ValueError:
-        return None
-    n = day.toordinal() - _DAY0
-    if not 0 <= n < _DAYS:
-        return None
-    new = datetime.date.fromordinal(_DAY0 + permute(n, _DAYS, key, "date"))
-    values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
-    return _fill(found, "".join(values[i] for i in range(3)))
+    for order in _orders(found, parts[0]):
+        try:
+            day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+        except ValueError:
+            continue
+        low, high = next((a, b) for a, b in zip(_ERAS, _ERAS[1:], strict=False) if a <= day < b)
+        new = datetime.date.fromordinal(low + permute(day - low, high - low, key, "date"))
+        values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
+        return _fill(found, "".join(values[i] for i in range(3)))
+    return None
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -140,6 +150,8 @@ _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 
 def _by_class(text: str, key: bytes, tweak: str) -> str:
     """``text`` with its digits, small and capital letters permuted, each class as one number; the rest stays."""
+    if len(text) > BLOCK:
+        return "".join(_by_class(text[i : i + BLOCK], key, f"{tweak}.{len(text)}.{i}") for i in range(0, len(text), BLOCK))
     out = list(text)
     for alphabet in _CLASSES:
         at = [i for i, c in enumerate(text) if c in alphabet]
@@ -154,6 +166,12 @@ def _by_class(text: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def _hex(text: str, key: bytes, tweak: str) -> str:
+    if len(text) > BLOCK:
+        return "".join(_hex(text[i : i + BLOCK], key, f"{tweak}.{len(text)}.{i}") for i in range(0, len(text), BLOCK))
+    return format(permute(int(text, 16), 16 ** len(text), key, f"{tweak}{len(text)}"), "x").zfill(len(text))
+
+
 def _mail(found: str, key: bytes) -> str | None:
     local, _, domain = found.rpartition("@")
     return f"{_by_class(local, key, 'mail')}@{domain}"
@@ -163,7 +181,7 @@ def _secret(found: str, key: bytes) -> str | None:
     head = re.match(r".*?[=:]\s*[\"']?", found, re.S)[0]
     value = found[len(head) :]
     if re.fullmatch(r"[0-9a-f]+", value):
-        return head + format(permute(int(value, 16), 16 ** len(value), key, f"secret{len(value)}"), "x").zfill(len(value))
+        return head + _hex(value, key, "secret")
     return head + _by_class(value, key, "secret")
 
 
@@ -176,7 +194,7 @@ KINDS = (
     ("date", r"(?<![\d.\-/])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d]|[.\-/]\d)", _date),
     ("insured", r"(?<![\d\-])\d{3}-\d\d-\d{4}(?![\d\-])", _insured),
     ("card", r"(?<!\w)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])", _phone),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){2,6}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])", _phone),
 )
 _FIND = {kind: (re.compile(pattern), make) for kind, pattern, make in KINDS}
 _DIGIT = re.compile(r"\d")
@@ -189,13 +207,15 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     if not (digits or mail or "=" in text or ":" in text):
         return text, counts
     spans: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))  # characters of values that are replaced already
     for kind, (pattern, make) in _FIND.items():
         if (kind == "mail" and not mail) or (kind not in ("mail", "secret") and not digits) or (kind == "secret" and not ("=" in text or ":" in text)):
             continue
         for m in pattern.finditer(text):
             new = make(m[0], key)
-            if new is not None and not any(a < m.end() and m.start() < b for a, b, _ in spans):
+            if new is not None and not any(taken[m.start() : m.end()]):
                 spans.append((m.start(), m.end(), new))
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                 counts[kind] = counts.get(kind, 0) + 1
     if not spans:
         return text, counts
@@ -206,13 +226,28 @@ def pseudonymize_text(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join(out) + text[at:], counts
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key in ``corpusloom.pseudonym.key``; where none is set, a random one that is kept in the session's settings.
+
+    Set it to the same secret in every session whose pseudonyms must stay linked; a random one links those of one session only.
+    """
+    key = spark.conf.get("corpusloom.pseudonym.key", "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("corpusloom.pseudonym.key", key)
+    return key
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with private values of ``text`` replaced and columns ``n_private`` and ``private_kinds`` (map of counts).
 
     ``key`` decides the permutation and must be kept secret. Nulls stay null (no private values), empty texts
-    stay empty, texts are scanned whole, repeated rows come out alike, other columns pass unchanged (columns
+    stay empty, very long texts are scanned whole, repeated rows and equal values come out alike (where patterns overlap, the
+    first kind in ``KINDS`` wins), an empty table stays empty, other columns pass unchanged whatever their names (columns
     named ``n_private`` or ``private_kinds`` are replaced).
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = [c for c in docs.columns if c not in ("n_private", "private_kinds")]
     docs, secret = docs.select(*names), key.encode()
 
@@ -232,4 +267,4 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, spark.conf.get("corpusloom.pseudonym.key", "a key of this run")).select("doc_id", "text", "n_private", F.sha2("text", 256).alias("text_sha256"))
+    return pseudonymize(docs, session_key(spark)).select("doc_id", "text", "n_private", F.sha2("text", 256).alias("text_sha256"))

@@ -386,6 +386,43 @@ def test_pseudonyms_stay_valid_and_linked():
         assert pseudonyms.pseudonymize_text(clean, b"k") == (clean, {})
 
 
+@pytest.mark.parametrize("value", ["0123456789abcdef" * 40, "abcdefghi" * 5, "aB3+xZ/9" * 15, "abCD" * 90, "q" * 200_000, "f" * 300])
+def test_long_secrets_are_permuted_in_time(value):  # noqa: ANN001
+    new, kinds = pseudonyms.pseudonymize_text(f"token={value}", b"k")
+    assert kinds == {"secret": 1} and len(new) == len(value) + 6 and new != f"token={value}"
+    swap = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    assert re.fullmatch("[0-9a-f]+", value) or swap(new[6:]) == swap(value)
+    assert pseudonyms.pseudonymize_text(f"x password: {value}", b"k")[0][12:] == new[6:]
+
+
+def test_long_mail_names_and_many_values():
+    name = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"[:50]
+    new, kinds = pseudonyms.pseudonymize_text(f"{name}@example.org " * 3000, b"k")
+    assert kinds == {"mail": 3000} and name not in new and len(set(new.split())) == 1
+    size = 10**90
+    for v in (0, 1, size // 3, size - 1):
+        assert pseudonyms.invert(pseudonyms.permute(v, size, b"k", "t"), size, b"k", "t") == v
+
+
+def test_dates_and_phones_of_more_formats():
+    for text in ("25/12/2020", "12/25/2020", "14.07.1789", "2450-01-31", "0999-02-03"):
+        new, kinds = pseudonyms.pseudonymize_text(text, b"k")
+        assert kinds == {"date": 1} and new != text and len(new) == len(text)
+    year = [pseudonyms.pseudonymize_text(t, b"k")[0][-4:] for t in ("25/12/2020", "12/25/2020")]
+    assert year[0] == year[1] and 1900 <= int(year[0]) < 2100
+    for text in ("+33 6 12 34 56 78", "+49 30 1234 5678", "+1 (487) 555-7209"):
+        new, kinds = pseudonyms.pseudonymize_text(text, b"k")
+        assert kinds == {"phone": 1} and new.split()[0] == text.split()[0] and new != text
+    assert pseudonyms.pseudonymize_text("31/31/2020 +1 2 3", b"k") == ("31/31/2020 +1 2 3", {})
+
+
+def test_pseudonyms_need_a_key(spark, docs):  # noqa: ANN001
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymize(docs, "")
+    spark.conf.unset("corpusloom.pseudonym.key")
+    assert pseudonyms.session_key(spark) == pseudonyms.session_key(spark) != ""
+
+
 def test_pseudonymize_keeps_rows(docs, corpus, empty):  # noqa: ANN001
     out = pseudonyms.pseudonymize(docs, "k")
     assert out.columns == [*docs.columns, "n_private", "private_kinds"] and out.count() == len(corpus)
