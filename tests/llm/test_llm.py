@@ -494,11 +494,51 @@ def test_quality(spark, empty):  # noqa: ANN001
 
 def test_sparse_sites_shrink_to_the_rate_above(spark):  # noqa: ANN001
     rows = [(f"h{i % 40}", f"p{i % 3}", int(i % 40 < 20)) for i in range(4000)] + [("tiny", "p", 0)]
-    hosts, paths, overall = quality.site_rates(spark.createDataFrame(rows, "host string, path string, good int"))
-    rate = {r["host"]: r["host_rate"] for r in hosts.collect()}
-    assert rate["h0"] > 0.95 and rate["h39"] < 0.05 and abs(overall - 0.5) < 0.01
-    assert rate["h39"] < rate["tiny"] < overall
-    assert paths.count() == 121
+    sites = quality.site_rates(spark.createDataFrame(rows, "host string, path string, good int"))
+    rate = {r["host"]: r["host_rate"] for r in sites.hosts.select("host", sites.host_rate().alias("host_rate")).collect()}
+    assert rate["h0"] > 0.95 and rate["h39"] < 0.05 and abs(sites.overall - 0.5) < 0.01
+    assert rate["h39"] < rate["tiny"] < sites.overall
+    assert sites.paths.count() == 121
+
+
+@pytest.mark.parametrize("host", ["one", None])
+def test_quality_of_a_single_host(spark, host):  # noqa: ANN001
+    rng = random.Random(3)
+    rows = [(i, words(rng, 60), host, None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    out = quality.score_quality(docs, known, F.col("source"), F.col("lang")).collect()
+    assert len(out) == 40 and all(0 < r["score"] < 1 for r in out)
+    assert {round(r["host_rate"], 2) for r in out if r["doc_id"] >= 20} == {0.5}
+
+
+def test_site_rates_leave_out_the_own_label(spark):  # noqa: ANN001
+    rng = random.Random(5)
+    rows = [(i, words(rng, 40), f"h{i % 7}", f"p{i % 3}") for i in range(120)] + [(3, "again", "h3", "p0"), (None, "x", "h3", "p0")]
+    label = {i: int(rng.random() < (0.9 if i % 7 < 3 else 0.2)) for i in range(100)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    known = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    labelled = {(i, h, p, label[i]) for i, _, h, p in rows if i in label}
+    sites = quality.site_rates(spark.createDataFrame([r[1:] for r in labelled], "host string, path string, good int"))
+    got = quality.score_quality(docs, known, F.col("source"), F.col("lang")).collect()
+    want = []
+    for i, _, h, p in rows:
+        y = label.get(i)
+        at_host, at_path = [g for _, a, _, g in labelled if a == h], [g for _, a, b, g in labelled if (a, b) == (h, p)]
+        gone, good = (0, 0) if y is None else (1, y)
+        host = (sum(at_host) - good + sites.host_strength * sites.overall) / (len(at_host) - gone + sites.host_strength)
+        path = (sum(at_path) - good + sites.path_strength * host) / (len(at_path) - gone + sites.path_strength)
+        want.append((str(i), round(host, 9), round(path, 9)))
+    assert sorted((str(r["doc_id"]), round(r["host_rate"], 9), round(r["path_rate"], 9)) for r in got) == sorted(want)
+    odds = lambda p: np.log(p / (1 - p))
+    for r in got:
+        assert np.isclose(odds(r["score"]), np.clip(r["evidence"] + odds(r["path_rate"]) - odds(sites.overall), -30, 30))
+
+
+def test_sites_of_addresses(spark):  # noqa: ANN001
+    df = spark.createDataFrame([("https://u@WWW.a.example:8080/en/x?y", "l"), ("http://b.example", "l"), ("src0", "de"), (None, "de"), ("http:///x", "l")], "s string, l string")
+    got = [tuple(r) for r in df.select(*quality.site_of(F.col("s"), F.col("l"))).collect()]
+    assert got == [("www.a.example", "en"), ("b.example", ""), ("src0", "de"), (None, "de"), ("http:///x", "l")]
 
 
 # shared -----------------------------------------------------------------------------------
