@@ -54,6 +54,11 @@ class Curves:
         return np.stack([hilbert_key(cell[:, 2 * k], cell[:, 2 * k + 1]) for k in range(share.shape[1])], axis=1), share
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors along the last axis, brought near 1 by a power of two: nothing is rounded, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0.0))[1])
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     """Rows that take part, as (vec_id, embedding of doubles)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
@@ -61,13 +66,15 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return v.where(fine & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 16, probes: int = 8, ranges: int = 40, beside: int = 3, sample: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 16, probes: int = 8, ranges: int = 40, beside: int = 3, sample: int = 20_000, least: int = 150) -> DataFrame:
     """The ``k`` nearest by cosine of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Ties go to the smaller vec_id; a query never finds its own vec_id; vectors are compared with those of their
     own length only. Rows without vec_id, and vectors that are null, empty, zero or hold null or non-finite numbers, take no
     part. Repeated rows count once. The ranges are fitted on at most ``sample`` vectors, chosen by a hash of vec_id;
-    every row is indexed; with under 3,500 vectors all windows cover everything. Other columns are ignored.
+    every row is indexed. A range holds ``least`` sample vectors or more, so tables of under 6,000 have fewer ranges than ``ranges``, and below
+    1,050 (seven ranges) all windows cover everything. A query with fewer than ``k`` candidates gets all of them. Vectors may be of any
+    finite size. An empty table has no result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = _valid(vectors)
@@ -75,9 +82,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 16, p
     fitted = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").limit(sample).toPandas()["embedding"]
     bounds: dict[int, np.ndarray] = {}
     for dim in {len(x) for x in fitted}:
-        rows = np.stack([x for x in fitted if len(x) == dim])
+        rows = scaled(np.stack([x for x in fitted if len(x) == dim]))
         keys, _ = Curves(dim, curves).place(rows / np.linalg.norm(rows, axis=1, keepdims=True))
-        cuts = max(1, min(ranges, len(rows) // 500))
+        cuts = max(1, min(ranges, len(rows) // least))
         bounds[dim] = np.quantile(keys, np.arange(1, cuts) / cuts, axis=0, method="inverted_cdf") if cuts > 1 else np.zeros((0, curves))
     shared = spark.sparkContext.broadcast(bounds)  # curves x ranges numbers for each length
 
@@ -89,8 +96,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 16, p
             flat, starts = values.values.to_numpy(), values.offsets.to_numpy()[:-1]
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                x = flat[starts[at][:, None] + np.arange(dim)]
-                x = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+                x = scaled(flat[starts[at][:, None] + np.arange(dim)])
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 keys, share = made.setdefault(dim, Curves(dim, curves)).place(x)
                 cuts = shared.value.get(dim, np.zeros((0, curves)))
                 cell = np.stack([np.searchsorted(cuts[:, c], keys[:, c], side="left") for c in range(curves)], axis=1).astype(np.int32)
@@ -154,12 +161,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 16, p
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine along the last axis, in double precision, the same for a pair wherever it is computed."""
+    """Cosine along the last axis, in double precision, the same for a pair wherever it is computed, whatever the vectors' sizes."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
 def _better(queries: np.ndarray, ids: list[int], best: list, rows: np.ndarray, vec: np.ndarray, k: int) -> None:
     """Take the k best of ``rows`` into each query's list of (score, vec_id), best first."""
+    queries, rows = scaled(queries), scaled(rows)
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     right = unit(rows).T
     for low in range(0, len(queries), 256):

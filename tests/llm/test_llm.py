@@ -323,6 +323,45 @@ def test_recall_through_windows(spark):  # noqa: ANN001
     assert hit / 300 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered", "hot"])
+def test_recall_of_the_defaults(spark, kind):  # noqa: ANN001
+    rng = np.random.default_rng(11)
+    n = 8000
+    x = rng.normal(size=(n, 24))
+    if kind != "even":
+        x = rng.normal(size=(60, 24))[rng.integers(0, 60, n)] * 2 + x * 0.5
+    if kind == "hot":  # a third of all vectors are one
+        x[rng.random(n) < 1 / 3] = x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hilbert_search.nearest(df, every=100).collect():
+        got[r["query_id"]].append(r["score"])
+    hit = 0
+    for q in range(0, n, 100):
+        s = hilbert_search.cosine(x[q], x)
+        s[q] = -9
+        fifth = np.sort(s)[-5]
+        assert len(got[q]) == 5
+        hit += sum(v >= fifth - 1e-12 for v in got[q])
+    assert hit / (n // 100 * 5) >= 0.9
+
+
+def test_vectors_of_any_size(spark):  # noqa: ANN001
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, (v * 10.0 ** (200 * (i % 3 - 1))).tolist()) for i, v in enumerate(x)] + [(100, [5e-324] * 8)]
+    got = defaultdict(list)
+    for r in hilbert_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 50, 100}
+    for q in (0, 50):
+        s = hilbert_search.cosine(x[q], np.concatenate([x, np.ones((1, 8))]))
+        s[q] = -9
+        want = np.argsort(-s)[:5]
+        assert [v for v, _ in got[q]] == [100 if w == 60 else w for w in want.tolist()] and np.allclose([c for _, c in got[q]], s[want])
+    assert np.isclose(hilbert_search.cosine(np.full(3, 1e200), np.full(3, 1e-200)), 1)
+
+
 def test_hilbert_key_visits_neighbours():
     n = 1 << 4
     x, y = np.meshgrid(np.arange(n), np.arange(n))
