@@ -10,8 +10,9 @@ documents share come last, the others by hash. Two sets of similarity t share a
    pairs are expanded to classes and verified on whole texts; verified links give first components. A second
    round pairs classes of different components with leaders and neighbours that change from shingle to shingle.
 3. Pairs that still lie in different components and pass the size and position filters are verified
-   too, so no link between different components is lost. Pairs inside one are not looked at: neither the
-   links themselves nor their numbers are given.
+   too, so no link between different components is lost.
+4. Links of classes, all of which lie inside components now, are counted: a component's classes are dealt out to
+   blocks, and a task multiplies two blocks' sets. Only a number for each class leaves it, never a pair.
 
 Before texts are read, pairs are filtered by parity sketches: each element of the symmetric difference flips
 one bit, so more differing bits than the similarity allows elements rule a pair out for certain.
@@ -231,7 +232,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     pairs = materialize(_plausible(pairs, classes, percent), "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     wanted = materialize(pairs.select(F.col("a").alias("ck")).union(pairs.select(F.col("b").alias("ck"))).distinct().join(classes.select("ck", "rk"), "ck"), "wanted")
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-    texts = materialize(keyed.join(wanted, "rk").select("ck", "text"), "texts")
+    texts = materialize(keyed.join(wanted, "rk").groupBy("ck").agg(F.first("text").alias("text")), "texts")  # equal rows send one text
     members = pairs.join(texts.withColumnRenamed("ck", "b"), "b").select("a", "salt", F.col("b"), "text")
     heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("ck", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
 
@@ -261,16 +262,64 @@ def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[Dat
     return materialize(rows.join(mixed, "token").select("token", "band", "pos", "n", "ck", "root"), "mixed"), placed
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, common: int = 1 << 18) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_id (equal sets).
+def _link_counts(placed: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
+    """(ck, n_links) of classes that link with others: how many of them, from rows (ck, root) of ``placed``."""
+    several = placed.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    members = placed.join(several, "root").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
+    members = materialize(members.join(classes.select("ck", "rk"), "ck").select("ck", "rk", "root", "own", "blocks"), "members")
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
+    texts = keyed.join(members, "rk").groupBy("ck").agg(*[F.first(c).alias(c) for c in ("root", "own", "blocks", "text")])
+    met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "ck", "text").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
-    Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their sets of ``words``-word shingles
-    (A-Z lower-cased; fewer words: the whole sequence). Null, empty and wordless texts have no set and
-    link with nothing; a row without doc_id takes part in links, and its component has the smallest
-    doc_id there is (null if none). Repeated rows share a component. Other columns are ignored.
-    ``common`` bounds the table of shared shingles that orders the prefixes; it affects speed alone.
-    """
-    docs = docs.select("doc_id", "text")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []  # of one pair of blocks: (own, ck, set)
+
+        def counted() -> pa.RecordBatch:
+            own, ck = np.asarray([h[0] for h in held]), np.asarray([h[1] for h in held], dtype=np.int64)
+            n = common_elements([h[2] for h in held], own == group[1], own == group[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array(ck[n > 0]), pa.array(n[n > 0])], names=["ck", "n"])
+
+        for batch, texts_ in blocks(batches, "text"):
+            for root, a, b, own, ck, s in zip(*(batch.column(i).to_pylist() for i in range(5)), shingle_sets(texts_, words), strict=True):
+                if group != (root, a, b):
+                    if len(held) > 1:
+                        yield counted()
+                    group, held = (root, a, b), []
+                held.append((own, ck, s))
+        if len(held) > 1:
+            yield counted()
+
+    return met.mapInArrow(count, "ck long, n long").groupBy("ck").agg(F.sum("n").alias("n_links"))
+
+
+def common_elements(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """How many sets of the other side each set links with; with equal sides, how many others."""
+    sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    i, j = np.flatnonzero(left), np.flatnonzero(right)
+    common = np.zeros((len(i), len(j)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, width = row[order], column[order], 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at = slice(*np.searchsorted(column, [low, low + width]))
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[row[at], column[at] - low] = 1
+        common += part[i] @ part[j].T
+    n, m, common = sizes[i][:, None], sizes[j][None, :], common.astype(np.int64)
+    linked = (100 * common >= percent * (n + m - common)) & (i[:, None] != j[None, :])
+    out = np.zeros(len(sets), dtype=np.int64)
+    out[i] += linked.sum(axis=1)
+    if not (left & right).any():
+        out[j] += linked.sum(axis=0)
+    return out
+
+
+def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signs of all rows (rk, doc_id, n, ck), the classes of equal sets, and the component of each class (ck, root)."""
     signs = materialize(_sign(docs, words, percent, _common_shingles(docs, words, common)), "signs")
     # extra work for equal sets ends here: from now on there is one row for each class
     classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
@@ -299,26 +348,49 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     within = placed.join(placed.select("gkey", F.col("ck").alias("b"), F.col("root").alias("root_b")), "gkey").where("root < root_b").select(F.col("ck").alias("a"), "b")
     rest = across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = components(links.union(_verify(rest, classes, docs, words, percent)))
-    named = classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("ck", "component_id")
-    return signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("ck")).alias("ck")).join(named, "ck", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("ck").alias("class_id")
-    )
+    return signs, classes, materialize(classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root")), "named")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, common: int = 1 << 18, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_id (equal sets).
+
+    Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their sets of ``words``-word shingles
+    (A-Z lower-cased; fewer words: the whole sequence). With ``links``, also n_links: how many other classes the
+    document's class links with (0: none), inside every component, however large. Null, empty and wordless texts have no set and
+    link with nothing; very long texts are read whole; a row without doc_id takes part in links, and its component has the smallest
+    doc_id there is (null if none). Repeated rows share a class. An empty table has no rows. Other columns are ignored.
+    ``common`` bounds the table of shared shingles that orders the prefixes; it affects speed alone.
+    """
+    docs = docs.select("doc_id", "text")
+    signs, classes, named = _joined(docs, words, percent, common)
+    found = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
+    if links:
+        found = found.join(_link_counts(named.select("ck", "root"), classes, docs, words, percent), "ck", "left")
+    found = materialize(found.select("ck", "component_id", *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links), "found")
+    out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("ck")).alias("ck")).join(found, "ck", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("ck").alias("class_id"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
+    """``docs`` with one row of each group of near copies, the one with the smallest doc_id (then the smallest hash of the row).
 
-    Repeated rows of that document count as copies as well. Rows without a set of shingles or without doc_id stay.
+    Rows are told apart by doc_id and text, so unlike texts that share a doc_id are judged on their own; of equal rows one
+    stays. Rows without doc_id come after all others of their group. Rows without a set of shingles (null, empty, wordless
+    texts) stay. All columns pass unchanged, whatever their names.
     """
-    found = jaccard_components(docs, words, percent).where("n_shingles > 0 and doc_id is not null")
-    copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    repeated = materialize(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    signs, _, named = _joined(docs.select("doc_id", "text"), words, percent, 1 << 18)
+    rows = signs.where("n > 0").select("rk", "doc_id", "ck").join(named.select("ck", "root"), "ck")
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "rk")
+    keepers = materialize(rows.groupBy("root").agg(F.min(first).alias("first")).select("first.d", "first.rk"), "keepers")
+    marked = rows.groupBy("rk", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d")).agg(F.count("*").alias("n"))
+    marked = materialize(marked.join(keepers.withColumn("keeps", F.lit(True)), ["rk", "d"], "left").where("keeps is null or n > 1"), "marked")
+    keyed = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"))
+    kept = keyed.join(marked.where("keeps is null"), ["rk", "d"], "left_anti")
+    again = marked.where("keeps").select("rk", "d")
+    once = kept.join(again, ["rk", "d"], "left_semi").groupBy("rk", "d").agg(F.first("row").alias("row"))
+    return kept.join(again, ["rk", "d"], "left_anti").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)

@@ -102,6 +102,49 @@ def test_drop_near_copies_keeps_one_of_each(docs, corpus):  # noqa: ANN001
     assert set(got) == want and len(got) == len(set(got)) + sum(1 for t in Counter(got).values() if t > 1)
 
 
+def test_jaccard_links_are_counted_per_class(docs, corpus, empty):  # noqa: ANN001
+    sets = {shingles(r[1]) for r in corpus} - {frozenset()}
+    links = {a: sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets}
+    want = sorted((str(r[0]), links.get(shingles(r[1]), 0)) for r in corpus)
+    got = jaccard_join.jaccard_components(docs, links=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == want and max(links.values()) >= 3
+    kinds = defaultdict(set)
+    for r in got:
+        kinds[r["class_id"]].add(r["n_links"])
+    assert len(kinds) == len(sets) + 1 and all(len(k) == 1 for k in kinds.values())
+    assert not jaccard_join.jaccard_components(empty, links=True).count()
+
+
+def test_link_counts_over_blocks(spark):  # noqa: ANN001
+    rng = random.Random(12)
+    base = words(rng, 90).split()
+    texts = []
+    for _ in range(70):  # one family, not all of whose members link
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "zz" + str(rng.randint(0, 9))
+        texts.append(" ".join(w))
+    sets = list({shingles(t) for t in texts})
+    links = {a: sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets}
+    assert len(set(links.values())) > 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signs, classes, named = jaccard_join._joined(df, 5, 80, 1 << 18)
+    for block in (8, 1000):
+        n = {r["ck"]: r["n_links"] for r in jaccard_join._link_counts(named.select("ck", "root"), classes, df, 5, 80, block).collect()}
+        got = sorted((r["doc_id"], n.get(r["ck"], 0)) for r in signs.collect())
+        assert got == [(i, links[shingles(t)]) for i, t in enumerate(texts)]
+
+
+def test_near_copies_with_a_shared_doc_id(spark):  # noqa: ANN001
+    rng = random.Random(6)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(7, a, "x"), (7, b, "x"), (7, b, "y"), (9, a, "z"), (None, c, None), (None, a, None), (7, None, "n"), (7, "", "n"), (8, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rk string").withColumn("d", F.lit(1)).withColumn("keeps", F.lit(None).cast("string"))
+    kept = jaccard_join.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, a), (7, b), (None, c), (7, None), (7, ""), (8, "")], key=repr)
+
+
 def test_parity_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
