@@ -1,172 +1,99 @@
-"""Line deduplication by distributed prefix doubling over the documents' line ids.
+"""Line deduplication: the suffix array of the documents' line sequences, by distributed prefix doubling.
 
-Every place in every document's sequence of lines begins a suffix. Suffixes are named by their first
-``min_lines`` lines; names held by one suffix alone drop out, and each round names the others by twice as
-many lines, from the names of two neighbouring stretches. Suffixes of one name form an interval of the suffix
-array with that common prefix, so the rounds end at the longest repeated run. A maximal repeated run is the
-union of the stretches it holds; all its copies but the first in (doc_id, place) order are deleted.
+Every place in every document's sequence of lines begins a suffix. Suffixes are named by their first line; names
+that stand in one place alone drop out, and each round names the others by twice as many lines, from the names of
+two neighbouring stretches. Suffixes of one name form an interval of the suffix array with that common prefix; halving
+steps downwards give every place the common prefix of its own interval, the longest run from there that is found again.
+
+A run of any length is named by the two names of 2**j lines that cover it, so the same names tell which runs stand
+further up in the order of (doc_id, place). Every line of such a later copy is deleted. A maximal run is the union of the
+shortest stretches of the least size from and up to its lines, so only these are looked up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusloom.llm.common import Substrings, blocks, materialize, mix64, row_key, signed, stream64, table
 
+_COUNTS = ("n_lines", "n_deleted", "n_runs", "longest_run")
 
-def _places(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
-    """(rk, place, name) of every stretch of ``min_lines`` lines of at least ``min_bytes`` bytes."""
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = stream64(min_lines, 41) | np.uint64(1)
-        for batch, texts in blocks(batches, "text"):
-            buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-            ends = np.flatnonzero(buf == 10)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            line = Substrings(buf)(starts, ends)
-            text_ends = np.cumsum([len(t) + 1 for t in texts])
-            last = np.searchsorted(ends, text_ends - 1)  # of each text
-            first = np.concatenate([[0], last[:-1] + 1])
-            n = len(line) - min_lines + 1
-            if n <= 0:
-                continue
-            owner = np.repeat(np.arange(len(texts)), last - first + 1)
-            rolled = np.zeros(n, dtype=np.uint64)
-            for k in range(min_lines):
-                rolled += line[k : k + n] * odd[k]
-            fits = (owner[:n] == owner[min_lines - 1 :]) & (ends[min_lines - 1 :] - starts[:n] >= min_bytes)
-            at = np.flatnonzero(fits)
-            rk, doc = batch.column(0).take(pa.array(owner[at])), batch.column(1).take(pa.array(owner[at]))
-            yield pa.RecordBatch.from_arrays([rk, doc, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(signed(mix64(rolled[at])))], names=["rk", "doc", "place", "name"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(rk, doc, text): rows without doc_id come last."""
+    return docs.select(row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
 
-    keyed = docs.select(row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
-    return keyed.mapInArrow(name, "rk long, doc long, place int, name long")
 
+def _split(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All texts' lines in one buffer: the buffer, start and end of each line, its text, and each text's first line."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)
+    first = np.concatenate([[0], last[:-1] + 1])
+    return buf, starts, ends, np.repeat(np.arange(len(texts)), last - first + 1), first
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, min_bytes: int = 60) -> DataFrame:
-    """(rk, place, lines, later) of stretches found again: ``lines`` is the largest doubling of ``min_lines`` lines repeated
-    from that place, ``later`` whether the stretch of ``min_lines`` lines is a copy of an earlier one."""
-    rows = _places(docs, min_lines, min_bytes)
-    held, lines, levels = rows, min_lines, []
-    while True:
-        # a name's first place goes by (doc, rk, place); partial sums make hot names one row for each task
-        names = held.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "rk", "place")).alias("first")).where("n > 1")
-        active = held.join(names, "name").select("rk", "doc", "place", "name", (F.struct("doc", "rk", "place") != F.col("first")).alias("later"))
-        active = materialize(active, "runs")
-        if not active.limit(1).count():
-            break
-        levels.append(active.select("rk", "place", F.lit(lines).alias("lines"), "later"))
-        near = active.select("rk", (F.col("place") - lines).alias("place"), F.col("name").alias("further")).distinct()
-        held = active.join(near, ["rk", "place"]).select("rk", "doc", "place", F.xxhash64("name", "further").alias("name"))
-        lines *= 2
-    if not levels:
-        return docs.sparkSession.createDataFrame([], "rk long, place int, lines int, later boolean")
-    found = levels[0]
-    for x in levels[1:]:
-        found = found.unionByName(x)
-    return found.groupBy("rk", "place").agg(F.max("lines").alias("lines"), F.max(F.when(F.col("lines") == min_lines, F.col("later"))).alias("later"))
-
-
-def dedup_lines(docs: DataFrame, min_lines: int = 2, min_bytes: int = 60) -> DataFrame:
-    """``docs`` without the later copies of repeated runs; adds n_lines, n_deleted, n_runs and longest_run.
 
-    A run is at least ``min_lines`` consecutive lines whose every stretch of ``min_lines`` lines has
-    ``min_bytes`` bytes, found elsewhere in the corpus or further up in the same document. All documents stay, also those of
-    which nothing is left. Null texts stay null (no lines), a row without doc_id comes after all others, the
-    second of two equal rows is a later copy of the first, other columns pass unchanged.
-    """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs", "longest_run")]
-    docs = docs.select(*names)
-    runs = repeated_runs(docs, min_lines, min_bytes)
-    cuts = materialize(runs.groupBy("rk").agg(F.array_sort(F.collect_list(F.when(F.col("later"), F.col("place")))).alias("_cuts"), F.max("lines").alias("_longest")), "cuts")
-    joined = docs.withColumn("_rk", row_key("doc_id", "text")).join(cuts.withColumnRenamed("rk", "_rk"), "_rk", "left")
-    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_rk").orderBy("_rk"))).drop("_rk")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "text", 4 << 20):
-            i = batch.schema.get_field_index("text")
-            at, longest, nth = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cuts", "_longest", "_nth"))
-            null = batch.column(i).is_null().to_pylist()
-            kept, total, deleted, runs_ = [], [], [], []
-            for text, places, k, gone in zip(texts, at, nth, null, strict=True):
-                lines = text.split(b"\n")
-                if k > 1:
-                    sizes = [sum(map(len, lines[p : p + min_lines])) + min_lines - 1 for p in range(len(lines) - min_lines + 1)]
-                    places = [p for p, s in enumerate(sizes) if s >= min_bytes]
-                drop = np.zeros(len(lines), dtype=bool)
-                for p in places or ():
-                    drop[p : p + min_lines] = True
-                total.append(0 if gone else len(lines))
-                deleted.append(int(drop.sum()))
-                runs_.append(int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum()))
-                kept.append(None if gone else b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if deleted[-1] else text.decode())
-            cols = [pa.array(kept, type=batch.schema.field(i).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols += [pa.array(x, type=pa.int32()) for x in (total, deleted, runs_, longest)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_deleted", "n_runs", "longest_run"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, f"{schema}, n_lines int, n_deleted int, n_runs int, longest_run int")
-
-
-def _stretches(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(rk, doc, place, lines, long, starts, name) of the shortest stretches of at least ``min_bytes`` bytes from every line and up to
-    every line, and of every line by itself. ``long``: it has the bytes; ``starts``: it is the shortest from its first line."""
+def _lines(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(rk, doc, place, name, to, back) of every line: how many lines the shortest stretches of ``min_bytes`` bytes from it and up to it have (0: none)."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
-            buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-            ends = np.flatnonzero(buf == 10)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)  # of each text
-            first = np.concatenate([[0], last[:-1] + 1])
-            owner = np.repeat(np.arange(len(texts)), last - first + 1)
+            buf, starts, ends, owner, first = _split(texts)
             n = np.arange(len(ends))
-            to = np.searchsorted(ends, starts + min_bytes)
-            ok = to < len(ends)
-            ok[ok] = owner[to[ok]] == owner[ok]
+            last = np.searchsorted(ends, starts + min_bytes)
+            fits = last < len(ends)
+            fits[fits] = owner[last[fits]] == owner[fits]
             since = np.searchsorted(starts, ends - min_bytes, side="right") - 1
             back = since >= 0
             back[back] = owner[since[back]] == owner[back]
-            pairs = np.unique(np.stack([np.concatenate([n[ok], since[back], n]), np.concatenate([to[ok], n[back], n])]), axis=1)
-            low, high = pairs
-            long = ends[high] - starts[low] >= min_bytes
-            cols = [batch.column(0).take(pa.array(owner[low])), batch.column(1).take(pa.array(owner[low])), pa.array((low - first[owner[low]]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32))]
-            cols += [pa.array(long), pa.array(long & (to[low] == high)), pa.array(signed(Substrings(buf)(starts[low], ends[high])))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rk", "doc", "place", "lines", "long", "starts", "name"])
+            cols = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array((n - first[owner]).astype(np.int32)), pa.array(signed(Substrings(buf)(starts, ends)))]
+            cols += [pa.array(np.where(fits, last - n + 1, 0).astype(np.int32)), pa.array(np.where(back, n - since + 1, 0).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rk", "doc", "place", "name", "to", "back"])
 
-    keyed = docs.select(row_key("doc_id", "text").alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
-    return keyed.mapInArrow(name, "rk long, doc long, place int, lines int, long boolean, starts boolean, name long")
+    return _keyed(docs).mapInArrow(name, "rk long, doc long, place int, name long, to int, back int")
 
 
-def _again(rows: DataFrame, *order: str) -> DataFrame:
-    """Names that stand in more than one place, with the first; partial sums make hot names one row for each task."""
-    at = F.struct(*order)
-    return rows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("_last")).where("first <> _last").drop("_last")
+def _again(rows: DataFrame) -> DataFrame:
+    """Names of ``rows`` (rk, doc, place, name) that stand in more than one place, with the first. Partial sums make hot names one
+    row for each task; the result is written, so that a join on hot names is one that Spark can split."""
+    at = F.struct("doc", "rk", "place")
+    names = rows.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    return materialize(names, "names")
 
 
-def _common_prefixes(lines: DataFrame) -> DataFrame:
-    """(rk, place, k) of rows (rk, place, name) of lines: the largest number of lines from that place that stand elsewhere too.
+def _found_again(rows: DataFrame) -> DataFrame:
+    """``rows`` whose name stands elsewhere too, each place once, with ``later``: it also stands further up."""
+    later = F.struct("doc", "rk", "place") != F.col("first")
+    return materialize(rows.join(_again(rows), "name").withColumn("later", later).drop("first").distinct(), "level")
 
-    Upwards, names of 1, 2, 4, ... lines are found again. Downwards, each place tries to lengthen its prefix by half of the
-    last step. One representative of every longer prefix stays behind with the places that could not follow it, as these may still
-    share a shorter part of it.
-    """
-    held, k, levels = lines.select("rk", "place", "name", F.lit(0).cast("long").alias("below")), 1, []
+
+def levels_of(lines: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines as long as there are any: the stretches found again, (rk, doc, place, name, below, later)."""
+    held, out, k = lines.withColumn("below", F.lit(0).cast("long")), [], 1
     while True:
-        active = materialize(held.join(_again(held, "rk", "place").select("name"), "name").select("rk", "place", "name", "below"), "level")
-        if not active.limit(1).count():
-            break
-        levels.append(active)
-        near = active.select("rk", (F.col("place") - k).alias("place"), F.col("name").alias("further"))
-        held = active.join(near, ["rk", "place"]).select("rk", "place", F.xxhash64("name", "further").alias("name"), F.col("name").alias("below"))
+        level = _found_again(held)
+        if not level.limit(1).count():
+            return out
+        out.append(level)
+        near = level.select("rk", (F.col("place") - k).alias("place"), F.col("name").alias("further"))
+        held = level.join(near, ["rk", "place"]).select("rk", "doc", "place", F.xxhash64("name", "further").alias("name"), F.col("name").alias("below"))
         k *= 2
-    if not levels:
-        return lines.select("rk", "place", F.lit(0).alias("k")).limit(0)
+
+
+def common_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(rk, place, k): the largest number of lines from that place that stand elsewhere too.
+
+    Each place begins with the largest doubling that is found again and tries to lengthen its prefix by half of the
+    last step. One representative of every longer prefix stays behind with the places that could not follow it, as
+    these may still share a shorter part of it.
+    """
     state = None
     for i, x in enumerate(levels):
         own = x if i + 1 == len(levels) else x.join(levels[i + 1].select("rk", "place"), ["rk", "place"], "left_anti")
@@ -192,54 +119,149 @@ def _common_prefixes(lines: DataFrame) -> DataFrame:
     return state.where("live").select("rk", "place", "k")
 
 
+def later_stretches(levels: list[DataFrame]) -> DataFrame:
+    """(rk, place, lines): the shortest stretches of the least size, from and up to each line, that stand further up as well."""
+    ones, m = levels[0], F.col("lines")
+    found = ones.where("to = 1 and later").select("rk", "place", F.lit(1).alias("lines"))
+    both = F.array(F.struct("place", F.col("to").alias("lines")), F.struct((F.col("place") - F.col("back") + 1).alias("place"), F.col("back").alias("lines")))
+    longer = ones.select("rk", "doc", F.inline(both)).where("lines > 1").distinct()
+    j = F.length(F.bin(m)) - 1  # the largest doubling that fits
+    longer = longer.withColumn("j", j).withColumn("second", (F.col("place") + m - F.pow(F.lit(2), j)).cast("int"))
+    every = None
+    for i, x in enumerate(levels):
+        x = x.select("rk", F.lit(i).alias("j"), "place", F.col("name").alias("one"))
+        every = x if every is None else every.unionByName(x)
+    longer = longer.join(every, ["rk", "j", "place"]).join(every.select("rk", "j", F.col("place").alias("second"), F.col("one").alias("two")), ["rk", "j", "second"])
+    longer = _found_again(longer.select("rk", "doc", "place", "lines", F.xxhash64("one", "two", "lines").alias("name")))
+    return found.unionByName(longer.where("later").select("rk", "place", "lines"))
+
+
 def dedup_runs(docs: DataFrame, min_bytes: int = 60) -> DataFrame:
     """``docs`` without the later copies of all repeated runs of lines; adds n_lines, n_deleted, n_runs and longest_run.
 
     A run is any number of consecutive lines, one too, that have ``min_bytes`` bytes together (line ends between them included), in
-    whatever lengths. A line goes if it lies in a run that stands earlier as well, in the order of (doc_id, place); copies may
-    overlap. Every such run is the union of the shortest stretches of ``min_bytes`` bytes from and up to its lines, so only these are
-    compared. ``n_runs`` counts the stretches deleted, ``longest_run`` is the number of lines of the document's longest
-    run that stands elsewhere too. Documents without lines left, null texts, rows without doc_id, equal rows and other columns are treated as
-    in ``dedup_lines``.
+    whatever lengths. A line goes if it lies in a run that stands further up as well, in the order of (doc_id, place); copies may
+    overlap, so after documents AB and BC, ABC loses all three lines: AB and BC are later copies both, and none of its
+    text is lost. ``n_runs`` counts the stretches deleted, ``longest_run`` is the number of lines of the document's longest
+    run that stands elsewhere too (null: none does). All documents stay, also those of which nothing is left. Null texts stay null (no lines), empty ones
+    empty (one line), very long ones are read whole; a row without doc_id comes after all others; of equal rows one is the
+    first; an empty table stays empty; other columns pass unchanged, whatever their names (those of the four counts are replaced).
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs", "longest_run")]
-    docs = docs.select(*names)
-    rows = _stretches(docs, min_bytes)
-    found = rows.join(_again(rows, "doc", "rk", "place"), "name").withColumn("later", F.struct("doc", "rk", "place") != F.col("first"))
-    found = materialize(found.select("rk", "place", "lines", "long", "starts", "name", "later").distinct(), "runs")
-    covered = found.where("long").select("rk", F.explode(F.sequence("place", F.col("place") + F.col("lines") - 1)).alias("place")).distinct()
-    prefixes = _common_prefixes(found.where("lines = 1").join(covered, ["rk", "place"], "left_semi"))
-    longest = prefixes.join(found.where("starts").select("rk", "place"), ["rk", "place"], "left_semi").groupBy("rk").agg(F.max("k").alias("_longest"))
-    cuts = found.where("long and later").groupBy("rk").agg(F.collect_list("place").alias("_cuts"), F.collect_list("lines").alias("_sizes"))
+    rows = materialize(_lines(docs, min_bytes), "lines")
+    levels = levels_of(rows)
+    if not levels:
+        return _delete(docs, None, lambda text, lines: np.full(len(lines), len(text) >= min_bytes))
+    longest = common_prefixes(levels).join(levels[0].where("to > 0").select("rk", "place", "to"), ["rk", "place"]).where("k >= to").groupBy("rk").agg(F.max("k").alias("longest"))
+    cuts = later_stretches(levels).groupBy("rk").agg(F.collect_list("place").alias("places"), F.collect_list("lines").alias("sizes"))
     cuts = materialize(longest.join(cuts, "rk", "full"), "cuts")
-    equal = Window.partitionBy("_rk")
-    joined = docs.withColumn("_rk", row_key("doc_id", "text")).join(cuts.withColumnRenamed("rk", "_rk"), "_rk", "left")
-    joined = joined.withColumn("_nth", F.row_number().over(equal.orderBy("_rk"))).withColumn("_copies", F.count(F.lit(1)).over(equal)).drop("_rk")
+    return _delete(docs, cuts, lambda text, lines: np.full(len(lines), len(text) >= min_bytes))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows (rk, nth, c0, c1, ...): nth is 0 for rows that stand once, 1 for one of several equal rows, 2 for the others."""
+    keyed = docs.select(row_key("doc_id", "text").alias("rk"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    several = materialize(keyed.groupBy("rk").count().where("count > 1").select("rk"), "several")
+    if not several.limit(1).count():
+        return keyed.withColumn("nth", F.lit(0))
+    again = materialize(keyed.join(several, "rk", "left_semi").withColumn("uid", F.monotonically_increasing_id()), "again")
+    first = materialize(again.groupBy("rk").agg(F.min("uid").alias("uid")), "first")
+    once = keyed.join(several, "rk", "left_anti").withColumn("nth", F.lit(0))
+    again = again.join(first.withColumn("head", F.lit(True)), ["rk", "uid"], "left").withColumn("nth", F.when(F.col("head"), 1).otherwise(2))
+    return once.unionByName(again.drop("uid", "head"))
+
+
+def _delete(docs: DataFrame, cuts: DataFrame | None, shared: Callable[[bytes, list[bytes]], np.ndarray]) -> DataFrame:
+    """``docs`` without the lines that ``cuts`` (rk, places, sizes, longest) covers; ``shared`` tells which lines lie in runs that an equal row has too."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in _COUNTS])
+    names, i = docs.columns, docs.columns.index("text")
+    rows = _numbered(docs)
+    joined = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("places", "array<int>"), ("sizes", "array<int>"), ("longest", "int"))}) if cuts is None else rows.join(cuts, "rk", "left")
+    joined = joined.select(*[f"c{k}" for k in range(len(names))], "places", "sizes", "longest", "nth")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "text", 4 << 20):
-            i = batch.schema.get_field_index("text")
-            at, sizes, longest, nth, copies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_cuts", "_sizes", "_longest", "_nth", "_copies"))
+        for batch, texts in blocks(batches, f"c{i}", 4 << 20):
+            places, sizes, longest, nth = (batch.column(len(names) + k).to_pylist() for k in range(4))
             null = batch.column(i).is_null().to_pylist()
-            kept, total, deleted, runs_ = [], [], [], []
+            kept, total, deleted, runs = [], [], [], []
             for row, (text, gone) in enumerate(zip(texts, null, strict=True)):
                 lines = text.split(b"\n")
                 drop = np.zeros(len(lines), dtype=bool)
-                for p, size in zip(at[row] or (), sizes[row] or (), strict=True):
+                for p, size in zip(places[row] or (), sizes[row] or (), strict=True):
                     drop[p : p + size] = True
-                if copies[row] > 1 and len(text) >= min_bytes:  # the whole text stands in an equal row
-                    longest[row] = len(lines)
-                    drop |= nth[row] > 1
+                if nth[row] and not gone:
+                    same = shared(text, lines)
+                    if same.any():
+                        step = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]])))
+                        longest[row] = max(longest[row] or 0, int((step[1::2] - step[::2]).max()))
+                    drop |= same & (nth[row] > 1)
                 total.append(0 if gone else len(lines))
                 deleted.append(int(drop.sum()))
-                runs_.append(int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum()))
+                runs.append(int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum()))
                 kept.append(None if gone else b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if deleted[-1] else text.decode())
-            cols = [pa.array(kept, type=batch.schema.field(i).type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols += [pa.array(x, type=pa.int32()) for x in (total, deleted, runs_, longest)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_deleted", "n_runs", "longest_run"])
+            cols = [pa.array(kept, type=batch.schema.field(i).type) if k == i else batch.column(k) for k in range(len(names))]
+            cols += [pa.array(x, type=pa.int32()) for x in (total, deleted, runs, longest)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *_COUNTS])
+
+    return joined.mapInArrow(cut, StructType([*docs.schema.fields, *[StructField(c, IntegerType()) for c in _COUNTS]]))
+
+
+# Stretches of a fixed number of lines ----------------------------------------------------
+
+
+def _places(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
+    """(rk, doc, place, name) of every stretch of ``min_lines`` lines of at least ``min_bytes`` bytes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = stream64(min_lines, 41) | np.uint64(1)
+        for batch, texts in blocks(batches, "text"):
+            buf, starts, ends, owner, first = _split(texts)
+            line = Substrings(buf)(starts, ends)
+            n = len(line) - min_lines + 1
+            if n <= 0:
+                continue
+            rolled = np.zeros(n, dtype=np.uint64)
+            for k in range(min_lines):
+                rolled += line[k : k + n] * odd[k]
+            at = np.flatnonzero((owner[:n] == owner[min_lines - 1 :]) & (ends[min_lines - 1 :] - starts[:n] >= min_bytes))
+            rk, doc = batch.column(0).take(pa.array(owner[at])), batch.column(1).take(pa.array(owner[at]))
+            yield pa.RecordBatch.from_arrays([rk, doc, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(signed(mix64(rolled[at])))], names=["rk", "doc", "place", "name"])
+
+    return _keyed(docs).mapInArrow(name, "rk long, doc long, place int, name long")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, min_bytes: int = 60) -> DataFrame:
+    """(rk, place, lines, later) of stretches found again: ``lines`` is the largest doubling of ``min_lines`` lines repeated
+    from that place, ``later`` whether the stretch of ``min_lines`` lines is a copy of an earlier one."""
+    held, lines, found = _places(docs, min_lines, min_bytes), min_lines, None
+    while True:
+        level = _found_again(held)
+        if not level.limit(1).count():
+            break
+        rows = level.select("rk", "place", F.lit(lines).alias("lines"), "later")
+        found = rows if found is None else found.unionByName(rows)
+        near = level.select("rk", (F.col("place") - lines).alias("place"), F.col("name").alias("further"))
+        held = level.join(near, ["rk", "place"]).select("rk", "doc", "place", F.xxhash64("name", "further").alias("name"))
+        lines *= 2
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "rk long, place int, lines int, later boolean")
+    return found.groupBy("rk", "place").agg(F.max("lines").alias("lines"), F.max(F.when(F.col("lines") == min_lines, F.col("later"))).alias("later"))
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_bytes: int = 60) -> DataFrame:
+    """As ``dedup_runs``, but for runs of at least ``min_lines`` lines whose every stretch of ``min_lines`` lines has ``min_bytes``
+    bytes; ``longest_run`` is the largest doubling of ``min_lines`` found again. Documents, nulls, equal rows and other columns are treated alike."""
+    runs = repeated_runs(docs, min_lines, min_bytes)
+    cuts = runs.groupBy("rk").agg(F.collect_list(F.when(F.col("later"), F.col("place"))).alias("places"), F.max("lines").alias("longest"))
+    cuts = materialize(cuts.select("rk", "places", F.transform("places", lambda _: F.lit(min_lines)).alias("sizes"), "longest"), "cuts")
+
+    def shared(text: bytes, lines: list[bytes]) -> np.ndarray:
+        out, ends = np.zeros(len(lines), dtype=bool), np.cumsum([0] + [len(x) + 1 for x in lines])
+        for p in range(len(lines) - min_lines + 1):
+            if ends[p + min_lines] - ends[p] - 1 >= min_bytes:
+                out[p : p + min_lines] = True
+        return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, f"{schema}, n_lines int, n_deleted int, n_runs int, longest_run int")
+    return _delete(docs, cuts, shared)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

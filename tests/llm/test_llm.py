@@ -266,6 +266,29 @@ def test_line_dedup_whole_runs(spark, docs, corpus, empty):  # noqa: ANN001
     assert rows_of(got) == sorted(((d, n, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n in want), key=repr)
 
 
+def test_line_dedup_with_clashing_columns(spark):  # noqa: ANN001
+    a, b, c = ("a" * 40, "b" * 40, "c" * 40)
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"x\n{c}\ny"), (5, ""), (6, None), (7, f"{c}\n{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_cuts", "_nth", "_rk", "rk", "nth", "places", "sizes", "longest", "c0", "name", "uid", "N_runs"]
+    df = df.withColumns({c: F.lit(c) for c in names})
+    for f in (line_dedup.dedup_runs, line_dedup.dedup_lines):
+        out = f(df)
+        assert out.columns == [*[c for c in df.columns if c != "N_runs"], "n_lines", "n_deleted", "n_runs", "longest_run"]
+        got = out.collect()
+        assert all(r[c] == c for r in got for c in names[:-1]) and len(got) == len(rows)
+        assert sorted((r["doc_id"], r["text"], r["n_deleted"]) for r in got if r["text"] is not None) == [(1, rows[0][1], 0), (2, rows[1][1], 0), (3, "", 3), (3, "", 3), (4, rows[4][1], 0), (5, "", 0), (7, rows[7][1], 0)]
+        assert {r["longest_run"] for r in got if r["doc_id"] == 3} == {3} and {r["n_lines"] for r in got if r["doc_id"] == 6} == {0}
+
+
+def test_hot_lines_and_many_equal_rows(spark):  # noqa: ANN001
+    hot = "h" * 70
+    rows = [(i, f"{hot}\n{i}\n\n\n{hot}") for i in range(300)] + [(5, "q" * 90)] * 50
+    out = line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["text"] for r in out if "q" in (r["text"] or "")) == {"q" * 90: 1} and sum(r["text"] == "" for r in out) == 49
+    assert sorted(r["text"] for r in out if r["n_lines"] == 5) == sorted(f"{hot}\n0\n\n" if i == 0 else str(i) for i in range(300))  # the empty lines and the hot one are a run
+
+
 # 10 ---------------------------------------------------------------------------------------
 
 
