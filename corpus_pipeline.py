@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxic documents go, repeated lines go, near copies go, private data is replaced, the rest is packed."""
+"""The corpus pipeline: toxic documents go, repeated lines go, near copies go, private data is replaced, the rest is packed.
+
+Every stage takes null, empty and very long texts, repeated rows, rows without doc_id, empty tables and further columns as
+its operator's docstring says; all but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from corpusloom.llm.common import materialize, table
 from corpusloom.llm.jaccard_join import drop_near_copies
 from corpusloom.llm.line_dedup import dedup_runs
 from corpusloom.llm.packing import pack
-from corpusloom.llm.pseudonyms import pseudonymize
+from corpusloom.llm.pseudonyms import pseudonymize, session_key
 from corpusloom.llm.toxicity import drop_toxic, train
 
 
@@ -27,18 +31,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated runs of lines."""
-    return _as_documents(dedup_runs(docs), docs)
+    """Documents without later copies of repeated runs of lines; one of which nothing is left is a copy as a whole and goes.
+
+    Documents that were null or empty before stay as they are.
+    """
+    changed = dedup_runs(docs)
+    return _as_documents(changed.where((F.col("n_deleted") == 0) | (F.col("text") != "")), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, judged on what the stages before have left of it."""
     return drop_near_copies(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, private values replaced."""
-    return _as_documents(pseudonymize(docs, spark.conf.get("corpusloom.pseudonym.key", "a key of this run")), docs)
+    """All documents, private values replaced; the key is the session's (``session_key``)."""
+    return _as_documents(pseudonymize(docs, session_key(spark)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
