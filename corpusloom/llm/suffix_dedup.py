@@ -294,7 +294,8 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 200, hot:
     found = _all_contexts(docs, length, gram).withColumn("deal", deal).repartition("deal").sortWithinPartitions("a", "c").drop("deal")
     found = materialize(found.mapInArrow(_sort_out, "rk long, lo int, hi int, a long, c long, kind boolean, single boolean"), "contexts")
     whole = found.where("not kind").select("rk", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    anchors = found.where("kind").groupBy("a").agg(F.count("*").alias("kinds"), F.max("single").alias("open")).where("open").select("a", "kinds")
+    # written before the join, so that Spark can split hot anchors there
+    anchors = materialize(found.where("kind").groupBy("a").agg(F.count("*").alias("kinds"), F.max("single").alias("open")).where("open").select("a", "kinds"), "anchors")
     kinds = found.where("kind").join(anchors, "a").select("rk", "lo", "hi", "a", "single", (F.col("kinds") > hot).alias("hot"), F.when(F.col("kinds") > hot, F.pmod("c", F.ceil(F.col("kinds") / hot))).otherwise(0).alias("split"))
     wanted = materialize(kinds.groupBy("rk").agg(F.collect_list(F.struct("a", "split", "lo", "hi", "single", "hot")).alias("cuts")), "wanted")
 
@@ -317,8 +318,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
 
     Every byte covered by a stretch of ``length`` bytes that also starts elsewhere in the corpus or in the same
     document goes, all copies alike, judged on the input. Null texts count as empty; texts shorter than
-    ``length`` stay; equal rows are copies of each other; a row without doc_id is treated like any other;
-    other columns are ignored.
+    ``length`` stay, very long ones are read in overlapping pieces; equal rows are copies of each other; a row without doc_id is treated
+    like any other; an empty table has no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_stretches(docs, length, gram)
@@ -349,4 +350,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataF
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).cast("int").alias("has_repeats"))
