@@ -3,7 +3,7 @@
 ``parse`` turns HTML into ordered items (text, or a reference with its caption), ``media_table`` encodes payloads
 and files them by digest, ``resolve`` joins references and payloads by digest, keeping every item's
 position. A payload is stored as a grey image of 192 samples a row (binary PGM: a text header and the
-samples), which is read back before features are computed.
+samples), written once, and read back from there before features are computed.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import blocks, table
+from corpusloom.llm.common import blocks, materialize, table
 
 WIDTH = 192
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
@@ -84,18 +84,22 @@ def html_items(html: str) -> list[dict]:
     return [{"position": i} | x for i, x in enumerate(parser.items)]
 
 
-def parse(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, position, kind, text, ref, caption), one row per item of each page; null and empty pages have none."""
-    kind = pages.schema[key].dataType.simpleString()
+def parse(pages: DataFrame, key: str, html: str = "html", kinds: tuple[str, ...] = ("text", "media")) -> DataFrame:
+    """(key, position, kind, text, ref, caption), one row per item of each page and of these ``kinds``; positions count all items.
+
+    Null and empty pages have no items; very long ones are parsed whole; repeated pages repeat; other columns are ignored.
+    """
+    page = pages.select(F.col(key).alias("page"), F.col(html).alias("html"))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, html, 4 << 20):
-            found = [html_items(t.decode()) for t in texts]
+        for batch, texts in blocks(batches, "html", 4 << 20):
+            found = [[x for x in html_items(t.decode()) if x["kind"] in kinds] for t in texts]
             owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
             flat = pa.array([x for xs in found for x in xs], type=ITEM)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *flat.flatten()], names=[key, *[f.name for f in ITEM]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *flat.flatten()], names=["page", *[f.name for f in ITEM]])
 
-    return pages.select(key, html).mapInArrow(items, f"`{key}` {kind}, position int, kind string, text string, ref string, caption string")
+    kind = page.schema["page"].dataType.simpleString()
+    return page.mapInArrow(items, f"page {kind}, position int, kind string, text string, ref string, caption string").withColumnRenamed("page", key)
 
 
 def encode_image(payload: bytes) -> bytes:
@@ -128,22 +132,40 @@ def features(samples: bytes) -> str:
     return f"{len(x) // WIDTH} rows; mean {x.mean():.3f}; deviation {x.std():.3f}; levels {' '.join(map(str, levels.tolist()))}"
 
 
+def image_of(text: Column) -> Column:
+    """What ``encode_image(pad(text))`` gives, as an expression: header and samples."""
+    rows = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / WIDTH)).cast("int")
+    samples = F.concat(text.cast("binary"), F.repeat(F.lit(" "), rows * WIDTH - F.octet_length(text)).cast("binary"))
+    return F.concat(F.concat(F.lit(f"P5\n{WIDTH} "), rows.cast("string"), F.lit("\n255\n")).cast("binary"), samples)
+
+
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, digest, media) of each document's whole text: its payload, stored as an image under its SHA-256."""
+    """(digest, media): each document's whole text as an image under its SHA-256, written below the shared folder and read from there.
+
+    Copies in one batch of a task are written once.
+    """
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "text", 4 << 20):
-            media = [encode_image(pad(t)) for t in texts]
-            digests = [hashlib.sha256(m).hexdigest() for m in media]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], type=pa.int64()), pa.array(digests), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "digest", "media"])
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = []
+            for i, digest in enumerate(batch.column(0).to_pylist()):
+                if digest not in seen:
+                    new.append(i)
+                    seen.add(digest)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield batch.take(pa.array(new, type=pa.int64()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, n_bytes long, digest string, media binary")
+    media = docs.select(image_of(F.coalesce("text", F.lit(""))).alias("media")).select(F.sha2("media", 256).alias("digest"), "media")
+    return materialize(media.mapInArrow(first, "digest string, media binary"), "media")
 
 
 def media_table(stored: DataFrame) -> DataFrame:
     """One row per digest of ``stored`` (digest, media): payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Each image is read back where it lies; only the small columns move, summed up before they do.
+    Each image is read back where it lies; only the small columns move, summed up before they do, and are written, so
+    that Spark can split hot digests where they are joined.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +180,8 @@ def media_table(stored: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["digest", *_FACTS])
 
-    return stored.select("digest", "media").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").groupBy("digest").agg(*[F.first(c).alias(c) for c in _FACTS])
+    facts = stored.select("digest", "media").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return materialize(facts.groupBy("digest").agg(*[F.first(c).alias(c) for c in _FACTS]), "facts")
 
 
 _FACTS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -173,19 +196,32 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     return items.withColumn("digest", digest).join(media, "digest", "left")
 
 
-def interleave(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents as items and media: each becomes a page with a heading and a figure that refers to its stored image.
+def _escaped(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(page, html): each document as a page with a heading, a figure that refers to its stored image, and a paragraph for each line."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes")).alias("page"), text.alias("text"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(image_of(F.col("text")), 256), F.lit('"><figcaption>'), F.col("page.n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
+    heading = F.concat(F.lit("<h1>Document "), F.coalesce(F.col("page.doc_id").cast("string"), F.lit("")), F.lit("</h1>"))
+    body = F.concat(F.lit("<p>"), F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return docs.select("page", F.concat(F.lit("<article>"), heading, figure, body, F.lit("</article>")).alias("html"))
+
+
+def interleave(docs: DataFrame, kinds: tuple[str, ...] = ("text", "media")) -> tuple[DataFrame, DataFrame]:
+    """Documents as items of these ``kinds`` (page, position, kind, text, ref, caption) and media (digest and facts).
 
-    Null texts count as empty (one row of spaces); rows without doc_id and repeated rows are kept; other
-    columns are ignored.
+    Null texts count as empty (one row of spaces, no text items); very long texts are stored and parsed whole; rows without doc_id and
+    repeated rows are kept, equal texts share a payload; an empty table has neither items nor media; other columns are ignored.
     """
-    stored = store(docs)
-    html = F.concat(F.lit("<article><h1>Document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit('</h1><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    pages = stored.select(F.struct("doc_id", "n_bytes").alias("page"), html.alias("html"))
-    return parse(pages, "page"), media_table(stored)
+    return parse(pages_of(docs), "page", kinds=kinds), media_table(store(docs))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, media = interleave(table(spark, sf_dir, "documents"))
-    found = resolve(items.where("kind = 'media'"), media)
+    items, media = interleave(table(spark, sf_dir, "documents"), kinds=("media",))
+    found = resolve(items, media)
     return found.select("page.doc_id", "page.n_bytes", *_FACTS, "position", "caption")
