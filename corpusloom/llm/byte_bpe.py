@@ -4,9 +4,9 @@ Spark counts the words of all documents and folds the ``frequent`` most frequent
 higher-order functions: ``aggregate`` merges, over an array of the word's bytes, the leftmost pair of lowest rank.
 The rank table is a literal of that plan: an array of small maps, indexed by the hash of the piece, as one
 map of 50,000 entries would be searched from end to end. The folded words, a bounded table, are broadcast; documents
-are put together from them in batches. Words beyond the table are merged where they occur, by the tokenizer
-library's merges, as folding them there costs more than the limits allow (README). Decoding looks the ids up in the
-table of pieces and concatenates their bytes.
+are split into words by the whole pattern, whatever their letters, and put together from them in batches. Words beyond the table, and those of over
+256 bytes, are merged where they occur, by the tokenizer library's merges, as folding them there costs more than the limits
+allow (README). Decoding looks the ids up in the table of pieces and concatenates their bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +94,20 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, pattern: str, most: int) -> DataFrame:
-    """The ``most`` most frequent words of all documents (a bounded table)."""
+    """The most frequent words of all documents, at most ``most``: all that are more frequent than a threshold.
+
+    The threshold is read off a histogram of the logarithms of counts (sixteen steps for a doubling), so no task or driver sorts words.
+    """
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= LONG)
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    counted = materialize(counted.select("word", F.floor(F.log2("n") * 16).cast("int").alias("step")), "counted")
+    least, held = 0, 0
+    for step, n in sorted(((r["step"], r["n"]) for r in counted.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True):  # some hundred rows
+        held += n
+        if held > most:
+            least = step + 1
+            break
+    return counted.where(F.col("step") >= least).select("word")
 
 
 class Words(dict):
@@ -111,6 +122,7 @@ class Words(dict):
         self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self._split = re.compile(_narrowed(pattern)).findall
+        self._split_any = regex.compile(pattern).findall
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self._most:
@@ -122,11 +134,10 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
+            split = self._split_any if any(x in text for x in _BEYOND) else self._split
         except UnicodeEncodeError:
-            return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
-        if any(x in text for x in _BEYOND):
-            return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, self._split(text)))
+            split = self._split_any
+        return b"".join(map(self.__getitem__, split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -141,8 +152,8 @@ def _narrowed(pattern: str) -> str:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, frequent: int = 1 << 18) -> DataFrame:
     """doc_id, ids (little-endian 32-bit bytes) of each document's whole text, and decoded (the bytes they stand for).
 
-    Null texts count as empty and have no ids; a row without doc_id and repeated rows are encoded like any
-    other; further columns are ignored. ``frequent`` bounds the table of words that Spark folds; it
+    Null texts count as empty and have no ids; very long texts are encoded whole; a row without doc_id and repeated rows are encoded like any
+    other; an empty table has no rows; further columns are ignored. Words of equal counts are in the table together or not at all. ``frequent`` bounds the table of words that Spark folds; it
     changes no result. ``pattern`` may use \\p{L} and \\p{N} alone or in [^\\s\\p{L}\\p{N}].
     """
     spark = docs.sparkSession
