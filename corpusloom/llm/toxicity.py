@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import blocks, table
 
 WORD = re.compile(r"\w+")
-WINDOW = 64  #: a chain is at most so many words; longer texts are chains in a row
+WINDOW = 64  #: words on a row; the field is fitted to rows as chains, and scoring carries messages from row to row
 _PAD = -30.0
 
 
@@ -56,35 +56,51 @@ def chains(sizes: list[int], values: np.ndarray, pad: float) -> tuple[np.ndarray
     return out.reshape(-1, WINDOW), place
 
 
+def _forward(lift: np.ndarray, t: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the toxic state at each place (first axis) given what stands before, and the logarithms of the messages' sums.
+
+    ``before`` is that share at the place before each row; NaN where a chain begins.
+    """
+    m, n = lift.shape
+    fwd, norm = np.empty((m, n)), np.zeros(n)
+    begins = np.isnan(before)
+    share = np.where(begins, 0.0, before)
+    for k in range(m):
+        on, off = (share * t[1, 1] + (1 - share) * t[0, 1]) * lift[k], share * t[1, 0] + (1 - share) * t[0, 0]
+        if k == 0:
+            on, off = np.where(begins, lift[0], on), np.where(begins, 1.0, off)
+        norm += np.log(on + off)
+        share = fwd[k] = on / (on + off)
+    return fwd, norm
+
+
+def _backward(lift: np.ndarray, t: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from behind: messages to each place, that to the place before each row, and the logarithms of their sums."""
+    m, n = lift.shape
+    bwd, norm, share = np.empty((m, n)), np.zeros(n), after
+    for k in range(m - 1, -1, -1):
+        bwd[k] = share
+        w = share * lift[k]
+        on, off = t[1, 1] * w + t[1, 0] * (1 - share), t[0, 1] * w + t[0, 0] * (1 - share)
+        norm += np.log(on + off)
+        share = on / (on + off)
+    return bwd, share, norm
+
+
 def marginals(emissions: np.ndarray, transitions: np.ndarray, pairs: bool = False):  # noqa: ANN201
-    """Probability of the toxic state at each place of each row, by forward and backward passes over all rows at once.
+    """Probability of the toxic state at each place of each row, by forward and backward passes over all rows at once; a row is a chain.
 
     With ``pairs``, the expected number of each transition and the log-likelihood's normaliser as well.
     """
-    n, m = emissions.shape
-    lift = np.exp(np.clip(emissions, _PAD, 30))
-    t = np.exp(transitions)
-    fwd, bwd = np.empty((m, n)), np.empty((m, n))  # share of the toxic state
-    norm = np.zeros(n)
-    a = lift[:, 0]
-    norm += np.log1p(a)
-    fwd[0] = a / (1 + a)
-    for k in range(1, m):
-        on = (fwd[k - 1] * t[1, 1] + (1 - fwd[k - 1]) * t[0, 1]) * lift[:, k]
-        off = fwd[k - 1] * t[1, 0] + (1 - fwd[k - 1]) * t[0, 0]
-        norm += np.log(on + off)
-        fwd[k] = on / (on + off)
-    bwd[m - 1] = 0.5
-    for k in range(m - 2, -1, -1):
-        w = bwd[k + 1] * lift[:, k + 1]
-        on, off = t[1, 1] * w + t[1, 0] * (1 - bwd[k + 1]), t[0, 1] * w + t[0, 0] * (1 - bwd[k + 1])
-        bwd[k] = on / (on + off)
+    lift, t = np.exp(np.clip(emissions, _PAD, 30)).T, np.exp(transitions)
+    fwd, norm = _forward(lift, t, np.full(len(emissions), np.nan))
+    bwd, _, _ = _backward(lift, t, np.full(len(emissions), 0.5))
     both = fwd * bwd
     p = (both / (both + (1 - fwd) * (1 - bwd))).T
     if not pairs:
         return p
     expected = np.empty((2, 2))
-    w1, w0 = bwd[1:] * lift[:, 1:].T, 1 - bwd[1:]
+    w1, w0 = bwd[1:] * lift[1:], 1 - bwd[1:]
     joint = {(i, j): (fwd[:-1] if i else 1 - fwd[:-1]) * t[i, j] * (w1 if j else w0) for i in (0, 1) for j in (0, 1)}
     total = sum(joint.values())
     for key, x in joint.items():
@@ -92,6 +108,45 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, pairs: bool = Fals
     return p, expected, norm.sum()
 
 
+def _carried(ends: list[tuple[np.ndarray, np.ndarray]], share: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What comes out of ``rows`` when ``share`` goes in, from what comes out for 0 and for 1 (shares and logarithms of sums)."""
+    (zero, n0), (one, n1) = ((x[rows], n[rows]) for x, n in ends)
+    most = np.maximum(n0, n1)
+    a, b = (1 - share) * np.exp(n0 - most), share * np.exp(n1 - most)
+    return (a * zero + b * one) / (a + b)
+
+
+def text_marginals(emissions: np.ndarray, sizes: list[int], transitions: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state at each word of each text, each text one chain of any length; values in a row, as ``emissions``.
+
+    Texts lie on rows of WINDOW words. What goes into a row is carried over from the row beside it: messages are linear, so
+    those out of every row are computed for both states going in, and the rows of a text are put together one by one.
+    """
+    if not len(emissions):
+        return np.zeros(0)
+    rows, place = chains(sizes, emissions, _PAD)
+    lift, t = np.exp(np.clip(rows, _PAD, 30)).T, np.exp(transitions)
+    count = (np.asarray(sizes, dtype=np.int64) + WINDOW - 1) // WINDOW
+    first = np.cumsum(count) - count
+    n = len(rows)
+    before, after = np.full(n, np.nan), np.full(n, 0.5)
+    if count.max() > 1:
+        heads = np.zeros(n, dtype=bool)
+        heads[first[count > 0]] = True
+        ahead = [(f[-1], s) for f, s in (_forward(lift, t, np.where(heads, np.nan, x)) for x in (0.0, 1.0))]
+        back = [_backward(lift, t, np.full(n, x))[1:] for x in (0.0, 1.0)]
+        for k in range(1, int(count.max())):
+            at = first[count > k] + k
+            share = np.where(np.isnan(before[at - 1]), 0.0, before[at - 1])  # a first row gives the same for both
+            before[at] = _carried(ahead, share, at - 1)
+            behind = first[count > k] + count[count > k] - 1 - k
+            after[behind] = _carried(back, after[behind + 1], behind + 1)
+    fwd, _ = _forward(lift, t, before)
+    bwd, _, _ = _backward(lift, t, after)
+    both = fwd * bwd
+    return (both / (both + (1 - fwd) * (1 - bwd))).T.ravel()[place]
+
+
 def evidence(p: np.ndarray, sizes: list[int]) -> np.ndarray:
     """For each text: 1, the largest marginal, the second largest, and the logarithm of the sum of those from 0.3 on."""
     out = np.zeros((len(sizes), 4))
@@ -197,8 +252,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, rate: float = 0.3,
     rest = np.flatnonzero(~part if len(y) >= 200 and y[~part].any() else np.ones(len(y), dtype=bool))
     sizes = [len(words[i]) for i in rest]
     e = np.fromiter((model.bias + sum(theta[f] for f in known[x][0]) for i in rest for x in words[i]), dtype=np.float64, count=sum(sizes))
-    rows, place = chains(sizes, e, _PAD)
-    model.score = _logistic(evidence(marginals(rows, model.transitions).ravel()[place], sizes), y[rest])
+    model.score = _logistic(evidence(text_marginals(e, sizes, model.transitions), sizes), y[rest])
     return model
 
 
@@ -222,10 +276,7 @@ def score_texts(texts: list[str], model: Field, emissions: dict | None = None, s
     words = [WORD.findall(t.lower()) for t in texts]
     sizes = [len(w) for w in words]
     e = np.fromiter((emissions[x] for w in words for x in w), dtype=np.float64, count=sum(sizes))
-    p = np.zeros(0)
-    if len(e):
-        rows, place = chains(sizes, e, _PAD)
-        p = marginals(rows, model.transitions).ravel()[place]
+    p = text_marginals(e, sizes, model.transitions)
     score = 1 / (1 + np.exp(-np.clip(evidence(p, sizes) @ model.score, -30, 30)))
     if not spans:
         return score, None
@@ -274,8 +325,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 15
 def score_toxicity(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (score >= 0.7), and with ``spans`` the toxic spans.
 
-    Every whole text is scored. Null and empty texts have no evidence and get the score of none; a row
-    without doc_id is not held out; repeated rows repeat; other columns are ignored and no input of the score.
+    Every whole text is scored as one chain, however long. Null and empty texts have no evidence and get the score of none; a row
+    without doc_id is not held out; repeated rows repeat, with equal scores; a score of just 0.7 is predicted; an empty table has no
+    rows; other columns are ignored and no input of the score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -338,6 +338,28 @@ def test_byte_bpe(docs, corpus, empty):  # noqa: ANN001
     assert not byte_bpe.encode(empty, path, P.PATTERN).count()
 
 
+def test_frequent_words_end_at_a_count(spark):  # noqa: ANN001
+    text = " ".join(f"w{i}x" for i in range(1, 40) for _ in range(i))
+    df = spark.createDataFrame([(text,)], "text string")
+    for most in (0, 1, 6, 1000):
+        got = {r["word"].strip() for r in byte_bpe.frequent_words(df, P.PATTERN, most).collect()}
+        assert len(got) <= most and (most < 6 or got)
+
+
+def test_words_beyond_latin_are_split_alike():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    own = byte_bpe.Words({" the": np.asarray(encoding.encode_ordinary(" the"), dtype="<u4").tobytes()}, path, P.PATTERN)
+    rng = random.Random(2)
+    marks = " \n\t.,'s’—“”€日本語ΣΑΣ\u2003\x1c\u0301\U0001f600½Ⅷ٣aé"
+    for _ in range(2000):
+        text = " the" + "".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) + " the’s"
+        assert own.encode(text) == np.asarray(encoding.encode_ordinary(text), dtype="<u4").tobytes()
+    assert own.decode(own.encode(text)) == text.encode()
+
+
 def test_folded_words_are_the_tokenizers(spark, corpus):  # noqa: ANN001
     import tiktoken
 
@@ -454,6 +476,20 @@ def test_media(docs, corpus, empty):  # noqa: ANN001
     assert not media.interleave(empty)[0].count()
 
 
+def test_interleaved_texts_follow_their_media(docs, corpus):  # noqa: ANN001
+    items, table = media.interleave(docs)
+    got = defaultdict(list)
+    for r in items.orderBy("position").collect():
+        got[r["page"]["doc_id"], r["page"]["n_bytes"]].append((r["position"], r["kind"], r["text"], r["ref"]))
+    for r in corpus:
+        lines = [x for x in (re.sub(r"\s+", " ", x).strip() for x in (r[1] or "").split("\n")) if x]
+        found = got[r[0], len((r[1] or "").encode())]
+        copies = len(found) // (2 + len(lines))
+        assert [x[2] for x in found[2 * copies :: copies]] == lines and found[0][2] == f"Document {'' if r[0] is None else r[0]}".strip()
+        assert found[copies][:2] == (1, "media") and found[copies][3] == "sha256:" + hashlib.sha256(media.encode_image(media.pad((r[1] or "").encode()))).hexdigest()
+    assert table.count() == len({r[1] or "" for r in corpus})
+
+
 def test_html_items_keep_order_and_captions():
     html = "<p>One <b>two</b></p><script>var x</script><figure><img src='a.png'><figcaption>The &amp; caption</figcaption></figure>tail<img src=b.png alt=alt>"
     got = [(i["position"], i["kind"], i["text"] or i["ref"], i["caption"]) for i in media.html_items(html)]
@@ -551,6 +587,21 @@ def test_marginals_are_those_of_all_paths():
     assert np.isclose(expected.sum(), 4)
 
 
+def test_long_texts_are_one_chain():
+    rng = np.random.default_rng(3)
+    sizes = [0, 5, 64, 65, 200, 1, 0, 700, 128]
+    e, t = rng.normal(size=sum(sizes)) * 3 - 2, np.asarray([[2.0, -1.5], [-1.0, 1.5]])
+    got, at = toxicity.text_marginals(e, sizes, t), 0
+    for s in sizes:
+        if s:
+            whole = -(-s // toxicity.WINDOW) * toxicity.WINDOW  # the last row is filled up with clean words
+            x = np.full(whole, toxicity._PAD)
+            x[:s] = e[at : at + s]
+            assert np.allclose(got[at : at + s], toxicity.marginals(x[None, :], t)[0, :s])
+        at += s
+    assert len(toxicity.text_marginals(np.zeros(0), [], t)) == 0
+
+
 def test_toxicity(spark, empty):  # noqa: ANN001
     rng = random.Random(3)
     rows, labels = [], []
