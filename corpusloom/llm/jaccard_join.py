@@ -227,8 +227,11 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 8) -> DataFrame:
-    """Of class pairs (a, b), those whose sets reach the similarity; each text is sent once for each pair it is the b of."""
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Of class pairs (a, b), those whose sets reach the similarity; each text is sent once for each pair it is the b of.
+
+    Also the texts that were read for it, (ck, text).
+    """
     pairs = materialize(_plausible(pairs, classes, percent), "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     wanted = materialize(pairs.select(F.col("a").alias("ck")).union(pairs.select(F.col("b").alias("ck"))).distinct().join(classes.select("ck", "rk"), "ck"), "wanted")
     keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
@@ -251,7 +254,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in found], names=["a", "b"])
 
     together = heads.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return together.mapInArrow(compare, "a long, b long")
+    return materialize(together.mapInArrow(compare, "a long, b long"), "links"), texts
 
 
 def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,13 +265,12 @@ def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[Dat
     return materialize(rows.join(mixed, "token").select("token", "band", "pos", "n", "ck", "root"), "mixed"), placed
 
 
-def _link_counts(placed: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
-    """(ck, n_links) of classes that link with others: how many of them, from rows (ck, root) of ``placed``."""
+def _link_counts(placed: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
+    """(ck, n_links) of classes that link with others: how many of them, from rows (ck, root) of ``placed`` and the texts (ck, text) of all classes with links."""
     several = placed.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
     members = placed.join(several, "root").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
-    members = materialize(members.join(classes.select("ck", "rk"), "ck").select("ck", "rk", "root", "own", "blocks"), "members")
-    keyed = docs.select(row_key("doc_id", "text").alias("rk"), "text")
-    texts = keyed.join(members, "rk").groupBy("ck").agg(*[F.first(c).alias(c) for c in ("root", "own", "blocks", "text")])
+    members = materialize(members.select("ck", "root", "own", "blocks"), "members")
+    texts = texts.join(members, "ck").groupBy("ck").agg(*[F.first(c).alias(c) for c in ("root", "own", "blocks", "text")])
     met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "ck", "text").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
@@ -319,7 +321,10 @@ def common_elements(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signs of all rows (rk, doc_id, n, ck), the classes of equal sets, and the component of each class (ck, root)."""
+    """Signs of all rows (rk, doc_id, n, ck), the component of each class (ck, first_id, root), and the texts (ck, text) of all classes with links.
+
+    A class with a link had one verified, so its text was read then.
+    """
     signs = materialize(_sign(docs, words, percent, _common_shingles(docs, words, common)), "signs")
     # extra work for equal sets ends here: from now on there is one row for each class
     classes = materialize(signs.where("n > 0").groupBy("ck").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
@@ -330,12 +335,13 @@ def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[Dat
     stars = live.where("leader is not null").select(F.col("key").alias("gkey"), "leader").distinct()
     stars = stars.join(groups, "gkey").withColumnRenamed("first_ck", "b").join(groups.select(F.col("gkey").alias("leader"), F.col("first_ck").alias("a")), "leader").select("a", "b")
     inner = classes.join(groups, "gkey").where("ck <> first_ck").select(F.col("first_ck").alias("a"), F.col("ck").alias("b"))
-    links = materialize(_verify(stars.union(inner), classes, docs, words, percent), "links")
+    links, texts = _verify(stars.union(inner), classes, docs, words, percent)
     # from here on only shingles that several components share matter
     rows = live.select("token", "band", "pos", "n", F.col("key").alias("gkey")).join(classes.select("gkey", "ck"), "gkey").select("token", "band", "pos", "n", "ck")
     rows, placed = _between(rows, classes, components(links))
     more = _led_pairs(rows.select("token", "band", "pos", "n", F.col("ck").alias("key"), "root"), percent, 3)
-    links = links.union(materialize(_verify(more, classes, docs, words, percent), "links"))
+    found, read = _verify(more, classes, docs, words, percent)
+    links, texts = links.union(found), texts.union(read)
     rows, placed = _between(rows.drop("root"), classes, components(links))
     # the rest: every pair across components that the filters let through
     rows = rows.join(classes.select("ck", "bits"), "ck")
@@ -347,8 +353,9 @@ def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[Dat
     )
     within = placed.join(placed.select("gkey", F.col("ck").alias("b"), F.col("root").alias("root_b")), "gkey").where("root < root_b").select(F.col("ck").alias("a"), "b")
     rest = across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(links.union(_verify(rest, classes, docs, words, percent)))
-    return signs, classes, materialize(classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root")), "named")
+    found, read = _verify(rest, classes, docs, words, percent)
+    roots = components(links.union(found))
+    return signs, materialize(classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root")), "named"), texts.union(read)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, common: int = 1 << 18, links: bool = False) -> DataFrame:
@@ -362,10 +369,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, commo
     ``common`` bounds the table of shared shingles that orders the prefixes; it affects speed alone.
     """
     docs = docs.select("doc_id", "text")
-    signs, classes, named = _joined(docs, words, percent, common)
+    signs, named, texts = _joined(docs, words, percent, common)
     found = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
     if links:
-        found = found.join(_link_counts(named.select("ck", "root"), classes, docs, words, percent), "ck", "left")
+        found = found.join(_link_counts(named.select("ck", "root"), texts, words, percent), "ck", "left")
     found = materialize(found.select("ck", "component_id", *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * links), "found")
     out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("ck")).alias("ck")).join(found, "ck", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -379,7 +386,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     stays. Rows without doc_id come after all others of their group. Rows without a set of shingles (null, empty, wordless
     texts) stay. All columns pass unchanged, whatever their names.
     """
-    signs, _, named = _joined(docs.select("doc_id", "text"), words, percent, 1 << 18)
+    signs, named, _ = _joined(docs.select("doc_id", "text"), words, percent, 1 << 18)
     rows = signs.where("n > 0").select("rk", "doc_id", "ck").join(named.select("ck", "root"), "ck")
     first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "rk")
     keepers = materialize(rows.groupBy("root").agg(F.min(first).alias("first")).select("first.d", "first.rk"), "keepers")

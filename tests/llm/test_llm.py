@@ -128,9 +128,9 @@ def test_link_counts_over_blocks(spark):  # noqa: ANN001
     links = {a: sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets}
     assert len(set(links.values())) > 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    signs, classes, named = jaccard_join._joined(df, 5, 80, 1 << 18)
+    signs, named, read = jaccard_join._joined(df, 5, 80, 1 << 18)
     for block in (8, 1000):
-        n = {r["ck"]: r["n_links"] for r in jaccard_join._link_counts(named.select("ck", "root"), classes, df, 5, 80, block).collect()}
+        n = {r["ck"]: r["n_links"] for r in jaccard_join._link_counts(named.select("ck", "root"), read, 5, 80, block).collect()}
         got = sorted((r["doc_id"], n.get(r["ck"], 0)) for r in signs.collect())
         assert got == [(i, links[shingles(t)]) for i, t in enumerate(texts)]
 
