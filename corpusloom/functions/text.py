@@ -35,13 +35,14 @@ BATCH_RULE_WORDS = [
 ]
 BATCH_SNAPSHOT_WORDS = [
     "单副本 Running", "Pod 状态为 Running", "Pod 状态为", "已扩容", "已推送到 release/", "已合入 release/", "已 push 到",
-    "已推送远程", "已 push", "提交为 ", "提交 commit", "最终提交为", "修复提交为", "Deployment gaia-lite", "容器名为 ccc",
+    "已推送远程", "已 push", "提交为 ", "提交 commit", "最终提交为", "修复提交为",
     "当前镜像为", "修复镜像为", "构建镜像为", "部署镜像", "镜像为 ", "pipeline 均成功", "构建成功", "CI 成功", "pipeline 构建成功",
 ]
 BATCH_COMMIT_WORDS = ["提交", "commit", "push", "合入", "cherry-pick", "rebase"]
-IMAGE_TAG = r"[0-9]+\.[0-9]+\.[0-9]+-(?:beta|stable)-[0-9a-f]{6,}"
-PRIVATE_ADDRESS = r"(?:10\.12\.0\.78|10\.99\.[0-9]+|172\.20\.[0-9]+|39\.105\.[0-9]+)"
-PIPELINE = r"pipeline\s*#?\s*[0-9]{5,}"
+IMAGE_TAG = r"\d+\.\d+\.\d+-(?:beta|stable)-[0-9a-f]{6,}"
+PIPELINE = r"pipeline\s*#?\s*\d{5,}"
+#: Addresses of private networks; pass those of your own installations, and names of its deployments, as parameters.
+PRIVATE_ADDRESS = r"\b(?:10\.\d+|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.\d+"
 COMMIT_HASH = r"\b[0-9a-f]{7,40}\b"
 GENERATED_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "composer.lock", "Gemfile.lock"]
 GENERATED_SUFFIXES = [".lock", ".min.js", ".min.css", ".snap"]
@@ -257,18 +258,19 @@ def is_noise_chunk(text: Column, least: int = 40) -> Column:
     return (F.length(body) < least) | bare.isin(ACKNOWLEDGEMENTS) | looks_like_log(body)
 
 
-def _is_snapshot(text: Column, rules: list[str], words: list[str], commits: list[str], pipeline: str) -> Column:
-    shown = text.rlike(IMAGE_TAG) | text.rlike(PRIVATE_ADDRESS) | text.rlike(pipeline) | (text.rlike(COMMIT_HASH) & contains_any(F.lower(text), commits)) | contains_any(text, words)
+def _is_snapshot(text: Column, rules: list[str], words: list[str], commits: list[str], pipeline: str, addresses: str) -> Column:
+    shown = text.rlike(IMAGE_TAG) | text.rlike(addresses) | text.rlike(pipeline) | (text.rlike(COMMIT_HASH) & contains_any(F.lower(text), commits)) | contains_any(text, words)
     return ~contains_any(text, rules) & shown
 
 
-def is_snapshot_obs(text: Column) -> Column:
-    """A passing state (image, address, build, commit) rather than a lasting rule."""
-    return _is_snapshot(text, RULE_WORDS, SNAPSHOT_WORDS, COMMIT_WORDS, "(?i)" + PIPELINE)
+def is_snapshot_obs(text: Column, addresses: str = PRIVATE_ADDRESS, names: tuple[str, ...] = ()) -> Column:
+    """A passing state (image, address, build, commit) rather than a lasting rule; ``addresses`` is a pattern of private ones, ``names`` are further words that show one."""
+    return _is_snapshot(text, RULE_WORDS, [*SNAPSHOT_WORDS, *names], COMMIT_WORDS, "(?i)" + PIPELINE, addresses)
 
 
-def is_snapshot_obs_batch(text: Column) -> Column:
-    return _is_snapshot(text, BATCH_RULE_WORDS, BATCH_SNAPSHOT_WORDS, BATCH_COMMIT_WORDS, PIPELINE)
+def is_snapshot_obs_batch(text: Column, addresses: str = PRIVATE_ADDRESS, names: tuple[str, ...] = ()) -> Column:
+    """The same with the word lists for cleaning what is stored."""
+    return _is_snapshot(text, BATCH_RULE_WORDS, [*BATCH_SNAPSHOT_WORDS, *names], BATCH_COMMIT_WORDS, PIPELINE, addresses)
 
 
 def vague_wording(text: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Conversations, tasks and runs; curation of facts."""
+"""Conversations, tasks and runs: listings, status, transcripts; writes and names of facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -15,6 +15,59 @@ TRANSITIONS = [
 ]
 
 
+def list_conversations(conversations: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Newest first."""
+    return conversations.orderBy(F.desc("updated_at"), key)
+
+
+def list_tasks(tasks: DataFrame) -> DataFrame:
+    """Newest first."""
+    return tasks.orderBy(F.desc("updated_at"), "task_id")
+
+
+def list_messages(messages: DataFrame, key: str = "conversation_id", order: str = "id") -> DataFrame:
+    """Each conversation's messages in the order in which they were written."""
+    return messages.orderBy(key, order)
+
+
+def list_runs(runs: DataFrame) -> DataFrame:
+    """Each task's runs by their number."""
+    return runs.orderBy("task_id", "seq")
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """(task_id, seq, status) of each task's last run."""
+    return runs.groupBy("task_id").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
+
+
+def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, child_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parents that aren't ``gone`` (key), and children whose parent isn't."""
+    ids = gone.select(key).distinct()
+    return parents.join(ids, key, "left_anti"), children.join(ids.withColumnRenamed(key, child_key or key), child_key or key, "left_anti")
+
+
+# Titles of a task's transcript and of its specification's lists.
+TRANSCRIPT_TITLES = {"input": "任务输入", "spec": "任务规格", "result": "最终采纳的产出"}
+SPEC_LISTS = {"constraints": "约束", "scope": "涉及范围", "accept_criteria": "验收标准", "missed_points": "易遗漏点", "steps": "建议步骤"}
+SPEC = "struct<goal: string, background: string, constraints: array<string>, scope: array<string>, accept_criteria: array<string>, missed_points: array<string>, steps: array<string>>"
+
+
+def render_spec(spec: Column) -> Column:
+    """A task's specification as text: goal and background, then each list that has entries."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    parts = [F.when(filled(spec["goal"]), F.concat(F.lit("目标: "), spec["goal"])), F.when(filled(spec["background"]), F.concat(F.lit("背景:\n"), spec["background"]))]
+    for field, title in SPEC_LISTS.items():
+        parts.append(F.when(F.size(spec[field]) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(F.transform(spec[field], lambda x: F.concat(F.lit("- "), x)), "\n"))))
+    return F.concat_ws("\n\n", *parts)
+
+
+def task_transcript(tasks: DataFrame) -> DataFrame:
+    """(task_id, text) of tasks (task_id, input, spec, result): titled blocks of what is there; tasks without any have none."""
+    block = lambda key, c: F.when(F.coalesce(T.trim(c), F.lit("")) != "", F.concat(F.lit(TRANSCRIPT_TITLES[key] + ":\n"), T.trim(c)))
+    text = F.concat_ws("\n\n", block("input", F.col("input")), block("spec", render_spec(F.col("spec"))), block("result", F.col("result")))
+    return tasks.select("task_id", text.alias("text")).where("text <> ''")
+
+
 def conversation_activity(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Conversations with the newest message's time and the newest model that isn't empty."""
     fresh = messages.groupBy("conversation_id").agg(F.max("created_at").alias("newest"), F.max_by("model", F.when(F.col("model") != "", F.col("created_at"))).alias("new_model"))

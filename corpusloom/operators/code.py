@@ -69,6 +69,22 @@ def extract_go_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return declared, calls.withColumn("package", T.package_name(F.col("path"))).join(known, ["package", "callee"]).select("path", "caller", "callee")
 
 
+def package_in_degree(relations: DataFrame) -> DataFrame:
+    """(package, degree): how many relations lead into each package."""
+    return relations.groupBy(T.package_name(F.col("dst")).alias("package")).agg(F.count("*").alias("degree"))
+
+
+def change_frequency(commit_files: DataFrame, newest: int = 300) -> DataFrame:
+    """(path, n): in how many of the ``newest`` commits each path of (commit_rank, path) occurs; ranks begin at 1."""
+    return commit_files.where(F.col("commit_rank") <= newest).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def file_symbols(relations: DataFrame, label: str = "包含") -> DataFrame:
+    """(src, symbols): what each file contains, in order."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dst"))), lambda x: x["dst"])
+    return relations.where(F.col("label") == label).groupBy("src").agg(rows.alias("symbols"))
+
+
 def size_preference(size: Column) -> Column:
     return F.when(size == 0, 0.0).when(size < 200, 0.2).when(size < 12_000, 1.0).otherwise(0.3)
 
@@ -76,7 +92,7 @@ def size_preference(size: Column) -> Column:
 def select_key_files(files: DataFrame, changes: DataFrame, relations: DataFrame, n: int = 40) -> DataFrame:
     """The ``n`` files (path, size, ordinal) of highest score by changes, the package's incoming edges, naming and size."""
     freq = changes.groupBy("path").agg(F.count("*").alias("freq"))
-    degree = relations.groupBy(T.package_name(F.col("dst")).alias("package")).agg(F.count("*").alias("degree"))
+    degree = package_in_degree(relations)
     x = files.join(freq, "path", "left").withColumn("package", T.package_name(F.col("path"))).join(degree, "package", "left")
     score = 3.0 * F.coalesce("freq", F.lit(0)) + 1.5 * F.coalesce("degree", F.lit(0)) + F.when(T.is_entry_point(F.col("path")), 4.0).otherwise(0.0) + size_preference(F.col("size"))
     return x.select("path", "ordinal", score.alias("score")).orderBy(F.desc("score"), "ordinal").limit(n)

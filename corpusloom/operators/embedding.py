@@ -7,7 +7,6 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,6 @@ class RecallOptions:
         return RecallOptions(floor=0.12 if lexical else 0.30)
 
 
-@lru_cache(maxsize=200_000)
 def _place(term: str) -> tuple[int, float]:
     h = FNV_OFFSET
     for b in term.encode():
@@ -54,22 +52,52 @@ def term_counts(text: str) -> Counter:
     return terms
 
 
+def term_frequency(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, n): how often each word of letters and digits stands in each text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    return texts.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+class Terms(dict):
+    """Bucket and sign of terms, made on first use; emptied when full."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, term: str) -> tuple[int, float]:
+        if len(self) >= self.limit:
+            self.clear()
+        self[term] = found = _place(term)
+        return found
+
+
+_terms = Terms()
+
+
+def lexical_rows(texts: list[str]) -> np.ndarray:
+    """A row of DIM numbers for each text: all texts' terms are placed, weighed and summed up together."""
+    counts = [list(term_counts(t or "").items()) for t in texts]
+    sizes = [len(c) for c in counts]
+    placed = [_terms[term] for c in counts for term, _ in c]
+    if not placed:
+        return np.zeros((len(texts), DIM))
+    place = np.asarray(placed)
+    weight = place[:, 1] * (1 + np.log(np.asarray([n for c in counts for _, n in c], dtype=np.float64)))
+    flat = np.bincount(np.repeat(np.arange(len(texts)), sizes) * DIM + place[:, 0].astype(np.int64), weight, minlength=len(texts) * DIM)
+    rows = flat.reshape(len(texts), DIM)
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
 def sparse_vector(text: str) -> dict[int, float]:
-    """Bucket to weight, of length 1; buckets in order, so that sums are the same every time."""
-    out: dict[int, float] = {}
-    for term, n in sorted(term_counts(text).items()):
-        bucket, sign = _place(term)
-        out[bucket] = out.get(bucket, 0.0) + sign * (1 + np.log(n))
-    norm = np.sqrt(sum(v * v for _, v in sorted(out.items())))
-    return {b: v / norm for b, v in sorted(out.items())} if norm else {}
+    """Bucket to weight, of length 1."""
+    row = lexical_rows([text])[0]
+    return {int(b): float(row[b]) for b in np.flatnonzero(row)}
 
 
 def lexical_vectors(texts: list[str]) -> list[list[float]]:
-    rows = np.zeros((len(texts), DIM), dtype=np.float32)
-    for i, t in enumerate(texts):
-        v = sparse_vector(t or "")
-        rows[i, list(v)] = list(v.values())
-    return rows.tolist()
+    return lexical_rows(texts).astype(np.float32).tolist()
 
 
 def embed_batch(df: DataFrame, text: str, fn: Callable[[list[str]], list[list[float]]] = lexical_vectors, batch: int = 96, retries: int = 3, wait: float = 0.5) -> DataFrame:
@@ -110,19 +138,28 @@ def embed_sparse(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(rows, f"`{key}` {kind}, bucket int, weight double")
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, blocks: int = 32, together: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, a_block: int = 20_000, together: int = 4096, within: str | None = None) -> DataFrame:
     """Per query (query_id, embedding) the ``k`` items (id, embedding) of highest cosine, at least ``floor``: score and rank; ties by id.
 
-    Items are dealt out to ``blocks`` and queries to blocks of about ``together``; each query block meets each item block in
-    one task, which multiplies batch by batch and keeps the best, and a window merges the blocks' results.
-    Empty and zero vectors take no part; vectors are compared with those of their own length.
+    Exact: every query meets every item, or those of its own value of the column ``within``. Items are dealt to blocks of about ``a_block``
+    and queries to blocks of about ``together``; a task multiplies one block by the other, batch by batch, and a window merges the
+    blocks' best. Empty and zero vectors take no part; vectors are compared with those of their own length.
     """
-    n = max(1, -(-queries.count() // together))
-    vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
     kinds = {"query_id": queries.schema["query_id"].dataType, "id": items.schema["id"].dataType}
-    q = queries.where(F.size("embedding") > 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("part"), F.lit(0).alias("role"), "query_id", F.lit(None).cast(kinds["id"]).alias("id"), vector)
-    v = items.where(F.size("embedding") > 0).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(1).alias("role"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "id", vector)
-    met = q.unionByName(v).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    group = F.xxhash64(within) if within else F.lit(0).cast("long")
+    vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    q = queries.where(F.size("embedding") > 0).select(group.alias("g"), "query_id", vector)
+    v = items.where(F.size("embedding") > 0).select(group.alias("g"), "id", vector)
+    # how many blocks each group has: a row for each group, one without ``within``; few items are spread over some tasks too
+    n = F.count("*")
+    parts = q.groupBy("g").agg(F.ceil(n / together).cast("int").alias("parts"))
+    sizes = parts.join(v.groupBy("g").agg(F.greatest(F.ceil(n / a_block), F.least(F.ceil(n / 256), F.lit(32))).cast("int").alias("blocks")), "g")
+    q, v = q.join(sizes, "g"), v.join(sizes, "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = q.select("g", every("blocks").alias("block"), own("query_id", "parts").alias("part"), F.lit(0).alias("role"), "query_id", F.lit(None).cast(kinds["id"]).alias("id"), "v")
+    v = v.select("g", own("id", "blocks").alias("block"), every("parts").alias("part"), F.lit(1).alias("role"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "id", "v")
+    met = q.unionByName(v).repartition("g", "block", "part").sortWithinPartitions("g", "block", "part", "role")
     schema = f"query_id {kinds['query_id'].simpleString()}, id {kinds['id'].simpleString()}, score double"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +167,15 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, blocks:
         block = None
         for batch in batches:
             types = [batch.schema.field("query_id").type, batch.schema.field("id").type]
-            names = list(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True))
+            names = list(zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist(), strict=True))
             ids, vectors = (batch.column("query_id").to_pylist(), batch.column("id").to_pylist()), batch.column("v")
             at = 0
             while at < len(names):
                 to = at
                 while to < len(names) and names[to] == names[at]:
                     to += 1
-                if names[at][:2] != block:
-                    block, held = names[at][:2], {}
+                if names[at][:3] != block:
+                    block, held = names[at][:3], {}
                 part = vectors.slice(at, to - at)
                 sizes, flat = pc.list_value_length(part).to_numpy(), part.flatten().to_numpy()
                 starts = np.cumsum(sizes) - sizes
@@ -147,7 +184,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, floor: float, blocks:
                     x = flat[starts[rows][:, None] + np.arange(dim)]
                     length = np.sqrt((x * x).sum(axis=1))
                     rows, x = rows[length > 0], x[length > 0] / length[length > 0, None]
-                    if names[at][2] == 0:
+                    if names[at][3] == 0:
                         known = held.setdefault(dim, ([], []))
                         known[0].extend(ids[0][at + r] for r in rows)
                         known[1].append(x)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,34 @@ def entity_degree(relations: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.count("*").alias("degree"))
 
 
+def namespace_counts(entities: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+    """(namespace, entities): how many entities each namespace has; with ``namespaces`` also those that have none."""
+    n = entities.select("namespace", T.norm_key(F.col("name")).alias("key")).distinct().groupBy("namespace").agg(F.count("*").alias("entities"))
+    return n if namespaces is None else namespaces.select("namespace").distinct().join(n, "namespace", "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
+
+
+def distinct_sources(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(.., source, ordinal): each source once, where it stands first; sorted by ordinal this is the order of first sight."""
+    return facts.where(F.coalesce(F.col("source"), F.lit("")) != "").groupBy(*keys, "source").agg(F.min("ordinal").alias("ordinal"))
+
+
+def get_entity(names: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Entities (namespace, name, ordinal, type, aliases, observations) that ``names`` (mention) mean by name or alias, with their relations as ``edges``.
+
+    Edges are those of the namespace if relations have one. Of several entities with a key, the first of each namespace is meant.
+    """
+    keys = explode_keys(entities.select("namespace", "name", "aliases", "ordinal"), "namespace")
+    first = keys.groupBy("namespace", "key").agg(F.min_by("name", "ordinal").alias("name"))
+    found = names.select(T.norm_key(F.col("mention")).alias("key"), "mention").distinct().join(first, "key").drop("key")
+    on = [c for c in ("namespace",) if c in relations.columns]
+    edge = F.struct("ordinal", "src", "dst", "label")
+    ends = relations.select(*on, F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("k"), edge.alias("edge"))
+    wanted = found.select(*on, F.lower("name").alias("k")).distinct()
+    edges = ends.join(wanted, [*on, "k"], "left_semi").groupBy(*on, "k").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    out = found.join(entities, ["namespace", "name"]).withColumn("k", F.lower("name")).join(edges, [*on, "k"], "left").drop("k")
+    return out.withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
+
+
 def hub_entity(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """The entity of highest degree of each namespace, the first on ties."""
     e = entities.join(entity_degree(relations).withColumnRenamed("name", "key"), T.norm_key(entities["name"]) == F.col("key"), "left")
@@ -172,29 +203,31 @@ def merge_entities(mentions: DataFrame, materialize, mode: str = "exact") -> Dat
     if mode == "component":
         first = named.groupBy("root").agg(F.min_by("name", "ordinal").alias("canonical"))
         return named.join(first, "root").drop("root")
-    schema = "namespace string, ordinal long, name string, canonical string"
-    return named.select("root", "namespace", "ordinal", "name", "aliases").groupBy("root").applyInPandas(_fold, schema)
+    rows = named.select("root", "namespace", "ordinal", "name", "aliases").repartition("root").sortWithinPartitions("root", "ordinal")
+    return rows.mapInArrow(_fold, "namespace string, ordinal long, name string, canonical string")
 
 
 def _norm(s: str) -> str:
     return s.strip().lower()
 
 
-def _fold(pdf):  # noqa: ANN001, ANN202
-    held: dict[str, int] = {}
-    entities: list[tuple[str, list[str]]] = []
-    out = []
-    for r in pdf.sort_values("ordinal").itertuples():
-        names = [r.name, *(r.aliases if r.aliases is not None else [])]
-        keys = [k for k in map(_norm, names) if k]
-        at = next((held[k] for k in keys if k in held), None)
-        if at is None:
-            at = len(entities)
-            entities.append((r.name, []))
-        known = entities[at][1]
-        known += [k for k in keys if k not in known]
-        held.update(dict.fromkeys(known, at))
-        out.append((r.namespace, r.ordinal, r.name, entities[at][0]))
-    import pandas as pd
-
-    return pd.DataFrame(out, columns=["namespace", "ordinal", "name", "canonical"])
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each mention's entity, component by component; what is held of one is its keys, not its mentions."""
+    root = None
+    held: dict[str, int] = {}  # the entity that a key leads to
+    entities: list[tuple[str, list[str]]] = []  # name, keys
+    for batch in batches:
+        canonical = []
+        for at, name, aliases in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if at != root:
+                root, held, entities = at, {}, []
+            keys = [k for k in map(_norm, [name, *(aliases or [])]) if k]
+            mine = next((held[k] for k in keys if k in held), None)
+            if mine is None:
+                mine = len(entities)
+                entities.append((name, []))
+            known = entities[mine][1]
+            known += [k for k in keys if k not in known]
+            held.update(dict.fromkeys(known, mine))
+            canonical.append(entities[mine][0])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(canonical, type=pa.string())], names=["namespace", "ordinal", "name", "canonical"])

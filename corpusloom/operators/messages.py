@@ -17,6 +17,27 @@ def keyword_search(docs: DataFrame, keyword: str, namespace: str | None = None,
     return hits.orderBy(F.desc("updated_at"), "session_id", "seq").limit(limit if limit > 0 else 50)
 
 
+def scope_filter(rows: DataFrame, scope: str = "", active: str = "") -> DataFrame:
+    """Rows of the namespaces in ``scope``: names with commas between, * for all; empty: the ``active`` one, or all where there is none."""
+    names = [x.strip() for x in (scope.strip() or active).split(",") if x.strip()]
+    return rows if not names or names == ["*"] else rows.where(F.col("namespace").isin(names))
+
+
+def session_listing(*messages: DataFrame) -> DataFrame:
+    """All agents' sessions (session_id, updated_at, messages), newest first."""
+    every = messages[0]
+    for m in messages[1:]:
+        every = every.unionByName(m, allowMissingColumns=True)
+    return every.groupBy("session_id").agg(F.max("updated_at").alias("updated_at"), F.count("*").alias("messages")).orderBy(F.desc("updated_at"), "session_id")
+
+
+def overview_top(rows: DataFrame, section: list[str], order: list, most: int = 12) -> DataFrame:
+    """The first ``most`` rows of each section with their ``rank``, and how many ``more`` there are."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*section).orderBy(*order))).where(F.col("rank") <= most)
+    sizes = rows.groupBy(*section).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return ranked.join(sizes, section)
+
+
 def first_when(value: Column, cond: Column, order: str = "seq") -> Column:
     return F.min_by(value, F.when(cond, F.col(order)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -10,27 +10,43 @@ from corpusloom.operators.embedding import RecallOptions, nearest
 from corpusloom.operators.messages import keep_until, keep_within, rrf_fuse
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct stretches of ``n`` characters (shorter texts whole)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def contained(parts: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(part_id, id): which of the parts (part_id, part) of ``n`` characters or more stand in which of the texts (id, low).
+
+    Parts and texts meet by one gram of the part, the one that fewest texts have, with their ids alone; then each text meets the
+    parts that it can hold, and what it does hold stays.
+    """
+    grams = texts.select("id", F.explode(_grams(F.col("low"), n)).alias("gram"))
+    words = parts.select("part").distinct()
+    spread = words.select("part", F.explode(_grams(F.col("part"), n)).alias("gram"))
+    seen = grams.join(spread.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    # a gram that no text has rules its parts out
+    rarest = spread.join(seen, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(grams, "gram").groupBy("id").agg(F.collect_list("part").alias("asked"))
+    held = texts.join(met, "id").select("id", F.explode(F.filter("asked", lambda p: F.contains("low", p))).alias("part"))
+    return parts.join(held, "part").select("part_id", "id")
+
+
 def entity_keyword_hits(queries: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
     """(query_id, namespace, name, ordinal): the query's text holds the name or an alias of ``least`` characters; a shorter name bars its aliases."""
     keys = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), T.norm_key)
-    e = entities.where(F.length(T.norm_key(F.col("name"))) >= least).select("namespace", "name", "ordinal", F.explode(F.array_distinct(F.filter(keys, lambda k: F.length(k) >= least))).alias("key"))
-    # three characters of the key stand in the text as well: the join is on them, the match is verified after it
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
-    q = queries.select("query_id", F.lower("text").alias("low"))
-    q = q.select("query_id", "low", F.explode(F.array_distinct(grams)).alias("gram"))
-    hits = e.withColumn("gram", F.substring("key", 1, 3)).join(q, "gram").where(F.contains("low", "key"))
-    return hits.select("query_id", "namespace", "name", "ordinal").distinct()
+    e = entities.where(F.length(T.norm_key(F.col("name"))) >= least).select(F.struct("namespace", "name", "ordinal").alias("part_id"), F.explode(F.array_distinct(F.filter(keys, lambda k: F.length(k) >= least))).alias("part"))
+    hits = contained(e, queries.select(F.col("query_id").alias("id"), F.lower("text").alias("low")), least)
+    return hits.select(F.col("id").alias("query_id"), "part_id.*").distinct()
 
 
 def chunk_keyword_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, id, matched) of chunks that hold at least half of the query's distinct terms (rounded down, one at least)."""
     q = queries.select("query_id", T.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    terms = q.select("query_id", F.explode("terms").alias("term"), F.greatest(F.lit(1), F.floor(F.size("terms") / 2)).alias("need"))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    low = chunks.select("id", F.lower("text").alias("low"))
-    low = low.select("id", "low", F.explode(F.array_distinct(grams("low", 2))).alias("gram"))
-    found = terms.withColumn("gram", F.substring("term", 1, 2)).join(low, "gram").where(F.contains("low", "term"))
-    counted = found.groupBy("query_id", "id", "need").agg(F.countDistinct("term").alias("matched"))
+    q = q.withColumn("need", F.greatest(F.lit(1), F.floor(F.size("terms") / 2)))
+    terms = q.select(F.struct("query_id", "need").alias("part_id"), F.explode("terms").alias("part"))
+    found = contained(terms, chunks.select("id", F.lower("text").alias("low")), 2)
+    counted = found.groupBy("part_id.query_id", "id", "part_id.need").agg(F.count("*").alias("matched"))
     return counted.where(F.col("matched") >= F.col("need")).drop("need")
 
 
@@ -49,6 +65,14 @@ def fuse_chunks(ranked: DataFrame, keyword: DataFrame, k: int = 5) -> DataFrame:
     return rrf_fuse(lists, k)
 
 
+def union_hits(*parts: DataFrame) -> DataFrame:
+    """Names that any of the parts has, each once."""
+    every = parts[0].select("name")
+    for p in parts[1:]:
+        every = every.union(p.select("name"))
+    return every.distinct()
+
+
 def recall(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, options: RecallOptions) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, name, how) and chunks (query_id, id, rank).
 
@@ -91,11 +115,3 @@ def obs_near_dup_join(facts: DataFrame, other: DataFrame, keys: list[str], floor
     shared = x.join(y, [*keys, "token"]).groupBy(*keys, "fact_id", "other_id", "n", "m").agg(F.count("*").alias("common"))
     similarity = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
     return shared.select(*keys, "fact_id", "other_id", similarity.alias("similarity")).where(F.col("similarity") >= floor)
-
-
-def resolve_entities(incoming: DataFrame, existing: DataFrame, floor: float = 0.86) -> DataFrame:
-    """Incoming (query_id, name, embedding, aliases) under the existing entity's name where one matches, the old name as alias."""
-    match = best_entity_match(incoming, existing, floor).select("query_id", F.col("id").alias("canonical"))
-    out = incoming.join(match, "query_id", "left")
-    renamed = F.col("canonical").isNotNull() & (T.norm_key(F.col("canonical")) != T.norm_key(F.col("name")))
-    return out.select("query_id", F.coalesce("canonical", "name").alias("name"), F.when(renamed, F.array_append("aliases", F.col("name"))).otherwise(F.col("aliases")).alias("aliases"))

@@ -9,13 +9,14 @@ from corpusloom.functions import text as T
 from corpusloom.operators import archive as A
 from corpusloom.operators import chunking as C
 from corpusloom.operators import code as K
+from corpusloom.operators import curation as U
 from corpusloom.operators import diffs as D
 from corpusloom.operators import embedding as E
 from corpusloom.operators import graph as G
 from corpusloom.operators import messages as M
 from corpusloom.operators import retrieval as R
-from corpusloom.plans.relational import aliased, merged, runs
-from corpusloom.plans.scalars import _OBS, _LINKED, _observations, _snapshot_sql
+from corpusloom.plans.relational import _ALIASED, _NEXT, alias_facts, alias_relations, aliased, merged, no_exclusions, runs
+from corpusloom.plans.scalars import _LINKED, _OBS, _observations, _snapshot_sql, _terms_sql
 from corpusloom.plans.views import MENTIONS, MESSAGES, PATHS, RELATIONS, mentions, messages, paths, query, relations, table
 from corpusloom.sources import readers as S
 from corpusloom.sources.tables import fresh_path, materialize
@@ -51,36 +52,32 @@ def best_entity_match(spark: SparkSession, d: str) -> DataFrame:
     return R.best_entity_match(q, others, 0.2).select("query_id", "id")
 
 
-_NAMES = "(SELECT DISTINCT lower(regexp_extract(text, '^\\w+')) AS name FROM benchmark)"
+_NAMES = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS name FROM benchmark)"
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", r"^\w+", 0)).alias("name")).distinct()
-    return names.select(F.lit("ns").alias("namespace"), "name", F.lit(0).alias("ordinal"), F.array().cast("array<string>").alias("aliases"))
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """(words): all words of each benchmark text, lower-cased, in order."""
+    return table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
 
 
 @query("entity_keyword_hits", f"SELECT conv_id * 100 + turn AS query_id, name FROM conversations, {_NAMES} WHERE length(name) >= 3 AND contains(lower(text), name)")
 def entity_keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
-    return R.entity_keyword_hits(q, _named(spark, d)).select("query_id", "name")
+    e = _words(spark, d).select(F.explode("words").alias("name")).distinct().select(F.lit("ns").alias("namespace"), "name", F.lit(0).alias("ordinal"), F.array().cast("array<string>").alias("aliases"))
+    return R.entity_keyword_hits(q, e).select("query_id", "name")
 
 
-_TERMS = "(SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[^\\s.,]+')[:9], lambda w: length(w) >= 2 AND NOT list_contains(['the', 'is', 'in', 'to', 'of', 'and', 'for', 'on', 'at', 'how', 'what', 'this', 'that', 'with', 'from', 'can', 'do'], w))) AS terms FROM benchmark)"
+_TERMS = f"(SELECT item_id AS query_id, {_terms_sql('text')} AS terms FROM benchmark)"
 _HITS = f"(SELECT query_id, 'c' || conv_id || '.' || turn AS id, len(list_filter(terms, lambda t: contains(lower(text), t))) AS matched, terms FROM {_TERMS}, conversations)"
 
 
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    first = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s.,]+"), F.lit(0)), 1, 9), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text"))
-
-
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text", F.concat(F.lit("s"), "conv_id").alias("source"))
 
 
 @query("chunk_keyword_hits", f"SELECT query_id, id, matched FROM {_HITS} WHERE len(terms) > 0 AND matched >= greatest(1, len(terms) // 2)")
 def chunk_keyword_hits(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_keyword_hits(_asked(spark, d), _chunks(spark, d))
+    return R.chunk_keyword_hits(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _chunks(spark, d))
 
 
 @query(
@@ -106,16 +103,28 @@ def obs_near_dup_join(spark: SparkSession, d: str) -> DataFrame:
     return R.obs_near_dup_join(f, f, ["k"]).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("resolve_entities", _top_sql(1, 0.3).replace("WHERE q.vec_id % 50 = 0)", "WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)").replace("SELECT query_id, id, rank FROM", "SELECT query_id, coalesce('v' || id, 'v' || query_id) AS name FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) LEFT JOIN (SELECT query_id, id, rank FROM", 1) + ") USING (query_id)")
+_MATCHED = _top_sql(1, 0.3).replace("WHERE q.vec_id % 50 = 0)", "WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)")
+
+
+@query(
+    "resolve_entities",
+    f"""SELECT i.vec_id AS query_id, coalesce('v' || m.id, 'v' || i.vec_id) AS name, CASE WHEN m.id IS NULL THEN 0 ELSE 1 END AS aliases, n AS facts FROM
+    (SELECT vec_id, label, CASE WHEN vec_id % 100 = 0 THEN 2 ELSE 1 END AS told FROM embeddings WHERE vec_id % 50 = 0) i LEFT JOIN ({_MATCHED}) m ON m.query_id = i.vec_id LEFT JOIN embeddings e ON e.vec_id = m.id,
+    LATERAL (SELECT told - CASE WHEN e.label = i.label THEN 1 ELSE 0 END AS n) WHERE n > 0""",
+)
 def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
-    q, v = _vectors(spark, d)
-    q = q.withColumn("name", F.concat(F.lit("v"), "query_id")).withColumn("aliases", F.array().cast("array<string>"))
-    return R.resolve_entities(q, v.where("id % 50 <> 0").withColumn("id", F.concat(F.lit("v"), "id")), 0.3).select("query_id", "name")
+    """A label is told in other words: as similar as 0.8 to that of an entity of the same label, less to others."""
+    v, i = table(spark, d, "embeddings"), F.col("vec_id")
+    about = lambda mark: F.concat(F.lit("Label "), F.col("label"), F.lit(f" of the source{mark}"))
+    facts = F.when(i % 100 == 0, F.array(about("!"), F.concat(F.lit("note "), i))).otherwise(F.array(about("!")))
+    incoming = v.where("vec_id % 50 = 0").select(i.alias("query_id"), F.concat(F.lit("v"), i).alias("name"), F.array().cast("array<string>").alias("aliases"), "embedding", facts.alias("observations"))
+    existing = v.where("vec_id % 50 <> 0").select(i.alias("id"), F.concat(F.lit("v"), i).alias("name"), "embedding", F.array(F.lower(about(""))).alias("observations"))
+    return U.resolve_entities(incoming, existing, 0.3).select("query_id", "name", F.size("aliases").alias("aliases"), F.size("observations").alias("facts"))
 
 
 def _words_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Entities of all words of the benchmark's texts, and relations between all neighbouring words of a text; lower-cased."""
-    words = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
+    words = _words(spark, d)
     e = words.select(F.explode("words").alias("name")).distinct()
     e = e.select("name", F.xxhash64("name").alias("ordinal"), F.lit("word").alias("type"), F.array(F.concat(F.lit("fact of "), "name")).alias("observations"), F.array().cast("array<string>").alias("aliases"), F.lit("ns").alias("namespace"))
     pairs = F.transform(F.slice("words", F.lit(2), F.size("words")), lambda w, i: F.struct(F.get("words", i).alias("src"), w.alias("dst")))
@@ -125,9 +134,10 @@ def _words_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Queries of the benchmark, entities of its words, relations between them, chunks of conversations, all with lexical vectors."""
-    q = E.embed_batch(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
+    embedded = lambda df, text: materialize(E.embed_batch(df, text), "embedded")  # noqa: E731  each is read several times
+    q = embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     e, r = _words_graph(spark, d)
-    return q, E.embed_batch(e, "name"), r, E.embed_batch(_chunks(spark, d), "text")
+    return q, embedded(e, "name"), materialize(r, "relations"), embedded(_chunks(spark, d), "text")
 
 
 @query("recall")
@@ -148,12 +158,20 @@ def match_knowledge(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), T.recall_method(F.bool_or(semantic), F.bool_or(keyword)).alias("method"))
 
 
-@query("get_entity", f"SELECT namespace, name, count(*) AS facts, (SELECT count(*) FROM {RELATIONS} r WHERE r.dst = m.name) AS edges FROM {MENTIONS} m WHERE name IN ('small ring', 'large box') GROUP BY 1, 2")
+_ASKED = "(SELECT unnest(['band3', 'grp7', 'band60', 'nobody']) AS mention)"
+
+
+@query(
+    "get_entity",
+    f"""SELECT mention, namespace, name, type, fact, (SELECT count(*) FROM {_NEXT} r WHERE r.namespace = x.namespace AND x.name IN (r.src, r.dst)) AS edges FROM (
+    SELECT mention, a.namespace, arg_min(a.name, a.ordinal) AS name, arg_min(m.type, a.ordinal) AS type, arg_min(m.fact || ' (' || m.source || ')', a.ordinal) AS fact FROM {_ASKED} JOIN {_ALIASED} a ON mention IN (a.a1, a.a2) JOIN {MENTIONS} m USING (ordinal) GROUP BY 1, 2) x""",
+)
 def get_entity(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").where("p_name in ('small ring', 'large box')").select(F.upper("p_name").alias("mention")).distinct()
-    e = merged(spark, d).join(names, F.lower("mention") == F.col("name"))
-    edges = relations(spark, d).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("edges"))
-    return e.join(edges, "name", "left").select("namespace", "name", F.size("observations").cast("long").alias("facts"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    names = spark.createDataFrame([("Band3",), (" grp7",), ("BAND60",), ("nobody",)], "mention string")
+    e = alias_facts(spark, d).withColumn("observations", F.array(F.struct("text", "source")))
+    found = G.get_entity(names, e, alias_relations(spark, d))
+    fact = F.transform("observations", lambda o: F.concat(o["text"], F.lit(" ("), o["source"], F.lit(")")))[0]
+    return found.select(T.norm_key(F.col("mention")).alias("mention"), "namespace", "name", "type", fact.alias("fact"), F.size("edges").cast("long").alias("edges"))
 
 
 # Chunks and vectors -----------------------------------------------------------------------
@@ -190,8 +208,8 @@ def chunk_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_tasks")
 def chunk_tasks(spark: SparkSession, d: str) -> DataFrame:
-    u = C.split_paragraphs(task_transcript(spark, d).withColumnRenamed("task_id", "doc_id"), "doc_id").select(F.lit("ns").alias("namespace"), F.concat(F.lit("task:"), "doc_id").alias("source"), "seq", "unit")
-    return C.chunk_units(u, "task")
+    t = A.task_transcript(_spoken_tasks(spark, d))
+    return C.chunk_texts(t.select(F.lit("ns").alias("namespace"), F.concat(F.lit("task:"), "task_id").alias("source"), "text"), "task")
 
 
 @query("chunk_code")
@@ -305,18 +323,25 @@ def validate_mentions(spark: SparkSession, d: str) -> DataFrame:
 # Curation ---------------------------------------------------------------------------------
 
 
-@query("move_entities", f"SELECT CASE WHEN name LIKE 'small%' THEN 'other' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} GROUP BY 1")
+_OWN_RELATIONS = f"(SELECT 'ns' || (ordinal % 4) AS namespace, src, dst, label FROM {RELATIONS})"
+
+
+def own_relations(spark: SparkSession, d: str) -> DataFrame:
+    return relations(spark, d).withColumn("namespace", F.concat(F.lit("ns"), F.col("ordinal") % 4))
+
+
+@query("move_entities", f"SELECT 'fact' AS kind, CASE WHEN namespace = 'ns1' AND name LIKE 'small%' THEN 'other' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} GROUP BY 2 UNION ALL SELECT 'relation', CASE WHEN namespace = 'ns1' AND dst LIKE 'small%' THEN 'other' ELSE namespace END, count(*) FROM {_OWN_RELATIONS} GROUP BY 2")
 def move_entities(spark: SparkSession, d: str) -> DataFrame:
     m = mentions(spark, d)
-    names = m.where("name like 'small%'").select("name").distinct()
-    moved, stay = m.join(names, "name", "left_semi").withColumn("namespace", F.lit("other")), m.join(names, "name", "left_anti")
-    return stay.unionByName(moved).groupBy("namespace").agg(F.count("*").alias("n"))
+    facts, edges = U.move_entities(m, own_relations(spark, d), m.where("name like 'small%'").select(F.upper("name").alias("name")), "ns1", "other")
+    count = lambda df, kind: df.groupBy(F.lit(kind).alias("kind"), "namespace").agg(F.count("*").alias("n"))
+    return count(facts, "fact").unionByName(count(edges, "relation"))
 
 
 @query("migrate_namespaces", f"SELECT CASE namespace WHEN 'ns0' THEN 'a' WHEN 'ns1' THEN 'a' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} GROUP BY 1")
 def migrate_namespaces(spark: SparkSession, d: str) -> DataFrame:
-    renamed = F.create_map(F.lit("ns0"), F.lit("a"), F.lit("ns1"), F.lit("a"))
-    return mentions(spark, d).withColumn("namespace", F.coalesce(renamed[F.col("namespace")], "namespace")).groupBy("namespace").agg(F.count("*").alias("n"))
+    renamed = spark.createDataFrame([("ns0", "a"), ("ns1", "a")], "namespace string, target string")
+    return U.migrate_namespaces(mentions(spark, d), renamed).groupBy("namespace").agg(F.count("*").alias("n"))
 
 
 @query("route_entities", f"SELECT CASE WHEN name LIKE '%ring' THEN '_global_' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} WHERE name NOT LIKE 'small%' GROUP BY 1")
@@ -346,35 +371,59 @@ def replace_observations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edit_observation", f"SELECT ordinal, CASE WHEN record_id = 'r7' AND fact LIKE 'Brand#2%' THEN fact || '!' ELSE fact END AS fact FROM {MENTIONS}")
 def edit_observation(spark: SparkSession, d: str) -> DataFrame:
-    m = mentions(spark, d)
-    edits = m.where("record_id = 'r7' and fact like 'Brand#2%'").select("record_id", "name", "fact").distinct().withColumn("new", F.concat("fact", F.lit("!")))
-    return m.join(edits, ["record_id", "name", "fact"], "left").select("ordinal", F.coalesce("new", "fact").alias("fact"))
+    m = mentions(spark, d).withColumn("text", F.col("fact"))
+    edits = m.where("record_id = 'r7' and fact like 'Brand#2%'").select("namespace", "record_id", F.upper("name").alias("name"), F.col("fact").alias("old"), F.concat("fact", F.lit("! ")).alias("new"))
+    return U.edit_observation(m, edits, no_exclusions(spark))[0].select("ordinal", F.col("text").alias("fact"))
+
+
+_EXCLUDED = f"SELECT 'fact' AS kind, namespace, sha1(lower(name) || chr(0) || fact) AS key FROM {MENTIONS} WHERE ordinal % 7 = 0 OR ordinal % 5 = 0 UNION SELECT 'session', namespace, source FROM {MENTIONS} WHERE ordinal % 11 = 0"
+
+
+def _exclusions(spark: SparkSession, d: str) -> U.Exclusions:
+    """Exclusions in three steps: two of facts, which overlap, and one of sessions."""
+    m = mentions(spark, d).withColumn("text", F.col("fact"))
+    known = U.exclude(U.exclude(no_exclusions(spark), facts=m.where("ordinal % 7 = 0")), facts=m.where("ordinal % 5 = 0"))
+    return U.exclude(known, sessions=m.where("ordinal % 11 = 0").select("namespace", F.col("source").alias("session_id")))
+
 
+def _rows(known: U.Exclusions) -> DataFrame:
+    return known.facts.select(F.lit("fact").alias("kind"), "namespace", F.col("obs_key").alias("key")).unionByName(known.sessions.select(F.lit("session").alias("kind"), "namespace", F.col("session_id").alias("key")))
 
-@query("exclude", "SELECT count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_partkey % 7 = 0 UNION SELECT p_partkey FROM part WHERE p_partkey % 5 = 0)")
+
+@query("exclude", _EXCLUDED)
 def exclude(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey")
-    return p.where("p_partkey % 7 = 0").union(p.where("p_partkey % 5 = 0")).distinct().agg(F.count("*").alias("n"))
+    return _rows(_exclusions(spark, d))
 
 
-@query("unexclude", "SELECT count(*) AS n FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 0")
+@query("unexclude", f"({_EXCLUDED}) EXCEPT (SELECT 'fact', namespace, sha1(lower(name) || chr(0) || fact) FROM {MENTIONS} WHERE ordinal % 5 = 0 UNION ALL SELECT 'session', namespace, source FROM {MENTIONS} WHERE ordinal % 22 = 0)")
 def unexclude(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey")
-    return p.where("p_partkey % 7 = 0").join(p.where("p_partkey % 5 = 0"), "p_partkey", "left_anti").agg(F.count("*").alias("n"))
+    m = mentions(spark, d).withColumn("text", F.col("fact"))
+    return _rows(U.unexclude(_exclusions(spark, d), m.where("ordinal % 5 = 0"), m.where("ordinal % 22 = 0").select("namespace", F.col("source").alias("session_id"))))
 
 
-@query("delete_relation", f"SELECT src, dst, label FROM {RELATIONS} WHERE NOT (src = 'Supplier#000000003' AND dst = 'small ring' AND label = 'A')")
+@query("delete_relation", f"SELECT src, dst, label FROM {RELATIONS} WHERE NOT (src = 'Supplier#000000003' AND label = 'A')")
 def delete_relation(spark: SparkSession, d: str) -> DataFrame:
     r = relations(spark, d)
-    hit = r.where((T.norm_key(F.col("src")) == "supplier#000000003") & (T.norm_key(F.col("dst")) == "small ring") & (T.norm_key(F.col("label")) == "a"))
-    first = hit.agg(F.min(F.struct("ordinal", "src", "dst", "label")).alias("x")).where("x is not null").select("x.src", "x.dst", "x.label")
-    return r.join(first, ["src", "dst", "label"], "left_anti").select("src", "dst", "label")
+    gone = r.where("src = 'Supplier#000000003' and label = 'A'").select(F.upper("src").alias("src"), F.concat(F.lit(" "), "dst").alias("dst"), F.lower("label").alias("label"))
+    return U.delete_relation(r, gone).select("src", "dst", "label")
+
 
+_SNAPSHOTS = f"(SELECT 'r' || (event_id % 7) AS record_id, 'e' || (event_id % 60) AS name, {_snapshot_sql(T.BATCH_RULE_WORDS, T.BATCH_SNAPSHOT_WORDS, T.BATCH_COMMIT_WORDS, T.PIPELINE)} AS s FROM {_OBS})"
 
-@query("clean_snapshots", f"SELECT count(*) FILTER (s) AS removed, count(*) FILTER (NOT s) AS kept FROM (SELECT {_snapshot_sql(T.BATCH_RULE_WORDS, T.BATCH_SNAPSHOT_WORDS, T.BATCH_COMMIT_WORDS, T.PIPELINE)} AS s FROM {_OBS})")
+
+@query(
+    "clean_snapshots",
+    f"""WITH e AS (SELECT record_id, name, count(*) FILTER (s) AS removed, count(*) FILTER (NOT s) AS kept FROM {_SNAPSHOTS} GROUP BY 1, 2), r AS (SELECT record_id, name AS src, 'e' || ((name[2:]::INTEGER + 7) % 60) AS dst FROM e),
+    k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.record_id = r.record_id AND e.name IN (r.src, r.dst) AND e.kept = 0))
+    SELECT count(*) FILTER (kept = 0) AS entities_deleted, count(*) FILTER (kept > 0 AND removed > 0) AS entities_trimmed, sum(removed)::BIGINT AS facts_removed, sum(kept)::BIGINT AS facts, (SELECT count(*) FROM k) AS relations FROM e""",
+)
 def clean_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    s = T.is_snapshot_obs_batch(F.col("obs"))
-    return _observations(spark, d).agg(F.count_if(s).alias("removed"), F.count_if(~s).alias("kept"))
+    i = F.col("event_id")
+    facts = _observations(spark, d).select(F.concat(F.lit("r"), i % 7).alias("record_id"), F.concat(F.lit("e"), i % 60).alias("name"), F.col("obs").alias("text"))
+    edges = facts.select("record_id", F.col("name").alias("src")).distinct().withColumn("dst", F.concat(F.lit("e"), (F.substring("src", 2, 9).cast("int") + 7) % 60)).withColumn("label", F.lit("next"))
+    kept, edges, report = U.clean_snapshots(facts, edges)
+    one = lambda df, c: df.agg(F.count("*").alias(c))
+    return report.crossJoin(one(kept, "facts")).crossJoin(one(edges, "relations"))  # one row each
 
 
 # Diffs ------------------------------------------------------------------------------------
@@ -425,11 +474,21 @@ def diff_query(spark: SparkSession, d: str) -> DataFrame:
 # Archive ----------------------------------------------------------------------------------
 
 
-@query("task_transcript", "SELECT o_orderkey AS task_id, '## Task' || chr(10) || o_orderpriority || chr(10) || chr(10) || '## Status' || chr(10) || o_orderstatus AS text FROM orders")
+_TASK_TEXT = """'任务输入:' || chr(10) || o_orderpriority || chr(10) || chr(10) || '任务规格:' || chr(10) || '目标: ' || o_orderstatus || chr(10) || chr(10) || '涉及范围:' || chr(10) || '- c' || o_custkey || chr(10) || '- k' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || chr(10) || '最终采纳的产出:' || chr(10) || 'done ' || o_orderkey END"""
+
+
+@query("task_transcript", f"SELECT o_orderkey AS task_id, {_TASK_TEXT} AS text FROM orders")
 def task_transcript(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), F.col(c)))
-    o = table(spark, d, "orders").withColumn("none", F.lit(""))
-    return o.select(F.col("o_orderkey").alias("task_id"), F.concat_ws("\n\n", part("Task", "o_orderpriority"), part("Spec", "none"), part("Status", "o_orderstatus")).alias("text"))
+    none, key = F.array().cast("array<string>"), F.col("o_orderkey")
+    spec = F.struct(F.col("o_orderstatus").alias("goal"), F.lit("").alias("background"), none.alias("constraints"), F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("k"), key)).alias("scope"), none.alias("accept_criteria"), none.alias("missed_points"), none.alias("steps"))
+    result = F.when(key % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("done "), key))
+    return A.task_transcript(table(spark, d, "orders").select(key.alias("task_id"), F.col("o_orderpriority").alias("input"), spec.alias("spec"), result.alias("result")))
+
+
+def _spoken_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """A task for each conversation: the first turn asks, the last one is the result."""
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(F.min_by("text", "turn").alias("input"), F.max_by("text", "turn").alias("result"))
+    return c.withColumn("spec", F.lit(None).cast(A.SPEC))
 
 
 @query("conversation_activity", "SELECT conv_id AS conversation_id, greatest(conv_id, max(turn * 10)) AS updated_at, coalesce(arg_max('m' || turn, turn) FILTER (turn % 2 = 1), 'old') AS model FROM conversations GROUP BY 1")
@@ -465,30 +524,33 @@ def task_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("list_conversations", f"SELECT session_id, max(updated_at) AS updated_at FROM {MESSAGES} GROUP BY 1 ORDER BY 2 DESC, 1")
 def list_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).groupBy("session_id").agg(F.max("updated_at").alias("updated_at")).orderBy(F.desc("updated_at"), "session_id")
+    c = messages(spark, d).groupBy("session_id").agg(F.max("updated_at").alias("updated_at"))
+    return A.list_conversations(c, "session_id")
 
 
 @query("list_tasks", f"SELECT o_orderkey AS task_id, {_STATUS} AS status FROM orders ORDER BY o_orderdate DESC, 1")
 def list_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return _tasks(spark, d).orderBy(F.desc("updated_at"), "task_id").select("task_id", "status")
+    return A.list_tasks(_tasks(spark, d)).select("task_id", "status")
 
 
 @query("list_messages", f"SELECT session_id, seq, role FROM {MESSAGES} ORDER BY 1, 2")
 def list_messages(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select("session_id", "seq", "role").orderBy("session_id", "seq")
+    return A.list_messages(messages(spark, d).select("session_id", "seq", "role"), "session_id", "seq")
 
 
 @query("list_runs", "SELECT 't' || o_custkey AS task_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey FROM orders")
 def list_runs(spark: SparkSession, d: str) -> DataFrame:
-    return runs(spark, d).select("task_id", F.col("seq").cast("long").alias("seq"), "o_orderkey").orderBy("task_id", "seq")
+    return A.list_runs(runs(spark, d).select("task_id", F.col("seq").cast("long").alias("seq"), "o_orderkey"))
 
 
 @query("read_archive", "SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS messages, (SELECT count(DISTINCT o_custkey) FROM orders) AS tasks, (SELECT count(*) FROM orders) AS runs")
 def read_archive(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").agg(F.countDistinct("conv_id").alias("conversations"), F.count("*").alias("messages"))
-    o = table(spark, d, "orders").agg(F.countDistinct("o_custkey").alias("tasks"), F.count("*").alias("runs"))
-    one = F.lit(1).alias("one")
-    return c.select("*", one).join(o.select("*", one), "one").drop("one")
+    path = fresh_path(spark, "archive")
+    m, r = messages(spark, d), runs(spark, d)
+    S.write_archive(S.Archive(m.groupBy("session_id").agg(F.max("updated_at").alias("updated_at")), m, A.latest_run(r), r), path)
+    found = S.read_archive(spark, path)
+    counts = [getattr(found, c).agg(F.count("*").alias(c)) for c in ("conversations", "messages", "tasks", "runs")]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
 
 
 # Readers and writers ----------------------------------------------------------------------
@@ -535,24 +597,39 @@ def unify_messages(spark: SparkSession, d: str) -> DataFrame:
     return S.unify_messages(part(0, "s"), part(1, "codex:"), part(2, "workbuddy:").withColumn("extra", F.lit(1))).groupBy("agent").agg(F.count("*").alias("n"))
 
 
-@query("read_source_files", f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'x' END AS content FROM {PATHS} WHERE regexp_matches(lower(path), '\\.(go|ts|tsx|js|jsx|py|java|rs|rb|php|c|cc|cpp|h|hpp|cs|kt|swift|scala|m)$') AND NOT regexp_matches(path, '\\.min\\.js$')")
+def _as_files(df: DataFrame, spark: SparkSession, name: str) -> str:
+    """Files below a new path, one for each row of (name, content): Spark writes each into a folder of that name, and ends it with a line break."""
+    path = fresh_path(spark, name)
+    df.select("name", "content").write.option("lineSep", "\n").partitionBy("name").text(path)
+    return path
+
+
+def _file_name(path: Column) -> Column:
+    """The name under which ``_as_files`` wrote a file."""
+    return F.url_decode(F.regexp_extract(path, r"/name=([^/]+)/[^/]+$", 1))
+
+
+@query("read_source_files", f"SELECT path, count(*) AS files, max(CASE WHEN strlen(html) + 1 > 2000 THEN 0 ELSE strlen(html) + 1 END) AS bytes FROM {PATHS} JOIN pages USING (page_id) WHERE regexp_matches(lower(path), '\\.(go|ts|tsx|js|jsx|py|java|rs|rb|php|c|cc|cpp|h|hpp|cs|kt|swift|scala|m)$') AND NOT regexp_matches(path, '\\.min\\.js$') GROUP BY 1")
 def read_source_files(spark: SparkSession, d: str) -> DataFrame:
-    files = paths(spark, d).select("page_id", "path", F.when(F.col("page_id") % 5 == 0, 300_000).otherwise(10).alias("size"), F.lit("x").alias("content"))
-    return S.source_files(files).select("page_id", "content")
+    files = paths(spark, d).join(table(spark, d, "pages").select("page_id", F.col("html").alias("content")), "page_id").withColumn("name", F.col("path"))
+    found = S.read_source_files(spark, _as_files(files, spark, "sources"), 2000, _file_name)
+    return found.groupBy("path").agg(F.count("*").alias("files"), F.max(F.octet_length("content")).alias("bytes"))
 
 
-@query("read_notes", "SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0")
+@query("read_notes", "SELECT doc_id, text || chr(10) AS text FROM documents")
 def read_notes(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh_path(spark, "notes")
-    table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "text").write.json(path)
-    whole = spark.read.schema("doc_id long, text string").json(path).select(F.concat(F.lit("vault/d"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return whole.select(F.regexp_extract("path", r"d(\d+)\.md$", 1).cast("long").alias("doc_id"), F.col("content").alias("text"))
+    notes = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".MD")).alias("name"), F.col("text").alias("content"))
+    found = S.read_notes(spark, _as_files(notes, spark, "notes"), r"(?i)\.md/[^/]+$")
+    return found.select(F.regexp_extract(_file_name(F.col("path")), r"^d(\d+)\.MD$", 1).cast("long").alias("doc_id"), F.col("content").alias("text"))
 
 
-@query("read_memory_notes", "SELECT scope, count(*) AS n FROM (SELECT CASE WHEN doc_id % 50 = 0 THEN 'global' ELSE 'project' END AS scope FROM documents) GROUP BY 1")
+@query("read_memory_notes", "SELECT 'instructions' AS scope, 'c' || item_id AS name, text || chr(10) AS content FROM benchmark UNION ALL SELECT 'memory', 'm' || item_id || '.md', text || chr(10) FROM benchmark WHERE item_id % 3 <> 0")
 def read_memory_notes(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select(F.concat(F.lit("m"), "doc_id").alias("path"), F.col("text").alias("content"), "doc_id")
-    return S.read_memory_notes(x.where("doc_id % 50 = 0"), x.where("doc_id % 50 <> 0")).groupBy("scope").agg(F.count("*").alias("n"))
+    b = table(spark, d, "benchmark").withColumnRenamed("text", "content")
+    common = _as_files(b.withColumn("name", F.concat(F.lit("c"), "item_id")), spark, "instructions")
+    notes = _as_files(b.withColumn("name", F.concat(F.lit("m"), "item_id", F.when(F.col("item_id") % 3 == 0, ".txt").otherwise(".md"))), spark, "memory")
+    found = S.read_memory_notes(spark, common, notes, r"/name=[^/]+\.md/[^/]+$")
+    return found.select("scope", _file_name(F.col("path")).alias("name"), "content")
 
 
 @query("read_records", f"SELECT ordinal, name FROM {MENTIONS} WHERE ordinal % 9 <> 0")
@@ -578,10 +655,12 @@ def write_graph(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("namespace").agg(F.count("*").alias("n"))
 
 
-@query("write_exclusions", "SELECT count(*) AS n FROM part WHERE p_partkey % 13 = 0")
+@query("write_exclusions", f"SELECT kind, count(*) AS n FROM ({_EXCLUDED}) GROUP BY 1")
 def write_exclusions(spark: SparkSession, d: str) -> DataFrame:
-    x = mentions(spark, d).where("ordinal % 13 = 0").select("namespace", T.obs_key(F.concat("name", "ordinal"), F.col("fact")).alias("obs_key"))
-    return materialize(x, "exclusions").agg(F.count("*").alias("n"))
+    path, known = fresh_path(spark, "exclusions"), _exclusions(spark, d)
+    S.write_exclusions(no_exclusions(spark), path, 1)
+    S.write_exclusions(known, path, 2)
+    return _rows(S.read_exclusions(spark, path)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("index_messages", f"SELECT session_id, seq FROM {MESSAGES} WHERE session_id NOT IN (SELECT session_id FROM {MESSAGES} WHERE right(session_id, 1) = '3')")
@@ -597,10 +676,10 @@ def index_messages(spark: SparkSession, d: str) -> DataFrame:
 def stream_messages(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     source, out, checkpoint = (fresh_path(spark, x) for x in ("deltas", "kept", "checkpoint"))
-    e.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("event_seq"), F.col("event_type").alias("delta"), (F.col("event_type") == "purchase").alias("done"), (F.col("event_type") == "error").alias("error")).write.parquet(source)
+    e.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("event_seq"), F.col("event_type").alias("delta"), (F.col("event_type") == "purchase").alias("done"), (F.col("event_type") == "error").alias("error")).repartition(4).write.parquet(source)
     schema = "message_id long, event_seq long, delta string, done boolean, error boolean"
-    streams.stream_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(source), out, checkpoint)
-    return streams.assemble_deltas(spark.read.parquet(out))
+    streams.stream_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source), out, checkpoint)
+    return streams.latest_messages(spark, out).select("message_id", "text", "status", "events")
 
 
 @query("stream_ingest", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
@@ -620,24 +699,48 @@ def stream_sse_events(spark: SparkSession, d: str) -> DataFrame:
         .when(i % 2 == 0, F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), "event_type", F.lit('"}}]}')))
         .otherwise(F.concat(F.lit('data: {"type": "content_block_delta", "delta": {"text": "'), "event_type", F.lit('"}}')))
     )
-    return streams.sse_events(table(spark, d, "events").select(F.col("user_id").alias("stream_id"), i.alias("line_no"), line.alias("line"))).select("line_no", "delta", "done")
+    source, out, checkpoint = (fresh_path(spark, x) for x in ("lines", "events", "checkpoint"))
+    table(spark, d, "events").select(F.col("user_id").alias("stream_id"), i.alias("line_no"), line.alias("line")).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("stream_id long, line_no long, line string").option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_sse_events(stream, out, checkpoint)
+    return spark.read.parquet(out).select("line_no", "delta", "done")
 
 
 @query("stream_task_status", "SELECT user_id AS task_id, arg_max(event_type, event_id) AS status, count(*) AS events FROM events GROUP BY 1")
 def stream_task_status(spark: SparkSession, d: str) -> DataFrame:
-    source = fresh_path(spark, "status")
-    table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", "event_type").write.parquet(source)
-    name = "status_" + source.rsplit("-", 1)[1]
-    return streams.stream_status(spark, source, "task_id long, event_id long, event_type string", "task_id", F.col("event_type"), "event_id", name)
+    source, out, checkpoint = (fresh_path(spark, x) for x in ("status", "latest", "checkpoint"))
+    table(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", "event_type").repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("task_id long, event_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_status(stream, "task_id", F.col("event_type"), "event_id", out, checkpoint)
+    return S.latest_records(spark, out, ["task_id"]).select("task_id", "status", "events")
+
 
+_KEPT_OBS = f"(SELECT event_id, trim(obs) AS obs FROM (SELECT event_id, obs, {_snapshot_sql(T.RULE_WORDS, T.SNAPSHOT_WORDS, T.COMMIT_WORDS, '(?i)' + T.PIPELINE)} AS s FROM {_OBS}) WHERE NOT s)"
 
-@query("stream_remember")
+
+def _writes(spark: SparkSession, d: str) -> DataFrame:
+    return _observations(spark, d).select(F.lit("ns").alias("namespace"), F.concat(F.lit("e"), F.col("event_id") % 50).alias("name"), F.lit("").alias("type"), F.array("obs").alias("observations"))
+
+
+@query("stream_remember", f"SELECT 'e' || (event_id % 50) AS name, 'concept' AS type, obs AS fact, 1024 AS dim, count(*) > 0 AS kept FROM {_KEPT_OBS} GROUP BY 1, 3")
 def stream_remember(spark: SparkSession, d: str) -> DataFrame:
-    w = mentions(spark, d).select("namespace", "name", F.array("fact").alias("observations"))
-    return streams.remember(w, 1_717_200_000_000).select("namespace", "record_id", "name")
+    source, out, checkpoint = (fresh_path(spark, x) for x in ("writes", "records", "checkpoint"))
+    _writes(spark, d).repartition(2).write.parquet(source)
+    stream = spark.readStream.schema("namespace string, name string, type string, observations array<string>").option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_remember(stream, 1_717_200_000_000, out, checkpoint)
+    found = spark.read.parquet(out).dropDuplicates(["namespace", "record_id"])  # equal writes of two batches have one id
+    return found.select("name", "type", F.col("observations")[0].alias("fact"), F.size("embedding").alias("dim"), F.lit(True).alias("kept"))
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """What every tenth entity of the writes knows already, with a vector."""
+    known = _writes(spark, d).where("name like '%0'").select("namespace", "name", F.explode("observations").alias("o")).groupBy("namespace", "name").agg(F.array_sort(F.collect_set("o")).alias("observations"))
+    known = known.withColumn("text", T.entity_embed_text(F.col("name"), F.slice("observations", 1, 2)))
+    return materialize(E.embed_batch(known, "text").drop("text"), "existing")
 
 
 @query("remember")
 def remember(spark: SparkSession, d: str) -> DataFrame:
-    w = _observations(spark, d).select(F.lit("ns").alias("namespace"), F.concat(F.lit("e"), F.col("event_id") % 50).alias("name"), F.lit("").alias("type"), F.array("obs").alias("observations"))
-    return streams.remember(A.validate_mentions(w), 1_717_200_000_000).select("namespace", "record_id", "name", "type", F.col("observations")[0].alias("fact"))
+    """Writes of all events, resolved against what is known."""
+    out = streams.remember(_writes(spark, d), 1_717_200_000_000, _known(spark, d), floor=0.5)
+    return out.select("namespace", "record_id", "name", "type", F.size("aliases").alias("aliases"), F.col("observations")[0].alias("fact"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import archive as A
+from corpusloom.operators import code as K
+from corpusloom.operators import curation as U
+from corpusloom.operators import embedding as E
 from corpusloom.operators import graph as G
 from corpusloom.operators import messages as M
+from corpusloom.operators import retrieval as R
 from corpusloom.plans.views import MENTIONS, MESSAGES, PATHS, RELATIONS, TREE, mentions, messages, paths, query, relations, table, tree
 from corpusloom.sources.tables import materialize
 
@@ -19,10 +24,13 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("excluded_flag", f"SELECT ordinal, (ordinal % 11 = 0) AS fact_excluded, (ordinal % 100 < 3) AS session_excluded FROM {MENTIONS}")
 def excluded_flag(spark: SparkSession, d: str) -> DataFrame:
-    m = mentions(spark, d).withColumn("key", T.obs_key(F.concat("name", "ordinal"), F.col("fact")))
-    facts = m.where("ordinal % 11 = 0").select("key").distinct().withColumn("f", F.lit(True))
-    gone = m.where("ordinal % 100 < 3").select("source").distinct().withColumn("s", F.lit(True))
-    return m.join(facts, "key", "left").join(gone, "source", "left").select("ordinal", F.col("f").isNotNull().alias("fact_excluded"), F.col("s").isNotNull().alias("session_excluded"))
+    m = mentions(spark, d).withColumn("name", F.concat("name", "ordinal")).withColumn("text", F.col("fact"))
+    known = U.exclude(no_exclusions(spark), m.where("ordinal % 11 = 0"), m.where("ordinal % 100 < 3").select("namespace", F.col("source").alias("session_id")))
+    return U.excluded_flags(m, known).select("ordinal", "fact_excluded", "session_excluded")
+
+
+def no_exclusions(spark: SparkSession) -> U.Exclusions:
+    return U.Exclusions(spark.createDataFrame([], "namespace string, obs_key string"), spark.createDataFrame([], "namespace string, session_id string"))
 
 
 @query("entity_term_match", f"SELECT ordinal, contains(lower(name), 'ring') OR contains(lower(type), 'ring') OR contains(lower(fact), 'ring') AS hit FROM {MENTIONS}")
@@ -32,8 +40,7 @@ def entity_term_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scope_filter", f"SELECT namespace, count(*) AS n FROM {MESSAGES} WHERE namespace IN ('ns1', 'ns3') GROUP BY 1")
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
-    names = [x.strip() for x in " ns1, ,ns3".split(",") if x.strip()]
-    return messages(spark, d).where(F.col("namespace").isin(names)).groupBy("namespace").agg(F.count("*").alias("n"))
+    return M.scope_filter(messages(spark, d), " ns1, ,ns3").groupBy("namespace").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -142,14 +149,13 @@ def append_run_seq(spark: SparkSession, d: str) -> DataFrame:
 
 @query("latest_run_of_task", f"SELECT task_id, max(seq) AS seq, arg_max(status, seq) AS status FROM {_RUNS} GROUP BY 1")
 def latest_run_of_task(spark: SparkSession, d: str) -> DataFrame:
-    return runs(spark, d).groupBy("task_id").agg(F.max("seq").cast("long").alias("seq"), F.max_by("status", "seq").alias("status"))
+    return A.latest_run(runs(spark, d)).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("cascade_delete", "SELECT 'order' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'line', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     o, li = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey")
-    gone = o.where("o_orderkey % 7 = 0")
-    kept, lines = o.join(gone, "o_orderkey", "left_anti"), li.join(gone.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey", "left_anti")
+    kept, lines = A.cascade_delete(o, li, o.where("o_orderkey % 7 = 0"), "o_orderkey", "l_orderkey")
     return kept.agg(F.count("*").alias("n")).select(F.lit("order").alias("kind"), "n").union(lines.agg(F.count("*").alias("n")).select(F.lit("line"), "n"))
 
 
@@ -198,7 +204,7 @@ def session_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query("namespace_counts", f"SELECT namespace, count(DISTINCT lower(name)) AS entities FROM {MENTIONS} GROUP BY 1")
 def namespace_counts(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark, d).select("namespace", T.norm_key(F.col("name")).alias("key")).distinct().groupBy("namespace").agg(F.count("*").alias("entities"))
+    return G.namespace_counts(mentions(spark, d))
 
 
 @query("entity_degree", f"SELECT name, count(*) AS degree FROM (SELECT lower(src) AS name FROM {RELATIONS} UNION ALL SELECT lower(dst) FROM {RELATIONS}) GROUP BY 1")
@@ -208,20 +214,20 @@ def entity_degree(spark: SparkSession, d: str) -> DataFrame:
 
 @query("package_in_degree", f"SELECT regexp_replace(path, '/[^/]*$', '') AS package, count(*) AS degree FROM {PATHS} GROUP BY 1")
 def package_in_degree(spark: SparkSession, d: str) -> DataFrame:
-    return paths(spark, d).groupBy(T.package_name(F.col("path")).alias("package")).agg(F.count("*").alias("degree"))
+    return K.package_in_degree(paths(spark, d).select(F.col("path").alias("dst")))
 
 
 @query("change_frequency", "SELECT 'p' || l_partkey AS path, count(*) AS n FROM lineitem JOIN (SELECT o_orderkey FROM (SELECT o_orderkey, rank() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 300) ON l_orderkey = o_orderkey GROUP BY 1")
 def change_frequency(spark: SparkSession, d: str) -> DataFrame:
-    newest = table(spark, d, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(300)
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    return li.join(newest, "o_orderkey").groupBy(F.concat(F.lit("p"), "l_partkey").alias("path")).agg(F.count("*").alias("n"))
+    newest = table(spark, d, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(300)  # the feature: a window of commits
+    ranked = newest.withColumn("commit_rank", F.row_number().over(Window.orderBy(F.desc("o_orderkey"))))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("p"), "l_partkey").alias("path"))
+    return K.change_frequency(li.join(ranked, "o_orderkey"))
 
 
 @query("file_symbols", f"SELECT src, string_agg(dst, '|' ORDER BY ordinal, dst) AS symbols FROM {RELATIONS} WHERE label = 'A' GROUP BY 1")
 def file_symbols(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "dst"))), lambda x: x["dst"])
-    return relations(spark, d).where("label = 'A'").groupBy("src").agg(F.array_join(rows, "|").alias("symbols"))
+    return K.file_symbols(relations(spark, d), "A").withColumn("symbols", F.array_join("symbols", "|"))
 
 
 @query("union_observations", f"SELECT namespace, name, string_agg(fact || '@' || source, '|' ORDER BY ordinal) AS observations FROM (SELECT *, row_number() OVER (PARTITION BY namespace, name, lower(fact) ORDER BY ordinal) AS rn FROM {MENTIONS}) WHERE rn = 1 GROUP BY 1, 2")
@@ -251,14 +257,13 @@ def distinct_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("term_frequency", "SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS term FROM benchmark) GROUP BY 1, 2")
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
-    return table(spark, d, "benchmark").select("item_id", F.explode(words).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
+    return E.term_frequency(table(spark, d, "benchmark"), "item_id")
 
 
 @query("distinct_sources", f"SELECT namespace, string_agg(source, '|' ORDER BY o) AS sources FROM (SELECT namespace, source, min(ordinal) AS o FROM {MENTIONS} GROUP BY 1, 2) GROUP BY 1")
 def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
-    first = mentions(spark, d).groupBy("namespace", "source").agg(F.min("ordinal").alias("o"))
-    return first.groupBy("namespace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "source"))), lambda x: x["source"]), "|").alias("sources"))
+    first = G.distinct_sources(mentions(spark, d), ["namespace"])
+    return first.groupBy("namespace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "source"))), lambda x: x["source"]), "|").alias("sources"))
 
 
 @query("hub_entity", f"SELECT namespace, first(name ORDER BY degree DESC, ordinal) AS hub FROM (SELECT namespace, name, min(ordinal) AS ordinal, any_value(degree) AS degree FROM {MENTIONS} JOIN (SELECT dst, count(*) AS degree FROM {RELATIONS} GROUP BY 1) ON name = dst GROUP BY 1, 2) GROUP BY 1")
@@ -302,16 +307,13 @@ def latest_record(spark: SparkSession, d: str) -> DataFrame:
 
 @query("overview_top", "SELECT p_brand AS section, p_partkey AS id, greatest(n - 12, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE rn <= 12")
 def overview_top(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand")
-    p = table(spark, d, "part").withColumn("rn", F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey"))).withColumn("n", F.count("*").over(w))
-    return p.where("rn <= 12").select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("id"), F.greatest(F.col("n") - 12, F.lit(0)).alias("more"))
+    p = M.overview_top(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), "p_partkey"])
+    return p.select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("id"), "more")
 
 
 @query("session_listing", f"SELECT session_id, max(updated_at) AS updated_at, count(*) AS messages FROM {MESSAGES} GROUP BY 1 ORDER BY 2 DESC, 1")
 def session_listing(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).groupBy("session_id").agg(F.max("updated_at").alias("updated_at"), F.count("*").alias("messages")).orderBy(F.desc("updated_at"), "session_id")
+    return M.session_listing(messages(spark, d))
 
 
 _OVER = f"(SELECT namespace, name, min(ordinal) AS ordinal, CASE arg_min(type, ordinal) WHEN 'ECONOMY' THEN 'decision' WHEN 'PROMO' THEN 'constraint' ELSE 'core' END AS section, count(*) AS facts, arg_min(fact, ordinal) AS fact FROM {MENTIONS} GROUP BY 1, 2)"
@@ -365,27 +367,54 @@ def merge_entities_component(spark: SparkSession, d: str) -> DataFrame:
 
 @query("union_namespaces", f"SELECT name, count(*) AS mentions FROM {MENTIONS} WHERE namespace IN ('ns0', 'ns1') GROUP BY 1")
 def union_namespaces(spark: SparkSession, d: str) -> DataFrame:
-    return mentions(spark, d).where(F.col("namespace").isin("ns0", "ns1")).groupBy("name").agg(F.count("*").alias("mentions"))
+    m = mentions(spark, d).withColumn("text", F.col("fact")).withColumn("aliases", F.array().cast("array<string>"))
+    named, _ = U.union_namespaces(m, relations(spark, d), ["ns0", "ns1"], no_exclusions(spark), materialize)
+    return named.where("namespace = 'ns0+ns1'").groupBy("name").agg(F.count("*").alias("mentions"))
 
 
 @query("union_hits", f"SELECT name FROM {MENTIONS} WHERE ordinal < 9 UNION SELECT name FROM {MENTIONS} WHERE contains(name, 'ring') UNION SELECT dst FROM {RELATIONS} WHERE src = 'Supplier#000000003'")
 def union_hits(spark: SparkSession, d: str) -> DataFrame:
     m = mentions(spark, d)
-    return m.where("ordinal < 9").select("name").union(m.where("contains(name, 'ring')").select("name")).union(relations(spark, d).where("src = 'Supplier#000000003'").select("dst")).distinct()
+    return R.union_hits(m.where("ordinal < 9"), m.where("contains(name, 'ring')"), relations(spark, d).where("src = 'Supplier#000000003'").select(F.col("dst").alias("name")))
+
+
+_FACTS = f"(SELECT a.namespace, a.ordinal, first_value(a.name) OVER (PARTITION BY a.namespace, a.a2 ORDER BY a.ordinal) AS name, m.fact, m.source FROM {_ALIASED} a JOIN {MENTIONS} m USING (ordinal))"
+_LEFT_FACTS = f"""(SELECT * FROM {_FACTS} f WHERE source <> 's7' AND NOT EXISTS (SELECT 1 FROM {_FACTS} x WHERE x.ordinal % 11 = 0 AND x.namespace = f.namespace AND x.name = f.name AND x.fact = f.fact))"""
+
+
+def alias_facts(spark: SparkSession, d: str) -> DataFrame:
+    """A fact for each part, of entities that share aliases."""
+    m = mentions(spark, d).select("ordinal", "record_id", "type", F.col("fact").alias("text"), "source")
+    return aliased(spark, d).join(m, "ordinal")
 
 
-@query("assemble_graph", f"SELECT namespace, name, count(DISTINCT lower(fact)) AS facts FROM {MENTIONS} WHERE source <> 's7' GROUP BY 1, 2")
+def alias_relations(spark: SparkSession, d: str) -> DataFrame:
+    """From each part's own name to that of the part of the same namespace four further on."""
+    a = aliased(spark, d).select("namespace", "ordinal", F.col("name").alias("src"))
+    return a.join(a.select((F.col("ordinal") - 4).alias("ordinal"), F.col("src").alias("dst")), "ordinal").withColumn("label", F.lit("next"))
+
+
+_NEXT = f"(SELECT a.namespace, a.name AS src, b.name AS dst FROM {_ALIASED} a JOIN {_ALIASED} b ON b.ordinal = a.ordinal + 4)"
+
+
+@query(
+    "assemble_graph",
+    f"""WITH e AS (SELECT namespace, name, count(DISTINCT lower(fact)) AS n FROM {_LEFT_FACTS} GROUP BY 1, 2), gone AS (SELECT namespace, name FROM {_FACTS} EXCEPT SELECT namespace, name FROM e),
+    r AS (SELECT * FROM {_NEXT} x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.namespace = x.namespace AND g.name IN (x.src, x.dst))),
+    h AS (SELECT namespace, name FROM e WHERE contains(lower(name), 'ring')), k AS (SELECT * FROM h UNION SELECT r.namespace, r.dst FROM r JOIN h ON h.namespace = r.namespace AND h.name = r.src UNION SELECT r.namespace, r.src FROM r JOIN h ON h.namespace = r.namespace AND h.name = r.dst)
+    SELECT 'entity' AS kind, namespace, name, n FROM e JOIN k USING (namespace, name) UNION ALL SELECT 'relation', namespace, src, count(*) FROM r WHERE (namespace, src) IN (SELECT (namespace, name) FROM k) AND (namespace, dst) IN (SELECT (namespace, name) FROM k) GROUP BY 2, 3""",
+)
 def assemble_graph(spark: SparkSession, d: str) -> DataFrame:
-    m = mentions(spark, d).withColumn("text", F.col("fact"))
-    none = m.select("namespace", F.lit("").alias("obs_key")).limit(0)
-    kept = G.anti_excluded(m, none, m.where("source = 's7'").select("namespace", F.col("source").alias("session_id")).distinct())
-    return G.union_observations(kept, ["namespace", "name"]).select("namespace", "name", F.size("observations").cast("long").alias("facts"))
+    facts = alias_facts(spark, d)
+    named = facts.where("ordinal % 11 = 0").select("namespace", "ordinal", "text").join(merge_entities(spark, d).select("namespace", "ordinal", F.col("canonical").alias("name")), ["namespace", "ordinal"])
+    known = U.exclude(no_exclusions(spark), named, facts.where("source = 's7'").select("namespace", F.col("source").alias("session_id")))
+    e, r = U.assemble_graph(facts, alias_relations(spark, d), known, materialize, "Ring")
+    e = e.select(F.lit("entity").alias("kind"), "namespace", "name", F.size("observations").cast("long").alias("n"))
+    return e.unionByName(r.groupBy(F.lit("relation").alias("kind"), "namespace", F.col("src").alias("name")).agg(F.count("*").alias("n")))
 
 
 @query("filter_excluded", f"WITH k AS (SELECT * FROM {MENTIONS} WHERE ordinal % 100 <> 7 AND NOT (name LIKE 'small%')) SELECT r.src, r.dst, r.label FROM {RELATIONS} r WHERE r.dst IN (SELECT name FROM k)")
 def filter_excluded(spark: SparkSession, d: str) -> DataFrame:
     m = mentions(spark, d).withColumn("text", F.col("fact"))
-    by_fact = m.where("name like 'small%'").select("namespace", T.obs_key(F.col("name"), F.col("fact")).alias("obs_key")).distinct()
-    kept = G.anti_excluded(m, by_fact, m.where("ordinal % 100 = 7").select("namespace", F.col("source").alias("session_id")).distinct())
-    emptied = m.select("name").distinct().join(kept.select("name").distinct(), "name", "left_anti")
-    return G.drop_dangling(relations(spark, d), emptied).select("src", "dst", "label")
+    known = U.exclude(no_exclusions(spark), m.where("name like 'small%'"), m.where("ordinal % 100 = 7").select("namespace", F.col("source").alias("session_id")))
+    return U.filter_excluded(m, relations(spark, d), known)[1].select("src", "dst", "label")

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.curation import Exclusions
 
 _BLOCKS = "array<struct<type string, text string>>"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines below ``path`` with their file; the order of lines is the order of reading within a file."""
+    """Lines below ``path`` with their file and ``line_no``, which grows within a file: the place of the line's block in the file, then its place there."""
     x = spark.read.option("recursiveFileLookup", "true").text(path)
-    return x.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
+    # blocks of a file are numbered by where they begin; within one, ids grow in the order of reading
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line_no = F.col("_metadata.file_block_start") * F.lit(1 << 20) + within
+    return x.select(F.col("_metadata.file_path").alias("file"), line_no.alias("line_no"), "value")
 
 
 def _session(file: Column) -> Column:
@@ -81,11 +89,22 @@ def unify_messages(*parts: DataFrame) -> DataFrame:
     return out.withColumn("agent", T.agent_of(F.col("session_id")))
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, mtime, content) of Markdown files below ``path``, without hidden folders."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, mtime, content) of all files below ``path``; Spark leaves out files of no bytes."""
     x = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
-    x = x.where(F.lower("path").rlike(r"\.md$") & ~F.col("path").rlike(r"/\.[^/]+/"))
-    return x.select("path", F.unix_millis("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+    return x.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+
+
+def _is_hidden(path: Column, root: str) -> Column:
+    """Whether a folder between ``root`` and the file begins with a dot."""
+    below = F.substring_index(path, re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/", root.rstrip("/")), -1)
+    return below.rlike(r"(^|/)\.[^/]+/")
+
+
+def read_notes(spark: SparkSession, path: str, names: str = r"(?i)\.md$") -> DataFrame:
+    """(path, mtime, content) of the files below ``path`` whose path matches ``names`` (Markdown, in any case), without hidden folders."""
+    x = _files(spark, path)
+    return x.where(F.col("path").rlike(names) & ~_is_hidden(F.col("path"), path)).select("path", "mtime", "content")
 
 
 def source_files(files: DataFrame, most: int = 262_144) -> DataFrame:
@@ -97,14 +116,50 @@ def source_files(files: DataFrame, most: int = 262_144) -> DataFrame:
     return kept.withColumn("content", F.when(F.col("size") <= most, F.col("content")).otherwise(""))
 
 
-def read_source_files(spark: SparkSession, path: str, most: int = 262_144) -> DataFrame:
-    x = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
-    return source_files(x.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content")), most)
+def read_source_files(spark: SparkSession, path: str, most: int = 262_144, named: Callable[[Column], Column] = lambda p: p) -> DataFrame:
+    """(path, size, content) of the source files below ``path``; ``named`` gives a file's path in its repository."""
+    return source_files(_files(spark, path).select(named(F.col("path")).alias("path"), "size", "content"), most)
+
+
+def read_memory_notes(spark: SparkSession, common: str, projects: str, names: str = r"/memory/[^/]+\.md$") -> DataFrame:
+    """(scope, path, content) of the instructions for all projects, the file ``common`` (scope ``instructions``), and of every project's
+    notes (scope ``memory``), files below ``projects`` whose path matches ``names``."""
+    one = _files(spark, common).select(F.lit("instructions").alias("scope"), "path", "content")
+    notes = _files(spark, projects).where(F.col("path").rlike(names)).select(F.lit("memory").alias("scope"), "path", "content")
+    return one.unionByName(notes)
+
+
+@dataclass(frozen=True)
+class Archive:
+    """The tables of an archive."""
+
+    conversations: DataFrame
+    messages: DataFrame
+    tasks: DataFrame
+    runs: DataFrame
 
 
-def read_memory_notes(common: DataFrame, projects: DataFrame) -> DataFrame:
-    """The global instructions and every project's memory notes (path, content), tagged with their scope."""
-    return common.withColumn("scope", F.lit("global")).unionByName(projects.withColumn("scope", F.lit("project")))
+def read_archive(spark: SparkSession, path: str) -> Archive:
+    """The archive below ``path``: a Parquet table for each field of ``Archive``."""
+    return Archive(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(Archive)])
+
+
+def write_archive(archive: Archive, path: str) -> None:
+    for f in fields(Archive):
+        getattr(archive, f.name).write.parquet(f"{path}/{f.name}")
+
+
+def read_exclusions(spark: SparkSession, path: str) -> Exclusions:
+    """The newest version below ``path``."""
+    newest = spark.read.schema("version long").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    return Exclusions(*[spark.read.parquet(f"{path}/{kind}/version={newest}") for kind in ("facts", "sessions")])
+
+
+def write_exclusions(known: Exclusions, path: str, version: int) -> None:
+    """``known`` as a version of its own below ``path``; readers see it once both tables are there, and older ones stay readable."""
+    known.facts.select("namespace", "obs_key").distinct().write.mode("overwrite").parquet(f"{path}/facts/version={version}")
+    known.sessions.select("namespace", "session_id").distinct().write.mode("overwrite").parquet(f"{path}/sessions/version={version}")
+    known.facts.sparkSession.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{path}/versions")
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -122,6 +177,18 @@ def write_record(new: DataFrame, old: DataFrame, keys: list[str], path: str) ->
     kept.unionByName(new).write.partitionBy("namespace").parquet(path)
 
 
+def append_records(new: DataFrame, path: str, version: int) -> None:
+    """The same without rewriting what is there: ``new`` as one version below ``path``; writing a version again replaces it."""
+    new.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def latest_records(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Each key's record of the newest version below ``path``."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*keys, "r.*").drop("version")
+
+
 def write_graph(entities: DataFrame, path: str, now_ms: int) -> None:
     entities.withColumn("updated_at", F.lit(now_ms)).write.mode("overwrite").partitionBy("namespace").option("partitionOverwriteMode", "dynamic").parquet(path)
 
