@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -41,7 +41,7 @@ def _split(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _lines(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(rk, doc, place, name, to, back) of every line: how many lines the shortest stretches of ``min_bytes`` bytes from it and up to it have (0: none)."""
+    """(rk, doc, place, name, size, to, back) of every line: its bytes, and how many lines the shortest stretches of ``min_bytes`` bytes from it and up to it have (0: none)."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
@@ -54,10 +54,10 @@ def _lines(docs: DataFrame, min_bytes: int) -> DataFrame:
             back = since >= 0
             back[back] = owner[since[back]] == owner[back]
             cols = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array((n - first[owner]).astype(np.int32)), pa.array(signed(Substrings(buf)(starts, ends)))]
-            cols += [pa.array(np.where(fits, last - n + 1, 0).astype(np.int32)), pa.array(np.where(back, n - since + 1, 0).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rk", "doc", "place", "name", "to", "back"])
+            cols += [pa.array((ends - starts).astype(np.int32)), pa.array(np.where(fits, last - n + 1, 0).astype(np.int32)), pa.array(np.where(back, n - since + 1, 0).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rk", "doc", "place", "name", "size", "to", "back"])
 
-    return _keyed(docs).mapInArrow(name, "rk long, doc long, place int, name long, to int, back int")
+    return _keyed(docs).mapInArrow(name, "rk long, doc long, place int, name long, size int, to int, back int")
 
 
 def _again(rows: DataFrame) -> DataFrame:
@@ -68,17 +68,26 @@ def _again(rows: DataFrame) -> DataFrame:
     return materialize(names, "names")
 
 
-def _found_again(rows: DataFrame) -> DataFrame:
+def _found_again(rows: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` whose name stands elsewhere too, each place once, with ``later``: it also stands further up."""
     later = F.struct("doc", "rk", "place") != F.col("first")
-    return materialize(rows.join(_again(rows), "name").withColumn("later", later).drop("first").distinct(), "level")
+    found = rows.join(_again(rows), "name").withColumn("later", later).drop("first")
+    # dealt out anew, as repeats could not be dropped by name while Spark splits hot names
+    return materialize(finish(found.repartition("rk").distinct()), "level")
 
 
-def levels_of(lines: DataFrame) -> list[DataFrame]:
+def _of_long_runs(lines: DataFrame, min_bytes: int) -> DataFrame:
+    """Lines that stand among neighbours which have ``min_bytes`` bytes with them: no others can be part of a run found again."""
+    step = F.col("place") - F.row_number().over(Window.partitionBy("rk").orderBy("place"))
+    total = F.sum(F.col("size") + 1).over(Window.partitionBy("rk", "step")) - 1
+    return lines.withColumn("step", step).withColumn("total", total).where(F.col("total") >= min_bytes).drop("step", "total", "size")
+
+
+def levels_of(lines: DataFrame, min_bytes: int) -> list[DataFrame]:
     """For 1, 2, 4, ... lines as long as there are any: the stretches found again, (rk, doc, place, name, below, later)."""
     held, out, k = lines.withColumn("below", F.lit(0).cast("long")), [], 1
     while True:
-        level = _found_again(held)
+        level = _found_again(held, lambda df: df if out else _of_long_runs(df, min_bytes))
         if not level.limit(1).count():
             return out
         out.append(level)
@@ -148,7 +157,7 @@ def dedup_runs(docs: DataFrame, min_bytes: int = 60) -> DataFrame:
     first; an empty table stays empty; other columns pass unchanged, whatever their names (those of the four counts are replaced).
     """
     rows = materialize(_lines(docs, min_bytes), "lines")
-    levels = levels_of(rows)
+    levels = levels_of(rows, min_bytes)
     if not levels:
         return _delete(docs, None, lambda text, lines: np.full(len(lines), len(text) >= min_bytes))
     longest = common_prefixes(levels).join(levels[0].where("to > 0").select("rk", "place", "to"), ["rk", "place"]).where("k >= to").groupBy("rk").agg(F.max("k").alias("longest"))
