@@ -728,3 +728,75 @@ def test_pipeline(spark, tmp_path, corpus):  # noqa: ANN001
     held = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, held, str(tmp_path)).columns == docs.columns
+
+
+def without_later_runs(rows: list[tuple], least: int = 60) -> dict[int, str]:
+    """Texts (doc_id: text) without the lines of runs of ``least`` bytes that stand further up, by trying every run."""
+    places: dict = defaultdict(list)
+    lines = {i: t.split("\n") for i, t in sorted(rows)}
+    for i, x in lines.items():
+        for k in range(len(x)):
+            for to in range(k + 1, len(x) + 1):
+                run = "\n".join(x[k:to])
+                if len(run.encode()) >= least:
+                    places[run].append((i, k, to))
+    gone = defaultdict(set)
+    for at in places.values():
+        for i, k, to in at[1:]:
+            gone[i].update(range(k, to))
+    return {i: "\n".join(v for k, v in enumerate(x) if k not in gone[i]) for i, x in lines.items()}
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):  # noqa: ANN001
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    rows, labels = [], []
+    shared = [words(rng, 14) for _ in range(6)]
+    for i in range(420):
+        text = [words(rng, 12) for _ in range(4)]
+        if i % 6 == 0:
+            text[1] = " ".join(rng.choice(["vileword", "vilething", "vileness"]) if k % 3 == 0 else words(rng, 1) for k in range(12))
+        if i % 7 == 1:
+            text[2:2] = shared[i % 3 : i % 3 + 3]
+        if i % 9 == 2:
+            text.append(f"write to me{i}.b@example.org on 2019-0{i % 8 + 1}-11 or +1 (487) 555-7{i:03d}")
+        rows.append((i, "\n".join(text)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    for k in range(8):  # copies, and near copies in one line
+        rows.append((500 + k, rows[2 * k + 1][1]))
+        long = words(rng, 90).split()
+        for v in range(2):
+            rows.append((520 + 2 * k + v, " ".join(w if n != 40 + v else "other" for n, w in enumerate(long))))
+    rows += [(600, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    clean = common.materialize(stages["toxicity"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    want = {i: t for i, t in rows if "vile" not in t}
+    assert texts(clean) == want and len(want) < len(rows)
+    lined = common.materialize(stages["line_dedup"](spark, clean, sf))
+    want = {i: t for i, t in without_later_runs(list(want.items())).items() if t or not want[i]}
+    assert texts(lined) == want and not {500, 501} & set(want) and 600 in want
+    assert all(r["n_chars"] == len(r["text"]) for r in lined.collect())
+    single = common.materialize(stages["near_copies"](spark, lined, sf))
+    component = {r[0]: r[2] for r in brute_components([(i, t) for i, t in want.items()])}
+    kept = {i: t for i, t in want.items() if component[i] == i}
+    assert texts(single) == kept and len(want) - len(kept) == 8
+    private = common.materialize(stages["pseudonyms"](spark, single, sf))
+    key = pseudonyms.session_key(spark).encode()
+    want = {i: pseudonyms.pseudonymize_text(t, key)[0] for i, t in kept.items()}
+    assert texts(private) == want != kept and not any(f"me{i}.b@" in t for i, t in want.items())
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in want.items()}
+    for pieces in (stages["packing"](spark, private, sf), corpus_pipeline.run(spark, sf)):
+        got = pieces.collect()
+        assert {r["doc_id"] for r in got} == set(ids) and sum(r["length"] for r in got) == sum(map(len, ids.values()))
+        for r in got:
+            part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part)) and r["doc_tokens"] == len(ids[r["doc_id"]])
