@@ -64,6 +64,23 @@ def get_entity(names: DataFrame, entities: DataFrame, relations: DataFrame) -> D
     return out.withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
 
 
+def graph_material(entities: DataFrame, relations: DataFrame, focus: str = "") -> DataFrame:
+    """(namespace, part, ordinal, line): a graph as lines of text, in the order of these columns: an optional focus, entities with their facts, edges.
+
+    Entities have (namespace, ordinal, name, type, observations as texts), relations (namespace, ordinal, src, label, dst). Lines stay rows, as a
+    namespace can be of any size; write them sorted, or fold small ones.
+    """
+    kind = F.when(F.coalesce(F.col("type"), F.lit("")) != "", F.concat(F.lit("("), "type", F.lit(")"))).otherwise("")
+    facts = F.when(F.size("observations") > 0, F.concat(F.lit(": "), F.array_join("observations", "; "))).otherwise("")
+    lines = entities.select("namespace", F.lit(1).alias("part"), F.col("ordinal").cast("long").alias("ordinal"), F.concat("name", kind, facts).alias("line"))
+    edges = relations.select("namespace", F.lit(2).alias("part"), F.col("ordinal").cast("long").alias("ordinal"), F.concat("src", F.lit(" —"), "label", F.lit("→ "), "dst").alias("line"))
+    out = lines.unionByName(edges)
+    if focus.strip():
+        heads = entities.select("namespace").distinct().select("namespace", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ordinal"), F.lit(focus.strip()).alias("line"))
+        out = heads.unionByName(out)
+    return out
+
+
 def hub_entity(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """The entity of highest degree of each namespace, the first on ties."""
     e = entities.join(entity_degree(relations).withColumnRenamed("name", "key"), T.norm_key(entities["name"]) == F.col("key"), "left")

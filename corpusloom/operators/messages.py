@@ -96,21 +96,42 @@ def bounded_transcript(messages: DataFrame, cap: int = 16_000) -> DataFrame:
     """The newest messages of each session whose rendered bytes fit; the newest at least."""
     newest = Window.partitionBy("namespace", "session_id").orderBy(F.desc("seq"))
     size = F.octet_length(F.concat("role", F.lit(": "), "text", F.lit("\n")))
-    out = messages.withColumn("used", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(newest))
+    # a message has three bytes at least, so no more than a third of ``cap`` fit; Spark leaves the others out before it shuffles
+    out = messages.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= cap // 3 + 1)
+    out = out.withColumn("used", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
     return out.where((F.col("used") <= cap) | (F.col("rn") == 1)).drop("used", "rn")
 
 
-def keep_until(rows: DataFrame, keys: list[str], order: list, size: Column, budget: int) -> DataFrame:
-    """Rows while what stands before them is under the budget: the last may go over it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("before") < budget).drop("before")
+def _reached(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int, over: bool) -> DataFrame:
+    """(.., cut): where each key's running sum of sizes reaches the budget (or goes ``over`` it), as a struct of ``order``; keys that don't have none.
 
-
-def keep_within(rows: DataFrame, keys: list[str], order: list, size: Column, budget: int) -> DataFrame:
-    """The first row, then rows while they fit the budget."""
+    Rows with a size have one byte at least, so only the first ``budget`` of them (and one) are looked at, which Spark picks before it shuffles.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
-    return rows.where((F.col("used") <= budget) | (F.col("rn") == 1)).drop("used", "rn")
+    sized = rows.select(*keys, *order, size.alias("size")).where("size > 0").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget + 1)
+    used = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.col("used") > budget if over else F.col("used") >= budget
+    return sized.withColumn("used", used).where(at).groupBy(*keys).agg(F.min(F.struct(*order)).alias("cut"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    marks = marks.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    return rows.join(marks, same, "left").drop(*[f"{k}_of" for k in keys])
+
+
+def keep_until(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
+    """Rows while what stands before them is under the budget: the last may go over it. ``order`` tells the rows of a key apart."""
+    cut = _marked(rows, _reached(rows, keys, order, size, budget, over=False), keys)
+    return cut.where(F.col("cut").isNull() | (F.struct(*order) <= F.col("cut"))).drop("cut")
+
+
+def keep_within(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
+    """The first row, then rows while they fit the budget. ``order`` tells the rows of a key apart."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"))
+    cut = _marked(_marked(rows, _reached(rows, keys, order, size, budget, over=True), keys), first, keys)
+    at = F.struct(*order)
+    return cut.where(F.col("cut").isNull() | (at < F.col("cut")) | (at == F.col("first"))).drop("cut", "first")
 
 
 def rrf_fuse(lists: DataFrame, k: int | None = None, constant: int = 60) -> DataFrame:

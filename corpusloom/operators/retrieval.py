@@ -107,11 +107,18 @@ def best_entity_match(incoming: DataFrame, existing: DataFrame, floor: float = 0
 
 
 def obs_near_dup_join(facts: DataFrame, other: DataFrame, keys: list[str], floor: float = 0.8) -> DataFrame:
-    """Pairs of facts (.., fact_id, text) within the same keys whose token sets reach the similarity, by shared tokens."""
-    a = facts.select(*keys, "fact_id", T.token_set(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    b = other.select(*keys, F.col("fact_id").alias("other_id"), T.token_set(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    x = a.select(*keys, "fact_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    y = b.select(*keys, "other_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    shared = x.join(y, [*keys, "token"]).groupBy(*keys, "fact_id", "other_id", "n", "m").agg(F.count("*").alias("common"))
-    similarity = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
-    return shared.select(*keys, "fact_id", "other_id", similarity.alias("similarity")).where(F.col("similarity") >= floor)
+    """Pairs of facts (.., fact_id, text) within the same keys whose token sets reach the similarity.
+
+    In one fixed order of tokens, similar sets share one among the first of each, and their sizes are alike: pairs meet by these, then are verified.
+    """
+
+    def prefixed(df: DataFrame, name: str, tokens: str) -> DataFrame:
+        x = df.select(*keys, F.col("fact_id").alias(name), T.token_set(F.col("text")).alias(tokens)).where(F.size(tokens) > 0)
+        ordered = F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), lambda s: s["t"])
+        n = F.size(tokens)
+        return x.select("*", F.explode(F.slice(ordered, F.lit(1), n - F.ceil(floor * n - 1e-9).cast("int") + 1)).alias("token"))
+
+    n, m = F.size("tokens"), F.size("others")
+    met = prefixed(facts, "fact_id", "tokens").join(prefixed(other, "other_id", "others"), [*keys, "token"]).where((n >= floor * m - 1e-9) & (m >= floor * n - 1e-9))
+    pairs = met.drop("token").dropDuplicates([*keys, "fact_id", "other_id"])
+    return pairs.select(*keys, "fact_id", "other_id", T.jaccard(F.col("tokens"), F.col("others")).alias("similarity")).where(F.col("similarity") >= floor)

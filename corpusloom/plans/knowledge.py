@@ -643,9 +643,10 @@ def read_records(spark: SparkSession, d: str) -> DataFrame:
 @query("write_record", f"SELECT namespace, record_id, CASE WHEN ordinal % 2 = 0 THEN 2 ELSE 1 END AS version FROM (SELECT namespace, record_id, min(ordinal) AS ordinal FROM {MENTIONS} GROUP BY 1, 2)")
 def write_record(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "upsert")
-    old = mentions(spark, d).groupBy("namespace", "record_id").agg(F.min("ordinal").alias("o")).select("namespace", S.record_file_name(F.col("record_id")).alias("record_id"), "o", F.lit(1).alias("version"))
-    S.write_record(old.where("o % 2 = 0").withColumn("version", F.lit(2)), old, ["namespace", "record_id"], path)
-    return spark.read.parquet(path).select("namespace", "record_id", "version")
+    old = mentions(spark, d).groupBy("namespace", "record_id").agg(F.min("ordinal").alias("o")).select("namespace", S.record_file_name(F.col("record_id")).alias("record_id"), "o", F.lit(1).alias("v"))
+    S.append_records(old, path, 1)
+    S.append_records(old.where("o % 2 = 0").withColumn("v", F.lit(2)), path, 2)
+    return S.latest_records(spark, path, ["namespace", "record_id"]).select("namespace", "record_id", F.col("v").alias("version"))
 
 
 @query("write_graph", f"SELECT namespace, count(DISTINCT name) AS n FROM {MENTIONS} GROUP BY 1")

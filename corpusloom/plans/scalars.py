@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.plans.views import LINES, MENTIONS, MESSAGES, PATHS, lines, mentions, messages, paths, query, table
+from corpusloom.operators import graph as G
+from corpusloom.plans.views import LINES, MENTIONS, MESSAGES, PATHS, RELATIONS, lines, mentions, messages, paths, query, relations, table
 
 
 def _sql_list(words: list[str]) -> str:
@@ -213,11 +214,14 @@ def render_chunk(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).select("session_id", "seq", T.render_chunk(F.col("session_id"), F.col("text")).alias("text"))
 
 
-@query("graph_material", f"SELECT namespace, string_agg(name || '(' || type || '): ' || fact, chr(10) ORDER BY ordinal) AS material FROM {MENTIONS} GROUP BY 1")
+@query(
+    "graph_material",
+    f"""SELECT namespace, 0 AS part, 0::BIGINT AS ordinal, 'about parts' AS line FROM {MENTIONS} GROUP BY 1 UNION ALL SELECT namespace, 1, ordinal::BIGINT, name || '(' || type || '): ' || fact FROM {MENTIONS}
+    UNION ALL SELECT 'ns' || (ordinal % 4), 2, ordinal::BIGINT, src || ' —' || label || '→ ' || dst FROM {RELATIONS}""",
+)
 def graph_material(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat("name", F.lit("("), "type", F.lit("): "), "fact")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"])
-    return mentions(spark, d).groupBy("namespace").agg(F.array_join(rows, "\n").alias("material"))
+    r = relations(spark, d).withColumn("namespace", F.concat(F.lit("ns"), F.col("ordinal") % 4))
+    return G.graph_material(mentions(spark, d).withColumn("observations", F.array("fact")), r, " about parts ")
 
 
 @query(

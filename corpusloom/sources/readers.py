@@ -171,14 +171,8 @@ def record_file_name(record_id: Column) -> Column:
     return F.regexp_replace(record_id, r'[:<>|"?*\\]', "_")
 
 
-def write_record(new: DataFrame, old: DataFrame, keys: list[str], path: str) -> None:
-    """Upsert: the old records that ``new`` doesn't hold, and the new ones, as a new version below ``path``, by namespace."""
-    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
-    kept.unionByName(new).write.partitionBy("namespace").parquet(path)
-
-
 def append_records(new: DataFrame, path: str, version: int) -> None:
-    """The same without rewriting what is there: ``new`` as one version below ``path``; writing a version again replaces it."""
+    """Upsert without rewriting what is there: ``new`` as one version below ``path``, which readers take before older ones; writing a version again replaces it."""
     new.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
