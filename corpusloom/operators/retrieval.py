@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +75,16 @@ def union_hits(*parts: DataFrame) -> DataFrame:
     return every.distinct()
 
 
-def recall(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, options: RecallOptions) -> tuple[DataFrame, DataFrame]:
+def recall(
+    queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, options: RecallOptions, materialize: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame]:
     """Hits (query_id, name, how) and chunks (query_id, id, rank).
 
     Entities come by vector, by keyword, and, where there are semantic seeds, by one step along relations; chunks only
-    for queries with a vector.
+    for queries with a vector. ``materialize`` writes what is read several times.
     """
-    seeds = semantic_seeds(queries, entities.withColumn("id", F.col("name")), options).select("query_id", F.col("id").alias("name")).distinct()
-    words = entity_keyword_hits(queries, entities).select("query_id", "name").distinct()
+    seeds = materialize(semantic_seeds(queries, entities.select("embedding", F.col("name").alias("id")), options).select("query_id", F.col("id").alias("name")).distinct())
+    words = materialize(entity_keyword_hits(queries, entities).select("query_id", "name").distinct())
     start = seeds.union(words.join(seeds.select("query_id").distinct(), "query_id", "left_semi")).distinct()
     near = start.join(relations.select(F.lower("src").alias("k"), "dst").distinct(), F.lower("name") == F.col("k")).select("query_id", F.col("dst").alias("name"))
     marked = seeds.withColumn("how", F.lit(1)).union(words.withColumn("how", F.lit(2))).union(near.withColumn("how", F.lit(4)))
@@ -89,14 +93,16 @@ def recall(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks
     return hits, fuse_chunks(rank_chunks(asked, chunks, options), chunk_keyword_hits(asked, chunks), options.kept)
 
 
-def search_knowledge(queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, options: RecallOptions, structure: int = 1600, raw: int = 4000) -> DataFrame:
+def search_knowledge(
+    queries: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, options: RecallOptions, structure: int = 1600, raw: int = 4000, materialize: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """Rendered results (query_id, section, rank, text) under the budgets of each section."""
-    hits, best = recall(queries, entities, relations, chunks, options)
+    hits, best = recall(queries, entities, relations, chunks, options, materialize)
     e = hits.join(entities, "name").select("query_id", "ordinal", "name", T.render_entity(F.col("name"), F.col("type"), F.col("observations"), F.transform("observations", lambda _: F.lit(""))).alias("text"))
-    e = keep_until(e, ["query_id"], ["ordinal", "name"], F.octet_length("text"), structure)
+    e = keep_until(materialize(e), ["query_id"], ["ordinal", "name"], F.octet_length("text"), structure)
     w = Window.partitionBy("query_id")
     shown = e.select("query_id", F.lit("structure").alias("section"), F.row_number().over(w.orderBy("ordinal", "name")).alias("rank"), "text")
-    c = best.join(chunks.select("id", "text", "source"), "id")
+    c = materialize(best.join(chunks.select("id", "text", "source"), "id").select("query_id", "rank", "text", "source"))
     c = keep_within(c, ["query_id"], ["rank"], F.octet_length("text"), raw)
     return shown.unionByName(c.select("query_id", F.lit("chunks").alias("section"), "rank", T.render_chunk(F.col("source"), F.col("text")).alias("text")))
 

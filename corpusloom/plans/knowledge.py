@@ -142,18 +142,18 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query("recall")
 def recall(spark: SparkSession, d: str) -> DataFrame:
-    hits, best = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True))
+    hits, best = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize)
     return hits.select("query_id", F.lit("entity").alias("kind"), F.col("name").alias("id")).unionByName(best.select("query_id", F.lit("chunk").alias("kind"), "id"))
 
 
 @query("search_knowledge")
 def search_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    return R.search_knowledge(*_graph(spark, d), E.RecallOptions.for_model(lexical=True))
+    return R.search_knowledge(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize=materialize)
 
 
 @query("match_knowledge")
 def match_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True))
+    hits, _ = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize)
     semantic, keyword = F.col("how").bitwiseAND(F.lit(1)) > 0, F.col("how").bitwiseAND(F.lit(2)) > 0
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), T.recall_method(F.bool_or(semantic), F.bool_or(keyword)).alias("method"))
 
