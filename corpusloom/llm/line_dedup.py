@@ -44,7 +44,15 @@ def _lines(docs: DataFrame, min_bytes: int) -> DataFrame:
     """(rk, doc, place, name, size, to, back) of every line: its bytes, and how many lines the shortest stretches of ``min_bytes`` bytes from it and up to it have (0: none)."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, texts in blocks(batches, "text"):
+            # equal rows have the same places: a task tells them once
+            new = [i for i, k in enumerate(batch.column(0).to_pylist()) if not (k in seen or seen.add(k))]
+            if len(seen) > 200_000:
+                seen.clear()
+            if not new:
+                continue
+            batch, texts = batch.take(pa.array(new)), [texts[i] for i in new]
             buf, starts, ends, owner, first = _split(texts)
             n = np.arange(len(ends))
             last = np.searchsorted(ends, starts + min_bytes)
