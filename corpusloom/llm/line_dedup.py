@@ -79,7 +79,8 @@ def _again(rows: DataFrame) -> DataFrame:
 def _found_again(rows: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` whose name stands elsewhere too, each place once, with ``later``: it also stands further up."""
     later = F.struct("doc", "rk", "place") != F.col("first")
-    found = rows.join(_again(rows), "name").withColumn("later", later).drop("first")
+    # names grow with the input, so they are merged at every size, never broadcast
+    found = rows.join(_again(rows).hint("merge"), "name").withColumn("later", later).drop("first")
     # dealt out anew, as repeats could not be dropped by name while Spark splits hot names
     return materialize(finish(found.repartition("rk").distinct()), "level")
 
@@ -192,7 +193,7 @@ def _delete(docs: DataFrame, cuts: DataFrame | None, shared: Callable[[bytes, li
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in _COUNTS])
     names, i = docs.columns, docs.columns.index("text")
     rows = _numbered(docs)
-    joined = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("places", "array<int>"), ("sizes", "array<int>"), ("longest", "int"))}) if cuts is None else rows.join(cuts, "rk", "left")
+    joined = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("places", "array<int>"), ("sizes", "array<int>"), ("longest", "int"))}) if cuts is None else rows.join(cuts.hint("merge"), "rk", "left")
     joined = joined.select(*[f"c{k}" for k in range(len(names))], "places", "sizes", "longest", "nth")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
