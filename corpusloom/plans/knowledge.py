@@ -56,8 +56,8 @@ _NAMES = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """(words): all words of each benchmark text, lower-cased, in order."""
-    return table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
+    """(namespace, words): all words of each benchmark text, lower-cased, in order; texts are dealt to three namespaces."""
+    return table(spark, d, "benchmark").select(F.concat(F.lit("ns"), F.col("item_id") % 3).alias("namespace"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
 
 
 @query("entity_keyword_hits", f"SELECT conv_id * 100 + turn AS query_id, name FROM conversations, {_NAMES} WHERE length(name) >= 3 AND contains(lower(text), name)")
@@ -123,39 +123,58 @@ def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _words_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Entities of all words of the benchmark's texts, and relations between all neighbouring words of a text; lower-cased."""
+    """Entities of all words of a namespace's texts, and relations between all neighbouring words of a text; lower-cased."""
     words = _words(spark, d)
-    e = words.select(F.explode("words").alias("name")).distinct()
-    e = e.select("name", F.xxhash64("name").alias("ordinal"), F.lit("word").alias("type"), F.array(F.concat(F.lit("fact of "), "name")).alias("observations"), F.array().cast("array<string>").alias("aliases"), F.lit("ns").alias("namespace"))
+    e = words.select("namespace", F.explode("words").alias("name")).distinct()
+    o = F.xxhash64("name")
+    source = F.when(F.length("name") % 3 == 0, F.lit("")).when(F.length("name") % 3 == 1, F.concat(F.lit("s"), F.pmod(o, F.lit(50)))).otherwise(F.concat(F.lit("mcp:"), F.lit(NOW) - F.pmod(o, F.lit(200)) * 86_400_000, F.lit("-x")))
+    facts = F.array(F.struct(F.concat(F.lit("fact of "), "name").alias("text"), source.alias("source")))
+    e = e.select("namespace", "name", o.alias("ordinal"), F.lit("word").alias("type"), facts.alias("observations"), F.array().cast("array<string>").alias("aliases"))
     pairs = F.transform(F.slice("words", F.lit(2), F.size("words")), lambda w, i: F.struct(F.get("words", i).alias("src"), w.alias("dst")))
-    r = words.select(F.explode(pairs).alias("p")).select("p.src", "p.dst", F.lit("next").alias("label")).distinct()
-    return e, r
+    r = words.select("namespace", F.explode(pairs).alias("p")).select("namespace", F.when(F.col("p.src").rlike("^[a-z]"), F.initcap("p.src")).otherwise(F.col("p.src")).alias("src"), "p.dst", F.lit("next").alias("label")).distinct()
+    return e, r.withColumn("ordinal", F.xxhash64("src", "dst"))
+
+
+NOW = 1_717_200_000_000
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queries of the benchmark, entities of its words, relations between them, chunks of conversations, all with lexical vectors."""
+    """Queries of the benchmark, entities of its words, relations between them, chunks of conversations, all with lexical vectors and in namespaces."""
     embedded = lambda df, text: materialize(E.embed_batch(df, text), "embedded")  # noqa: E731  each is read several times
     q = embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     e, r = _words_graph(spark, d)
-    return q, embedded(e, "name"), materialize(r, "relations"), embedded(_chunks(spark, d), "text")
+    chunks = table(spark, d, "conversations").select(F.concat(F.lit("ns"), F.col("conv_id") % 3).alias("namespace"), F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text", F.concat(F.lit("s"), "conv_id").alias("source"))
+    return q, embedded(e, "name"), materialize(r, "relations"), embedded(chunks, "text")
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of every other session."""
+    c = table(spark, d, "conversations").where("conv_id % 2 = 0")
+    return c.select(F.concat(F.lit("ns"), F.col("conv_id") % 3).alias("namespace"), F.concat(F.lit("s"), "conv_id").alias("id"), F.concat(F.lit("Talk "), "conv_id").alias("title")).distinct()
+
+
+def _scope(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that search all namespaces, two by name, or the current one."""
+    i = F.col("item_id") % 3
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(i == 0, "*").when(i == 1, "ns2, ns0").otherwise("").alias("project"))
+    return R.search_scope(asked, _words(spark, d), current="ns1")
 
 
 @query("recall")
 def recall(spark: SparkSession, d: str) -> DataFrame:
-    hits, best = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize)
-    return hits.select("query_id", F.lit("entity").alias("kind"), F.col("name").alias("id")).unionByName(best.select("query_id", F.lit("chunk").alias("kind"), "id"))
+    hits, best = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize, _scope(spark, d))
+    return hits.select("query_id", "namespace", F.lit("entity").alias("kind"), F.col("key").alias("id"), "how").unionByName(best.select("query_id", "namespace", F.lit("chunk").alias("kind"), "id", F.col("rank").alias("how")))
 
 
 @query("search_knowledge")
 def search_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    return R.search_knowledge(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize=materialize)
+    return R.search_knowledge(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize=materialize, scope=_scope(spark, d), titles=_titles(spark, d), now_ms=NOW)
 
 
 @query("match_knowledge")
 def match_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = R.recall(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize)
-    semantic, keyword = F.col("how").bitwiseAND(F.lit(1)) > 0, F.col("how").bitwiseAND(F.lit(2)) > 0
-    return hits.groupBy("query_id").agg(F.count("*").alias("n"), T.recall_method(F.bool_or(semantic), F.bool_or(keyword)).alias("method"))
+    found, _ = R.match_knowledge(*_graph(spark, d), E.RecallOptions.for_model(lexical=True), materialize=materialize, scope=_scope(spark, d), titles=_titles(spark, d), now_ms=NOW)
+    return found
 
 
 _ASKED = "(SELECT unnest(['band3', 'grp7', 'band60', 'nobody']) AS mention)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import archive, chunking, curation, embedding, retrieval
 from corpusloom.plans import knowledge, views
+from corpusloom.sources import tables
 from corpusloom.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
@@ -136,76 +138,144 @@ def lists(df, key: str = "id") -> dict:  # noqa: ANN001
 def test_recall_against_brute_force(spark, graph):  # noqa: ANN001
     queries, entities, relations, chunks = graph
     texts = {r["query_id"]: r["text"] for r in queries.collect()}
-    q = vectors(queries, "query_id")
-    seeds = lists(retrieval.semantic_seeds(queries, entities.withColumn("id", F.col("name")), OPTIONS))
-    check_ranked(seeds, q, vectors(entities, "name"), 8, 0.12)
-    ranked = lists(retrieval.rank_chunks(queries, chunks, OPTIONS))
-    check_ranked(ranked, q, vectors(chunks, "id"), 30, 0.12)
-
-    names = [r["name"] for r in entities.collect()]
-    edges = defaultdict(set)
-    for r in relations.collect():
-        edges[r["src"].lower()].add(r["dst"])
-    want = {}
-    for i, text in texts.items():
-        words = {n for n in names if len(n) >= 3 and n in text.lower()}
-        start = set(seeds[i]) | (words if seeds[i] else set())
-        near = {x for n in start for x in edges[n.lower()]}
-        for n in set(seeds[i]) | words | near:
-            want[i, n] = (n in seeds[i]) + 2 * (n in words) + 4 * (n in near)
-    hits, best = retrieval.recall(*graph, OPTIONS)
-    assert {(r["query_id"], r["name"]): r["how"] for r in hits.collect()} == want
-    method = {0: "none", 1: "semantic", 2: "keyword", 3: "hybrid"}
-    told = {}
-    for i in texts:
-        how = [h for (j, _), h in want.items() if j == i]
-        if how:
-            told[i] = (len(how), method[any(h & 1 for h in how) + 2 * any(h & 2 for h in how)])
-    assert {r["query_id"]: (r["n"], r["method"]) for r in knowledge.match_knowledge(spark, DATA).collect()} == told
-
-    # chunks: both lists, fused
+    scope = defaultdict(list)
+    for i in sorted(texts):
+        scope[i] = [["ns0", "ns1", "ns2"], ["ns2", "ns0"], ["ns1", "_global_"]][i % 3]
+    told = defaultdict(list)
+    for r in knowledge._scope(spark, DATA).orderBy("query_id", "place").collect():
+        told[r["query_id"]].append(r["namespace"])
+    assert told == scope
+    options = embedding.RecallOptions(floor=0.12, hops=2)
+    hits, best = retrieval.recall(*graph, options, tables.materialize, knowledge._scope(spark, DATA))
+    how = {(r["query_id"], r["namespace"], r["key"]): r["how"] for r in hits.collect()}
+    by_rank = defaultdict(dict)
+    for r in hits.where("rank is not null").collect():
+        by_rank[r["query_id"], r["namespace"]][r["rank"]] = r["key"]
+    found = defaultdict(list)
+    for r in best.orderBy("rank").collect():
+        found[r["query_id"], r["namespace"]].append(r["id"])
     terms = {r["query_id"]: r["t"] for r in queries.select("query_id", T.query_terms(F.col("text")).alias("t")).collect()}
-    low = {r["id"]: r["text"].lower() for r in chunks.collect()}
-    fused = {}
-    for i in texts:
-        keyword = sorted(c for c, t in low.items() if terms[i] and sum(x in t for x in terms[i]) >= max(1, len(terms[i]) // 2))
-        score, first = defaultdict(float), {}
-        for no, found in enumerate((ranked[i], keyword), 1):
-            for rank, c in enumerate(found, 1):
-                score[c] += 1 / (60 + rank)
-                first[c] = min(first.get(c, (9, 0)), (no, rank))
-        fused[i] = sorted(score, key=lambda c: (-score[c], first[c], c))[:5]  # noqa: B023
-    assert {i: x for i, x in lists(best).items()} == {i: x for i, x in fused.items() if x}
-
-    # rendering under the budgets
-    shown = defaultdict(dict)
-    for r in retrieval.search_knowledge(*graph, OPTIONS).collect():
-        shown[r["query_id"], r["section"]][r["rank"]] = r["text"]
-    ordinal = {r["name"]: (r["ordinal"], r["name"]) for r in entities.collect()}
-    source = {r["id"]: r["source"] for r in chunks.collect()}
-    raw = {r["id"]: r["text"] for r in chunks.collect()}
-    for i in texts:
-        lines, used = [], 0
-        for n in sorted((n for j, n in want if j == i), key=ordinal.get):
-            if used >= 1600:
-                break
-            lines.append(f"\n### {n}（word）\n- fact of {n}\n")
-            used += len(lines[-1].encode())
-        assert [shown[i, "structure"][k + 1] for k in range(len(shown[i, "structure"]))] == lines
-        kept, used = [], 0
-        for c in fused[i]:
-            used += len(raw[c].encode())
-            if kept and used > 4000:
-                break
-            kept.append(f"\n〔来源：{source[c]}〕\n{raw[c]}\n\n---\n")
-        assert [shown[i, "chunks"][k] for k in sorted(shown[i, "chunks"])] == kept
-
-
-def test_contained_finds_parts_of_any_text(spark):  # noqa: ANN001
-    texts = [(1, "the payment service"), (2, "日本語 service"), (3, ""), (4, "ab"), (5, None), (6, "s")]
-    parts = [("a", "service"), ("b", "日本"), ("c", "ab"), ("d", "zz"), ("e", "pay"), ("e", "ment s"), ("f", "service")]
-    got = retrieval.contained(spark.createDataFrame(parts, "part_id string, part string"), spark.createDataFrame(texts, "id int, low string"), 2)
-    assert rows_of(got) == sorted([("a", 1), ("a", 2), ("f", 1), ("f", 2), ("b", 2), ("c", 4), ("e", 1), ("e", 1)])
+    want = {}
+    for ns in ("ns0", "ns1", "ns2"):
+        asked = queries.where(F.col("query_id").isin([i for i in texts if ns in scope[i]]))
+        q, own = vectors(asked, "query_id"), chunks.where(F.col("namespace") == ns)
+        names = [r["name"] for r in entities.where(F.col("namespace") == ns).collect()]
+        seeds = {i: [by_rank[i, ns][k] for k in sorted(by_rank[i, ns])] for i in q[0]}
+        check_ranked(seeds, q, vectors(entities.where(F.col("namespace") == ns), "name"), 8, 0.12)
+        ranked = lists(retrieval.rank_chunks(asked, own, options))
+        edges = defaultdict(set)
+        for r in relations.where(F.col("namespace") == ns).collect():
+            edges[r["src"].lower()].add(r["dst"].lower())
+        low = {r["id"]: r["text"].lower() for r in own.collect()}
+        for i in q[0]:
+            words = {n for n in names if len(n) >= 3 and n in texts[i].lower()}
+            start = set(seeds[i]) | (words if seeds[i] else set())
+            near = {x for n in start for x in edges[n]}
+            near = (near | {x for n in near for x in edges[n]}) - start
+            for n in set(seeds[i]) | words | near:
+                want[i, ns, n] = (n in seeds[i]) + 2 * (n in words) + 4 * (n in near)
+            keyword = sorted(c for c, t in low.items() if terms[i] and sum(x in t for x in terms[i]) >= max(1, len(terms[i]) // 2))
+            score, first = defaultdict(float), {}
+            for no, listed in enumerate((ranked[i], keyword), 1):
+                for rank, c in enumerate(listed, 1):
+                    score[c] += 1 / (60 + rank)
+                    first[c] = min(first.get(c, (9, 0)), (no, rank))
+            assert found[i, ns] == sorted(score, key=lambda c: (-score[c], first[c], c))[:5]  # noqa: B023
+    assert how == want
+
+
+@pytest.fixture(scope="module")
+def two_spaces(spark):  # noqa: ANN001, ANN201
+    """The name Payment in two namespaces, relations spelled otherwise, three steps in a row."""
+    fact = "array<struct<text string, source string>>"
+    e = spark.createDataFrame(
+        [("a", "Payment", "service", 1, [1.0, 0.0, 0.0], [("calls orders", "s1"), ("is old", "mcp:86400000-x"), ("bare", None)]), ("a", "Order Service", "service", 2, [0.0, 1.0, 0.0], [("stores rows", "code:a/b.go")]), ("a", "Ledger", None, 3, [0.0, 0.9, 0.1], []),
+         ("b", "payment", "team", 1, [1.0, 0.1, 0.0], [("eats lunch", "s1")]), ("b", "Audit", "team", 2, [0.0, 0.0, 1.0], [("long " * 400, "moved:q")]), ("b", "Late", "team", 3, None, None)],
+        f"namespace string, name string, type string, ordinal int, embedding array<double>, observations {fact}",
+    ).withColumn("aliases", F.array().cast("array<string>"))
+    r = spark.createDataFrame([("a", "PAYMENT", "order service", "calls", 1), ("a", "Order Service", "Ledger", "writes", 2), ("a", "Ledger", "Gone", "feeds", 3), ("b", "Payment", "Late", "knows", 1), ("b", "Audit", "payment", "checks", 2)], "namespace string, src string, dst string, label string, ordinal int")
+    c = spark.createDataFrame([("a", "c1", "payment retries", "s1", [1.0, 0.0, 0.0]), ("b", "c1", "payment lunch", "task:7", [1.0, 0.0, 0.0]), ("b", "c2", "no vector payment", "s9", None)], "namespace string, id string, text string, source string, embedding array<double>")
+    q = spark.createDataFrame([(1, "payment", [1.0, 0.0, 0.0]), (2, "payment", None), (3, "nothing here", [0.0, -1.0, -1.0])], "query_id int, text string, embedding array<double>")
+    return q, e, r, c
+
+
+OWN = embedding.RecallOptions(floor=0.5)
+
+
+@pytest.mark.parametrize("hops,reached", [(0, set()), (1, {"order service"}), (2, {"order service", "ledger"}), (5, {"order service", "ledger", "gone"})])
+def test_hops_and_spelling(two_spaces, hops, reached):  # noqa: ANN001
+    hits, best = retrieval.recall(*two_spaces, embedding.RecallOptions(floor=0.5, hops=hops), tables.materialize)
+    got = {(r["query_id"], r["namespace"], r["key"]): r["how"] for r in hits.collect()}
+    want = {(1, "a", "payment"): 3, (1, "b", "payment"): 3, (2, "a", "payment"): 2, (2, "b", "payment"): 2} | {(1, "a", x): 4 for x in reached} | ({(1, "b", "late"): 4} if hops else {})
+    assert got == want  # backwards (Audit) nothing is reached, and without a vector no relations are followed
+    assert sorted((r["query_id"], r["namespace"], r["id"]) for r in best.collect()) == [(1, "a", "c1"), (1, "b", "c1")]
+
+
+def document(rows: list, query_id: int) -> str:
+    order = list(retrieval.SECTIONS)
+    return "".join(r["text"] for r in sorted((r for r in rows if r["query_id"] == query_id), key=lambda r: (r["place"], order.index(r["section"]), r["rank"])))
+
+
+def test_rendered_results(spark, two_spaces):  # noqa: ANN001
+    titles = spark.createDataFrame([("a", "s1", "Talk about pay"), ("b", "s1", " ")], "namespace string, id string, title string")
+    asked = spark.createDataFrame([(1, "b, a"), (2, "*"), (3, "")], "query_id int, project string")
+    scope = retrieval.search_scope(asked, two_spaces[1], current="a")
+    show = lambda **more: retrieval.search_knowledge(*two_spaces, OWN, materialize=tables.materialize, scope=scope, titles=titles, now_ms=100 * 86_400_000, **more).collect()
+    rows = show()
+    b = "# 项目 `b` 与「payment」相关的业务知识\n\n## 结构（实体与关系）\n\n### payment（team）\n- eats lunch （来源：s1）\n\n### Late（team）\n\n关系：\n- Payment —knows→ Late\n\n## 相关原文片段（细节以原文为准）\n\n〔来源：任务 7〕\npayment lunch\n\n---\n\n---\n\n"
+    facts = "\n### Payment（service）\n- calls orders （来源：Talk about pay）\n- is old （来源：MCP写入 (99天前⚠️)）\n- bare\n"
+    a = "# 项目 `a` 与「payment」相关的业务知识\n\n## 结构（实体与关系）\n" + facts + "\n### Order Service（service）\n- stores rows （来源：代码 a/b.go）\n\n关系：\n- PAYMENT —calls→ order service\n\n## 相关原文片段（细节以原文为准）\n\n〔来源：Talk about pay〕\npayment retries\n\n---\n\n---\n\n"
+    assert document(rows, 1) == retrieval.INTRO + b + a + retrieval.LEXICAL
+    assert facts in document(rows, 2) and "Order" not in document(rows, 2) and "原文片段" not in document(rows, 2)
+    assert document(rows, 3) == "在命名空间 [a _global_] 里没有查到和「nothing here」相关的知识。"
+    cut = document(show(total=len((retrieval.INTRO + b).encode()), lexical=False), 1)
+    assert cut == retrieval.INTRO + b + retrieval.CUT
+    assert document(show(total=len((retrieval.INTRO + b).encode()) + 1, lexical=False), 1) == retrieval.INTRO + b + a
+
+
+def test_matched_knowledge(spark, two_spaces):  # noqa: ANN001
+    titles = spark.createDataFrame([("a", "s1", "Talk about pay")], "namespace string, id string, title string")
+    found, context = retrieval.match_knowledge(*two_spaces, OWN, materialize=tables.materialize, titles=titles, now_ms=100 * 86_400_000)
+    got = {(r["query_id"], r["namespace"]): r.asDict() for r in found.collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (2, "a"), (2, "b")}
+    x = got[1, "a"]
+    assert (x["names"], x["semantic_seeds"], x["keyword_hits"]) == (["Payment", "Order Service"], ["Payment"], ["Payment"])
+    assert (x["sources"], x["chunk_hits"], x["method"], x["local"]) == (["Talk about pay", "MCP写入 (99天前⚠️)", "代码 a/b.go"], 1, "hybrid", True)
+    x = got[2, "b"]
+    assert (x["names"], x["semantic_seeds"], x["sources"], x["chunk_hits"], x["method"], x["local"]) == (["payment"], [], ["s1"], 0, "keyword", False)
+    lines = {(r["section"], r["rank"]): r["text"] for r in context.where("query_id = 1 and namespace = 'a'").collect()}
+    assert lines["structure", 2] == "\n【Order Service】\n- stores rows\n" and lines["chunks", 1] == "\n〔来源：Talk about pay〕\npayment retries\n───\n"
+
+
+def test_match_query(spark):  # noqa: ANN001
+    """Of the query over whole tables: methods and seeds agree with recall, and names stand in their namespace."""
+    hits = defaultdict(set)
+    for r in knowledge.recall(spark, DATA).where("kind = 'entity'").collect():
+        hits[r["query_id"], r["namespace"]].add((r["id"], r["how"]))
+    rows = knowledge.match_knowledge(spark, DATA).collect()
+    assert {(r["query_id"], r["namespace"]) for r in rows} >= set(hits) and rows
+    for r in rows:
+        own = hits[r["query_id"], r["namespace"]]
+        assert set(r["semantic_seeds"]) == {k for k, how in own if how & 1} and set(r["keyword_hits"]) == {k for k, how in own if how & 2}
+        assert set(r["names"]) <= {k for k, _ in own}
+        assert r["method"] == ("hybrid" if r["keyword_hits"] and (r["semantic_seeds"] or r["chunk_hits"]) else "semantic" if r["semantic_seeds"] or r["chunk_hits"] else "keyword")
+
+
+@pytest.mark.parametrize("together", [1 << 21, 20, 1])
+def test_contained_finds_parts_of_any_text(spark, together):  # noqa: ANN001
+    texts = [(1, "the payment service"), (2, "日本語 service"), (3, ""), (4, "ab"), (5, None), (6, "s"), (4, "ab")]
+    groups = [("a", ["service"], 1), ("b", ["日本", "zz"], 1), ("c", ["ab", "ab"], 1), ("d", ["zz", ""], 1), ("e", ["pay", "ment s", "nothing"], 2), ("f", ["service", "t s"], 2), ("g", [], 1)]
+    got = retrieval.contained(spark.createDataFrame(groups, "key string, parts array<string>, need int"), spark.createDataFrame(texts, "id int, low string"), together, 8)
+    assert rows_of(got) == sorted([("a", 1, 1), ("a", 2, 1), ("f", 1, 2), ("b", 2, 1), ("c", 4, 1), ("c", 4, 1), ("e", 1, 2)])
+    assert retrieval.contained(spark.createDataFrame([], "key int, parts array<string>, need int"), spark.createDataFrame(texts, "id int, low string"), together).collect() == []
+
+
+def test_contained_is_linear(spark):  # noqa: ANN001
+    """One long text with one part many times."""
+    groups = spark.createDataFrame([(k, ["ab", f"x{k}"], 1) for k in range(50)], "key int, parts array<string>, need int")
+    began = time.time()
+    assert retrieval.contained(groups, spark.createDataFrame([(1, "abc" * 1_000_000)], "id int, low string")).count() == 50
+    assert time.time() - began < 30
 
 
 def test_nearest_within_a_group(spark):  # noqa: ANN001

@@ -139,9 +139,10 @@ def test_recall_is_over_all_words_of_the_benchmark(spark):  # noqa: ANN001
     texts = {r["item_id"]: r["text"].lower() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     words = {i: re.findall(r"\w+", t) for i, t in texts.items()}
     _, entities, relations, _ = knowledge._graph(spark, d)
-    names = {w for ws in words.values() for w in ws}
-    assert sorted(r["name"] for r in entities.select("name").collect()) == sorted(names)
-    want = {pair for ws in words.values() for pair in zip(ws, ws[1:], strict=False)}
-    assert sorted((r["src"], r["dst"]) for r in relations.collect()) == sorted(want)
-    hits = {(r["query_id"], r["id"]) for r in knowledge.recall(spark, d).where("kind = 'entity'").select("query_id", "id").collect()}
-    assert {(i, w) for i, t in texts.items() for w in names if len(w) >= 3 and w in t} <= hits
+    names = {(f"ns{i % 3}", w) for i, ws in words.items() for w in ws}
+    assert sorted((r["namespace"], r["name"]) for r in entities.select("namespace", "name").collect()) == sorted(names)
+    want = {(f"ns{i % 3}", *pair) for i, ws in words.items() for pair in zip(ws, ws[1:], strict=False)}
+    assert sorted((r["namespace"], r["src"].lower(), r["dst"]) for r in relations.collect()) == sorted(want)
+    hits = {(r["query_id"], r["namespace"], r["id"]) for r in knowledge.recall(spark, d).where("kind = 'entity'").select("query_id", "namespace", "id").collect()}
+    searched = {0: ("ns0", "ns1", "ns2"), 1: ("ns0", "ns2"), 2: ("ns1",)}
+    assert {(i, ns, w) for i, t in texts.items() for ns, w in names if ns in searched[i % 3] and len(w) >= 3 and w in t} <= hits
