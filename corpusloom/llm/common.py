@@ -98,37 +98,60 @@ def stream64(n: int, seed: int) -> np.ndarray:
     return mix64(mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
 
 
-_R = 0xD1342543DE82EF95
-_R_INV = pow(_R, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        made = []
-        for r in (_R, _R_INV):
-            p = np.full(size, r, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+#: A Mersenne prime, so that remainders are shifts and sums; two bases make 62 bits.
+_P = np.uint64((1 << 31) - 1)
+_BASES = (0x3A8F05C5, 0x6B4E2D19)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo _P of numbers below 2**62."""
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x == _P, np.uint64(0), x)
+
+
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers and those of its inverse, ``n`` at least, made by doubling."""
+    if not _powers or len(_powers[0][0]) < n:
+        size, made = max(n, 1 << 21), []
+        for base in _BASES:
+            tables = []
+            for r in (base, pow(base, -1, int(_P))):
+                p = np.ones(1, dtype=np.uint64)
+                while len(p) < size:
+                    p = np.concatenate([p, _reduced(p * np.uint64(pow(r, len(p), int(_P))))])
+                tables.append(p[:size].astype(np.uint32))
+            made.append((tables[0], tables[1]))
         _powers[:] = made
     return _powers
 
 
 class Substrings:
-    """Hashes of substrings of one buffer in constant time each, by polynomial prefix sums modulo 2**64."""
+    """Hashes of substrings of one buffer in constant time each, by polynomial prefix sums modulo a prime, for two bases.
+
+    Two different strings of n bytes share a hash by chance alone, at most (n / 2**31)**2 of the pairs of bases.
+    """
 
     def __init__(self, buf: np.ndarray, lower: bool = False, seed: int = 7):
-        values = stream64(256, seed)
-        if lower:
-            values[65:91] = values[97:123]
-        up, self._down = _power_tables(len(buf) + 1)
-        self._sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(values[buf] * up[: len(buf)], out=self._sums[1:])
+        self._sums = []
+        self._tables = _power_tables(len(buf) + 1)
+        for k, (up, _) in enumerate(self._tables):
+            values = _reduced(stream64(256, seed + k) >> np.uint64(2))
+            if lower:
+                values[65:91] = values[97:123]
+            x = values[buf]
+            x *= up[: len(buf)]
+            high = x >> np.uint64(31)
+            x &= _P
+            x += high  # below 2**32: sums of 2**30 of them can be reduced
+            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+            np.cumsum(x, out=sums[1:])
+            self._sums.append(sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (self._sums[end] - self._sums[start]) * self._down[start]
-        return mix64(x + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        one, two = (_reduced(_reduced(sums[end] - sums[start]) * down[start]) for sums, (_, down) in zip(self._sums, self._tables, strict=True))
+        return mix64(((one << np.uint64(31)) | two) ^ mix64((end - start).astype(np.uint64)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fill_in_middle, periodic_runs, quality_rules, registry
+from corpusloom.llm import common, fill_in_middle, jaccard_join, line_dedup, periodic_runs, quality_rules, registry
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, runs int, kept string, form string, units string, key string, n long"
 WORD = "[^\x20\x09-\x0d]+"
@@ -218,3 +218,41 @@ def test_empty_tables(spark):  # noqa: ANN001
     assert quality_rules.quality_rules(null_only).select("n_words", "kept").collect() == [(0, False)]
     assert periodic_runs.periodic_runs(null_only).select("n_words", F.size("runs"), "collapsed").collect() == [(0, 0, "")]
     assert fill_in_middle.fill_in_middle(null_only).select("form", "output").collect() == [("plain", "")]
+
+
+# Hashes -----------------------------------------------------------------------------------
+
+
+def thue_morse(n: int, flipped: bool) -> str:
+    """2**n letters; with its complement, equal under every polynomial modulo a power of two."""
+    x = np.zeros(1, dtype=np.int8)
+    for _ in range(n):
+        x = np.concatenate([x, 1 - x])
+    return "".join("ba"[v] if flipped else "ab"[v] for v in x.tolist())
+
+
+@pytest.mark.parametrize("n", [10, 11, 14])
+def test_hashes_tell_thue_morse_words_apart(n):  # noqa: ANN001
+    texts = [thue_morse(n, flipped).encode() for flipped in (False, True)]
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    a, b = common.Substrings(buf)(np.asarray([0, 1 << n]), np.asarray([1 << n, 2 << n]))
+    assert a != b
+    assert len(set(common.word_hashes(texts)[0].tolist())) == 2
+
+
+def test_substring_hashes_depend_on_content_alone():
+    rng = np.random.default_rng(5)
+    buf = rng.integers(97, 99, 400).astype(np.uint8)
+    start, end = (x.ravel() for x in np.meshgrid(np.arange(0, 60), np.arange(0, 60)))
+    start, end = np.minimum(start, end), np.maximum(start, end)
+    by_hash, by_text = {}, {}
+    for s, e, h in zip(start.tolist(), end.tolist(), common.Substrings(buf)(start, end).tolist(), strict=True):
+        text = buf[s:e].tobytes()
+        assert by_hash.setdefault(h, text) == text and by_text.setdefault(text, h) == h
+
+
+def test_lines_and_documents_that_occur_once_stay(spark):  # noqa: ANN001
+    one, two = thue_morse(11, False), thue_morse(11, True)
+    docs = spark.createDataFrame([(1, one, "en"), (2, two, "en"), (3, " ".join([one] * 5), "en"), (4, " ".join([two] * 5), "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(docs).collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(docs).collect()) == [1, 2, 3, 4]
