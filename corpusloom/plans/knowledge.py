@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -20,6 +20,8 @@ from corpusloom.plans.scalars import _LINKED, _OBS, _observations, _snapshot_sql
 from corpusloom.plans.views import MENTIONS, MESSAGES, PATHS, RELATIONS, mentions, messages, paths, query, relations, table
 from corpusloom.sources import readers as S
 from corpusloom.sources.tables import fresh_path, materialize
+from corpusloom.sources.versions import Versions
+from corpusloom.streaming import ingest as I
 from corpusloom.streaming import streams
 
 # Retrieval --------------------------------------------------------------------------------
@@ -661,11 +663,15 @@ def read_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query("write_record", f"SELECT namespace, record_id, CASE WHEN ordinal % 2 = 0 THEN 2 ELSE 1 END AS version FROM (SELECT namespace, record_id, min(ordinal) AS ordinal FROM {MENTIONS} GROUP BY 1, 2)")
 def write_record(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh_path(spark, "upsert")
+    kept = Versions(fresh_path(spark, "upsert"), "namespace string, record_id string, o long, v int", ("namespace", "record_id"))
     old = mentions(spark, d).groupBy("namespace", "record_id").agg(F.min("ordinal").alias("o")).select("namespace", S.record_file_name(F.col("record_id")).alias("record_id"), "o", F.lit(1).alias("v"))
-    S.append_records(old, path, 1)
-    S.append_records(old.where("o % 2 = 0").withColumn("v", F.lit(2)), path, 2)
-    return S.latest_records(spark, path, ["namespace", "record_id"]).select("namespace", "record_id", F.col("v").alias("version"))
+    kept.append(old, 1)
+    kept.compact(spark)
+    kept.append(old.where("o % 2 = 0").withColumn("v", F.lit(3)), 2)
+    kept.append(kept.read_for(old.where("o % 2 = 0"), 2).where("o % 2 = 0").withColumn("v", F.col("v") + 1), 2)  # written again
+    kept.compact(spark)
+    kept.remove_covered(spark)
+    return kept.read(spark).select("namespace", "record_id", F.col("v").alias("version"))
 
 
 @query("write_graph", f"SELECT namespace, count(DISTINCT name) AS n FROM {MENTIONS} GROUP BY 1")
@@ -692,23 +698,60 @@ def index_messages(spark: SparkSession, d: str) -> DataFrame:
 # Streams ----------------------------------------------------------------------------------
 
 
-@query("stream_messages", "SELECT user_id AS message_id, string_agg(event_type, '' ORDER BY event_id) AS text, CASE WHEN bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error') THEN 'complete' ELSE 'interrupted' END AS status, count(*) AS events FROM events GROUP BY 1")
-def stream_messages(spark: SparkSession, d: str) -> DataFrame:
+#: A user's events are messages one after another: a purchase ends one well, an error ends it badly.
+_SPOKEN = """(SELECT *, user_id || '.' || ended AS message_id, row_number() OVER (PARTITION BY user_id, ended ORDER BY event_id) AS event_seq FROM
+    (SELECT *, coalesce(sum(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ended FROM events))"""
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    ends = F.col("event_type").isin("purchase", "error")
+    e = e.withColumn("ended", F.coalesce(F.sum(ends.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    seq = F.row_number().over(Window.partitionBy("user_id", "ended").orderBy("event_id"))
+    return e.select(F.concat("user_id", F.lit("."), "ended").alias("message_id"), seq.cast("long").alias("event_seq"), F.col("event_type").alias("delta"), (F.col("event_type") == "purchase").alias("done"), (F.col("event_type") == "error").alias("error"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query("stream_messages", f"SELECT message_id, string_agg(event_type, '' ORDER BY event_id) AS text, CASE WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'interrupted' END AS status, count(*) AS events FROM {_SPOKEN} GROUP BY 1")
+def stream_messages(spark: SparkSession, d: str) -> DataFrame:
+    """All events in two parts, each row of the first twice, and then a later one, so that time goes on and silent messages end."""
     source, out, checkpoint = (fresh_path(spark, x) for x in ("deltas", "kept", "checkpoint"))
-    e.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("event_seq"), F.col("event_type").alias("delta"), (F.col("event_type") == "purchase").alias("done"), (F.col("event_type") == "error").alias("error")).repartition(4).write.parquet(source)
-    schema = "message_id long, event_seq long, delta string, done boolean, error boolean"
-    streams.stream_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source), out, checkpoint)
+    told = materialize(_deltas(spark, d), "told")
+    half = F.pmod(F.xxhash64("message_id", "event_seq"), F.lit(2))
+    schema = "message_id string, event_seq long, delta string, done boolean, error boolean, at timestamp"
+    later = told.agg((F.max("at") + F.expr("interval 900 days")).alias("at")).select(F.lit("later").alias("message_id"), F.lit(1).cast("long").alias("event_seq"), F.lit("").alias("delta"), F.lit(False).alias("done"), F.lit(False).alias("error"), "at")
+    first = told.where(half == 0)
+    for part in (first.unionByName(first), told.where(half == 1), later):
+        part.write.mode("append").parquet(source)
+        streams.stream_messages(spark.readStream.schema(schema).parquet(source), out, checkpoint, "30 days", "400 days")
     return streams.latest_messages(spark, out).select("message_id", "text", "status", "events")
 
 
-@query("stream_ingest", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def _first_words(items: DataFrame) -> DataFrame:
+    """An extractor: the first word of each text is an entity. Every seventh source fails once."""
+    name = F.regexp_extract("text", r"[\p{L}\p{N}]+", 0)
+    entity = F.struct(name.alias("name"), F.lit("word").alias("type"), F.array(F.concat(F.lit("begins "), "source")).alias("observations"))
+    fails = (F.regexp_extract("source", r"\d+", 0).cast("long") % 7 == 0) & (F.col("attempts") == 0)
+    return items.select("namespace", "source", F.when(~fails, F.array(entity)).alias("entities"), F.array().alias("relations"), F.when(fails, "broken reply").alias("error"))
+
+
+@query(
+    "stream_ingest",
+    r"""SELECT lang AS namespace, 'd' || doc_id AS source, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS mtime, regexp_extract(CASE WHEN doc_id % 3 = 0 THEN 'again ' || text ELSE text END, '[\p{L}\p{N}]+') AS name, 'begins d' || doc_id AS fact, 1024 AS dim FROM documents""",
+)
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, then every second one as it was and every third one changed, then some of these again; what failed is tried again with each."""
     source, out, checkpoint = (fresh_path(spark, x) for x in ("docs", "ingested", "checkpoint"))
-    table(spark, d, "documents").select("doc_id", "lang").write.parquet(source)
-    for _ in range(2):  # the second run finds nothing new
-        streams.stream_ingest(spark, source, "doc_id long, lang string", lambda df: df.dropDuplicates(["doc_id"]), out, checkpoint)
-    return spark.read.parquet(out).groupBy("lang").agg(F.count("*").alias("n"))
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select(i, F.col("lang").alias("namespace"), F.concat(F.lit("d"), i).alias("source"), F.lit(1).cast("long").alias("mtime"), "text")
+    changed = docs.where(i % 3 == 0).withColumn("mtime", F.lit(2).cast("long")).withColumn("text", F.concat(F.lit("again "), "text"))
+    ingestion = I.Ingestion(out, _first_words)
+    for part in (docs, docs.where(i % 2 == 0).unionByName(changed), changed.where(i % 7 == 0)):
+        part.drop("doc_id").write.mode("append").parquet(source)
+        streams.stream_ingest(spark, source, ingestion, checkpoint)
+    ingestion.compact(spark)
+    e = ingestion.read_entities(spark)
+    return e.select("namespace", "source", F.col("seen").cast("int").alias("mtime"), "name", F.col("observations")[0].alias("fact"), F.size("embedding").alias("dim"))
 
 
 @query("stream_sse_events", "SELECT event_id AS line_no, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS delta, event_id % 5 = 0 AS done FROM events")
@@ -747,8 +790,7 @@ def stream_remember(spark: SparkSession, d: str) -> DataFrame:
     source, out, checkpoint = (fresh_path(spark, x) for x in ("writes", "records", "checkpoint"))
     _writes(spark, d).repartition(2).write.parquet(source)
     stream = spark.readStream.schema("namespace string, name string, type string, observations array<string>").option("maxFilesPerTrigger", 1).parquet(source)
-    streams.stream_remember(stream, 1_717_200_000_000, out, checkpoint)
-    found = spark.read.parquet(out).dropDuplicates(["namespace", "record_id"])  # equal writes of two batches have one id
+    found = streams.stream_remember(stream, 1_717_200_000_000, out, checkpoint, floor=2.0).read(spark)  # nothing is so alike, so names stay
     return found.select("name", "type", F.col("observations")[0].alias("fact"), F.size("embedding").alias("dim"), F.lit(True).alias("kept"))
 
 

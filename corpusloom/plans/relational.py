@@ -50,13 +50,7 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
 def freshness_query(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "conversations").select("conv_id").distinct().withColumn("mtime", F.col("conv_id") * 10)
     records = files.where("conv_id % 5 <> 0").select("conv_id", F.when(F.col("conv_id") % 3 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("seen"), F.when(F.col("conv_id") % 2 == 0, 1).otherwise(2).alias("schema"))
-    return freshness(files, records, "conv_id").select("conv_id", "status")
-
-
-def freshness(files: DataFrame, records: DataFrame, key: str, current: int = 2) -> DataFrame:
-    """Files with ``status``: fresh; backfill, if only the record's schema is older; else reprocess."""
-    same = F.col("seen") == F.col("mtime")
-    return files.join(records, key, "left").withColumn("status", F.when(same & (F.col("schema") >= current), "fresh").when(same, "backfill").otherwise("reprocess"))
+    return M.freshness(files, records, "conv_id").select("conv_id", "status")
 
 
 _ALIASED = "(SELECT 'ns' || (p_partkey % 4) AS namespace, p_partkey AS ordinal, p_name || ' ' || p_partkey AS name, 'grp' || (p_partkey % 500) AS a1, 'band' || ((p_partkey % 500) // 5) AS a2 FROM part)"

@@ -210,21 +210,6 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):  # noqa: ANN001
 # Streams ----------------------------------------------------------------------------------
 
 
-def test_messages_grow_over_batches(spark, tmp_path):  # noqa: ANN001
-    schema = "message_id long, event_seq long, delta string, done boolean, error boolean"
-    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
-
-    def run(rows):  # noqa: ANN001, ANN202
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        streams.stream_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), out, checkpoint)
-        return {r["message_id"]: (r["text"], r["status"], r["events"]) for r in streams.latest_messages(spark, out).collect()}
-
-    assert run([(1, 2, "lo", False, False), (2, 1, "part", False, False)]) == {1: ("lo", "interrupted", 1), 2: ("part", "interrupted", 1)}
-    # an earlier piece comes later, and state is carried over the restart
-    assert run([(1, 1, "hel", False, False), (1, 3, "", True, False)]) == {1: ("hello", "complete", 3), 2: ("part", "interrupted", 1)}
-    assert run([(2, 2, "", True, True), (3, 1, "x", True, False)]) == {1: ("hello", "complete", 3), 2: ("part", "interrupted", 2), 3: ("x", "complete", 1)}
-
-
 def test_a_repeated_batch_replaces_its_records(spark, tmp_path):  # noqa: ANN001
     out = f"file://{tmp_path}/records"
     row = lambda v: spark.createDataFrame([("a", v), ("b", v)], "id string, v int")
