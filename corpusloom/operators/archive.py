@@ -125,9 +125,28 @@ def delete_entities(mentions: DataFrame, relations: DataFrame, names: DataFrame)
     return mentions.join(hit, "ordinal", "left_anti"), relations
 
 
-def route_entities(mentions: DataFrame, noise: DataFrame, common: DataFrame, target: str = "_global_") -> DataFrame:
-    """Mentions without those of ``noise`` names; those of ``common`` names under the target namespace."""
-    k = T.norm_key(F.col("name"))
+def route_entities(mentions: DataFrame, relations: DataFrame, noise: DataFrame, common: DataFrame, target: str = "_global_") -> tuple[DataFrame, DataFrame]:
+    """Mentions and relations without those of ``noise`` names, and those of ``common`` names under the target namespace.
+
+    A relation goes if either end is noise, else moves if either end is common. Names meet in any spelling; one that is both is noise.
+    """
     noise, common = (x.select(T.norm_key(F.col("name")).alias("k")).distinct() for x in (noise, common))
-    kept = mentions.withColumn("k", k).join(noise, "k", "left_anti").join(common.withColumn("moved", F.lit(True)), "k", "left")
-    return kept.withColumn("namespace", F.when(F.col("moved"), F.lit(target)).otherwise(F.col("namespace"))).drop("k", "moved")
+    common = common.withColumn("moved", F.lit(True))
+    kept = mentions.withColumn("k", T.norm_key(F.col("name"))).join(noise, "k", "left_anti").join(common, "k", "left")
+    place = lambda moved: F.when(moved, F.lit(target)).otherwise(F.col("namespace"))
+    kept = kept.withColumn("namespace", place(F.col("moved"))).select(*mentions.columns)
+    columns = relations.columns
+    for end in ("src", "dst"):
+        relations = relations.withColumn("k", T.norm_key(F.col(end))).join(noise, "k", "left_anti").join(common.withColumnRenamed("moved", f"moved_{end}"), "k", "left").drop("k")
+    moved = F.coalesce("moved_src", "moved_dst", F.lit(False))
+    return kept, relations.withColumn("namespace", place(moved)).select(*columns)
+
+
+def resolve_titles(rows: DataFrame, titles: DataFrame, source: str = "source", now_ms: int = 0) -> DataFrame:
+    """``rows`` with ``title``: how their source is told. ``titles`` has (id, title), and a namespace if titles are those of a namespace; the first of several by name.
+
+    Sources with a known prefix are told by it; others by their title, or as they are where it is missing or blank.
+    """
+    on = [c for c in ("namespace",) if c in titles.columns and c in rows.columns]
+    one = titles.groupBy(*on, F.col("id").alias(source)).agg(F.min("title").alias("known_title"))
+    return rows.join(one, [*on, source], "left").withColumn("title", T.render_source(F.col(source), F.col("known_title"), F.lit(now_ms))).drop("known_title")

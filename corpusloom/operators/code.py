@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -47,26 +47,70 @@ def extract_file_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return file_rows.unionByName(package_rows), files.select(package.alias("src"), path.alias("dst"), F.lit("包含").alias("label"))
 
 
+# Tokens of Go that hold no code, its keywords, and the names of kinds and labels.
+GO_COMMENT = r"//[^\n]*|(?s:/\*.*?\*/)"
+GO_STRING = r"""`[^`]*`|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'"""
+GO_KEYWORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
+CONTAINS, DEPENDS, CALLS = "包含", "依赖", "调用"
+
+
+def mask_go(source: Column) -> Column:
+    """Go source without comments, and with empty strings; line breaks stay where they are."""
+    tokens = F.regexp_extract_all(source, F.lit(f"{GO_COMMENT}|{GO_STRING}|[^/\"'`]+|."), F.lit(0))
+    blank = lambda t: F.regexp_replace(t, r"[^\n]", "")
+    kept = F.transform(tokens, lambda t: F.when(t.rlike(r"^(//|/\*|`)"), blank(t)).when(t.rlike("^[\"'].+[\"']$"), F.lit('""')).otherwise(t))
+    return F.array_join(kept, "")
+
+
+def go_imports(source: Column) -> Column:
+    """Paths of the import declarations, distinct, in order."""
+    bare = F.array_join(F.transform(F.regexp_extract_all(source, F.lit(f"{GO_COMMENT}|{GO_STRING}|[^/\"'`]+|."), F.lit(0)), lambda t: F.when(t.rlike(r"^(//|/\*)"), "").otherwise(t)), "")
+    one = F.regexp_extract_all(bare, F.lit(r"""(?m)^import\s+(?:[\w.]+\s+)?["`]([^"`]*)["`]"""), F.lit(1))
+    groups = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?m)^import\s*\(([^)]*)\)"), F.lit(1)), "\n")
+    many = F.regexp_extract_all(groups, F.lit(r"""["`]([^"`]*)["`]"""), F.lit(1))
+    return F.array_distinct(F.filter(F.concat(one, many), lambda p: p != ""))
+
+
 def extract_go_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Declarations (path, line, kind, name) of Go files, and calls (path, caller, callee) between them, by patterns.
+    """Entities (path, line, name, type, aliases) of a Go file's functions, methods and types, and edges (path, line, src, dst, label): the file contains them
+    and depends on what it imports, functions call others.
 
-    A line belongs to the declaration last begun before it. Type checking is beyond patterns: calls are matched by name
-    within the package.
+    Names are ``package.Symbol``; aliases are the short name, a method's form with its receiver, and the words of the name. Comments and strings hold nothing.
+    Declarations are those at the outermost level, by the running count of brackets, in any layout that ``gofmt`` makes. Calls are those of a bare name (in the own package) or
+    of a name on another (``x.Sel``), each once for a function. A file without a package clause has none of it. Types are not checked.
     """
-    go = files.where(F.lower(T.extension(F.col("path"))) == ".go")
-    lines = go.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    kind = F.when(F.col("text").rlike(r"^func\s"), "func").when(F.col("text").rlike(r"^type\s+\w"), "type")
-    name = F.when(kind == "func", F.regexp_extract("text", r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1)).otherwise(F.regexp_extract("text", r"^type\s+(\w+)", 1))
-    receiver = F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?(\w+)", 1)
-    lines = lines.withColumn("kind", kind).withColumn("name", F.when(kind.isNotNull(), name)).withColumn("receiver", F.when(kind == "func", receiver))
-    declared = lines.where("kind is not null and name <> ''").select("path", "line", "kind", "name", "receiver")
-    from pyspark.sql import Window
-
-    within = F.last(F.when(F.col("kind") == "func", F.col("name")), ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
-    calls = lines.withColumn("caller", within).where("caller is not null and kind is null")
-    calls = calls.select("path", "caller", F.explode(F.regexp_extract_all("text", F.lit(r"\b(\w+)\("), F.lit(1))).alias("callee")).distinct()
-    known = declared.where("kind = 'func'").select(T.package_name(F.col("path")).alias("package"), F.col("name").alias("callee")).distinct()
-    return declared, calls.withColumn("package", T.package_name(F.col("path"))).join(known, ["package", "callee"]).select("path", "caller", "callee")
+    go = files.where(F.lower(T.extension(F.col("path"))) == ".go").select("path", mask_go(F.coalesce("content", F.lit(""))).alias("code"), go_imports(F.coalesce("content", F.lit(""))).alias("imports"))
+    go = go.withColumn("package", F.regexp_extract("code", r"(?m)^\s*package\s+(\w+)", 1)).where("package <> ''")
+    lines = go.select("path", "package", F.posexplode(F.split("code", "\n")).alias("line", "text"))
+    count = lambda marks: F.length(F.regexp_replace("text", f"[^{marks}]", ""))
+    order = Window.partitionBy("path").orderBy("line")
+    depth = F.coalesce(F.sum(count("({\\[") - count(")}\\]")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = lines.withColumn("depth", depth)
+    outer = F.col("depth") == 0
+    opened = F.when(outer & F.col("text").rlike(r"^func\b"), "func").when(outer & F.col("text").rlike(r"^type\s*\("), "types").when(outer & F.col("text").rlike(r"^(type|var|const|import)\b"), "other")
+    x = x.withColumn("opened", opened)
+    func = r"^func\s*(?:\(\s*(?:\w+\s+)?(\*?\w+)[^)]*\)\s*)?(\w+)"
+    part = lambda pattern, k: F.nullif(F.regexp_extract("text", pattern, k), F.lit(""))
+    x = x.withColumn("within", F.last("opened", ignorenulls=True).over(order))
+    symbol = F.when(F.col("opened") == "func", part(func, 2)).when(outer, part(r"^type\s+(\w+)", 1)).when((F.col("within") == "types") & (F.col("depth") == 1), part(r"^\s*(\w+)", 1))
+    x = x.withColumn("symbol", symbol).withColumn("receiver", F.when(F.col("opened") == "func", part(func, 1)))
+    declared = x.where("symbol is not null")
+    form = F.when(F.col("receiver").isNotNull(), F.concat(F.lit("("), "receiver", F.lit(")."), "symbol"))
+    name = F.concat("package", F.lit("."), "symbol")
+    aliases = T.distinct_by_key(F.concat(F.filter(F.array(F.col("symbol"), form), lambda a: a.isNotNull()), T.symbol_aliases(F.col("symbol"))), name)
+    entities = declared.select("path", "line", name.alias("name"), F.when(F.col("opened") == "func", "function").otherwise("type").alias("type"), aliases.alias("aliases"))
+
+    # a function goes from its declaration to the next one; outside its brackets there are no calls
+    x = x.withColumn("caller", F.last(F.when(F.col("opened").isNotNull(), F.struct(F.when(F.col("opened") == "func", name).alias("name"))), ignorenulls=True).over(order)["name"])
+    body = F.when(F.col("opened") == "func", F.regexp_extract("text", r"\{(.*)$", 1)).when(~outer, F.col("text"))
+    x = x.where("caller is not null").select("path", "line", "package", "caller", body.alias("body")).where("body is not null")
+    found = F.regexp_extract_all("body", F.lit(r"(?<![\w.)\]])(?:\w+\.)?\w+(?=\()"), F.lit(0))
+    calls = x.select("path", "line", "package", "caller", F.explode(found).alias("called")).where(~F.col("called").isin(GO_KEYWORDS) & ~F.col("called").rlike(r"^\d"))
+    callee = F.when(F.contains("called", F.lit(".")), F.col("called")).otherwise(F.concat("package", F.lit("."), "called"))
+    calls = calls.groupBy("path", F.col("caller").alias("src"), callee.alias("dst")).agg(F.min("line").alias("line"))
+    edges = go.select("path", F.lit(0).alias("line"), F.col("path").alias("src"), F.explode("imports").alias("dst"), F.lit(DEPENDS).alias("label"))
+    edges = edges.unionByName(entities.select("path", "line", F.col("path").alias("src"), F.col("name").alias("dst"), F.lit(CONTAINS).alias("label")))
+    return entities, edges.unionByName(calls.select("path", "line", "src", "dst", F.lit(CALLS).alias("label")))
 
 
 def package_in_degree(relations: DataFrame) -> DataFrame:

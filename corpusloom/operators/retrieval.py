@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.archive import resolve_titles
 from corpusloom.operators.embedding import RecallOptions, nearest
 from corpusloom.operators.messages import keep_until, keep_within, rrf_fuse
 
@@ -215,12 +216,9 @@ def recall(
 
 def _told(ids: DataFrame, titles: DataFrame | None, now_ms: int) -> DataFrame:
     """(namespace, source, shown): sources of ``ids`` (namespace, source) as they are shown, by title and age."""
-    ids = ids.distinct()
     if titles is None:
-        ids = ids.withColumn("title", F.lit(None).cast("string"))
-    else:
-        ids = ids.join(titles.groupBy("namespace", F.col("id").alias("source")).agg(F.min("title").alias("title")), ["namespace", "source"], "left")
-    return ids.select("namespace", "source", T.render_source(F.col("source"), F.col("title"), F.lit(now_ms)).alias("shown"))
+        titles = ids.sparkSession.createDataFrame([], "namespace string, id string, title string")
+    return resolve_titles(ids.distinct(), titles, "source", now_ms).withColumnRenamed("title", "shown")
 
 
 def _shown(

@@ -12,6 +12,7 @@ from corpusloom.operators import code as K
 from corpusloom.operators import curation as U
 from corpusloom.operators import diffs as D
 from corpusloom.operators import embedding as E
+from corpusloom.operators import extraction as X
 from corpusloom.operators import graph as G
 from corpusloom.operators import messages as M
 from corpusloom.operators import retrieval as R
@@ -304,9 +305,18 @@ def extract_imports(spark: SparkSession, d: str) -> DataFrame:
     return K.extract_imports(_sources(spark, d)).select("src", "dst")
 
 
-@query("extract_go_symbols", "SELECT 'src/m' || (p_partkey % 9) || '/f' || p_partkey || '.go' AS path, 'Run' || p_partkey AS caller, 'Help' || p_partkey AS callee FROM part WHERE p_partkey % 3 = 2")
+_GO = "(SELECT p_partkey AS i, 'src/m' || (p_partkey % 9) || '/f' || p_partkey || '.go' AS path FROM part WHERE p_partkey % 3 = 2)"
+
+
+@query(
+    "extract_go_symbols",
+    f"""SELECT path AS src, 'p.T' || i AS dst, '包含' AS label, NULL AS aliases FROM {_GO} UNION ALL SELECT path, 'p.Run' || i, '包含', NULL FROM {_GO} UNION ALL SELECT path, 'p.Help' || i, '包含', NULL FROM {_GO}
+    UNION ALL SELECT 'p.Run' || i, 'p.Help' || i, '调用', NULL FROM {_GO} UNION ALL SELECT 'p.Run' || i, 'p.print', '调用', NULL FROM {_GO}
+    UNION ALL SELECT 'p.T' || i, 'type', 'is', 'T' || i FROM {_GO} UNION ALL SELECT 'p.Run' || i, 'function', 'is', 'Run' || i || '|(*T' || i || ').Run' || i FROM {_GO} UNION ALL SELECT 'p.Help' || i, 'function', 'is', 'Help' || i FROM {_GO}""",
+)
 def extract_go_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return K.extract_go_symbols(_sources(spark, d))[1]
+    e, r = K.extract_go_symbols(_sources(spark, d))
+    return r.select("src", "dst", "label", F.lit(None).cast("string").alias("aliases")).unionByName(e.select(F.col("name").alias("src"), F.col("type").alias("dst"), F.lit("is").alias("label"), F.array_join("aliases", "|").alias("aliases")))
 
 
 @query("select_key_files", "SELECT path, round(score, 6)::DOUBLE AS score FROM (SELECT i, 'src/m' || (i % 9) || '/f' || i || CASE i % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.go' END AS path, 3.0 * n + 1.5 * deg + 0.2 AS score FROM (SELECT p_partkey AS i, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS n, (SELECT count(*) FROM part q WHERE q.p_partkey % 9 = p.p_partkey % 9) AS deg FROM part p)) ORDER BY score DESC, i LIMIT 40")
@@ -316,23 +326,32 @@ def select_key_files(spark: SparkSession, d: str) -> DataFrame:
     return K.select_key_files(files, changes, files.select(F.col("path").alias("dst"))).select("path", F.round("score", 6).alias("score"))
 
 
-@query("ingest_replies", f"SELECT ordinal, name, type, fact, 'reply:' || ordinal AS source FROM {MENTIONS}")
+@query("ingest_replies", f"SELECT ordinal, name, type, fact, 'reply:' || ordinal AS source FROM {MENTIONS} UNION ALL SELECT ordinal, name, 'of', type, NULL FROM {MENTIONS} WHERE type IS NOT NULL")
 def ingest_replies(spark: SparkSession, d: str) -> DataFrame:
-    body = F.to_json(F.struct(F.array(F.struct("name", "type", F.array("fact").alias("observations"))).alias("entities")))
-    replies = mentions(spark, d).select("ordinal", F.concat(F.lit("Sure:\n```\n"), body, F.lit("\n```")).alias("reply"))
-    return extract(replies).select("ordinal", "name", "type", F.col("observations")[0].alias("fact"), F.concat(F.lit("reply:"), "ordinal").alias("source"))
+    """Facts of the replies, and their relations in the same columns."""
+    edge = F.struct(F.col("name").alias("from"), F.col("type").alias("to"), F.lit("of").alias("label"))
+    body = F.to_json(F.struct(F.array(F.struct("name", "type", F.array("fact").alias("observations"))).alias("entities"), F.array(edge).alias("relations")))
+    replies = mentions(spark, d).select("ordinal", F.concat(F.lit("reply:"), "ordinal").alias("from"), F.concat(F.lit("Sure:\n```\n"), body, F.lit("\n```")).alias("reply"))
+    facts, edges = X.ingest_replies(replies.withColumnRenamed("ordinal", "reply_id"), ["reply_id"], "from")
+    out = facts.select(F.col("reply_id").alias("ordinal"), "name", "type", F.col("text").alias("fact"), "source")
+    return out.unionByName(edges.select(F.col("reply_id").alias("ordinal"), F.col("src").alias("name"), F.col("label").alias("type"), F.col("dst").alias("fact"), F.lit(None).cast("string").alias("source")))
 
 
-def extract(replies: DataFrame) -> DataFrame:
-    """Entities of model replies (ordinal, reply), parsed leniently: a broken reply has none."""
-    parsed = F.from_json(T.json_part(F.col("reply")), "entities array<struct<name string, type string, observations array<string>>>")
-    return replies.select("ordinal", F.inline(parsed["entities"]))
+@query("extractor", "SELECT event_id AS ordinal, CASE WHEN event_id % 4 <> 0 THEN event_type END AS name, event_id % 7 = 0 AS failed FROM events")
+def extractor(spark: SparkSession, d: str) -> DataFrame:
+    """A function called for all events in batches: some replies are broken, some calls fail."""
 
+    def model(texts: list[str]) -> list[str]:
+        if any(int(t.split()[0]) % 7 == 0 for t in texts):
+            raise RuntimeError("overloaded")
+        return ["I can't {" if int(t.split()[0]) % 4 == 0 else f'{{"entities": [{{"name": "{t.split()[1]}"}}]}}' for t in texts]
 
-@query("extractor", "SELECT event_id AS ordinal, event_type AS name FROM events WHERE event_id % 4 <> 0")
-def extractor(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.when(F.col("event_id") % 4 == 0, F.lit("I can't {")).otherwise(F.concat(F.lit('{"entities": [{"name": "'), "event_type", F.lit('"}]}')))
-    return extract(table(spark, d, "events").select(F.col("event_id").alias("ordinal"), reply.alias("reply"))).select("ordinal", "name")
+    e = table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.concat_ws(" ", "event_id", "event_type").alias("text"))
+    failed = X.extractor(model, retries=1, wait=0.0)(e)
+    # the failed ones by a function that doesn't fail
+    again = X.extractor(lambda texts: [f'{{"entities": [{{"name": "{t.split()[1]}"}}]}}' if int(t.split()[0]) % 4 else "" for t in texts])(failed.where("error is not null").select("ordinal", "text"))
+    name = F.get("entities", F.lit(0))["name"]
+    return failed.where("error is null").select("ordinal", name.alias("name"), F.lit(False).alias("failed")).unionByName(again.select("ordinal", name.alias("name"), F.lit(True).alias("failed")))
 
 
 @query("validate_mentions", f"SELECT event_id FROM (SELECT event_id, {_snapshot_sql(T.RULE_WORDS, T.SNAPSHOT_WORDS, T.COMMIT_WORDS, '(?i)' + T.PIPELINE)} AS s FROM {_OBS}) WHERE NOT s AND event_id % 10 <> 0")
@@ -365,10 +384,13 @@ def migrate_namespaces(spark: SparkSession, d: str) -> DataFrame:
     return U.migrate_namespaces(mentions(spark, d), renamed).groupBy("namespace").agg(F.count("*").alias("n"))
 
 
-@query("route_entities", f"SELECT CASE WHEN name LIKE '%ring' THEN '_global_' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} WHERE name NOT LIKE 'small%' GROUP BY 1")
+@query("route_entities", f"""SELECT 'fact' AS kind, CASE WHEN name LIKE '%ring' THEN '_global_' ELSE namespace END AS namespace, count(*) AS n FROM {MENTIONS} WHERE name NOT LIKE 'small%' GROUP BY 2
+    UNION ALL SELECT 'relation', CASE WHEN dst LIKE '%ring' THEN '_global_' ELSE namespace END, count(*) FROM {_OWN_RELATIONS} WHERE dst NOT LIKE 'small%' GROUP BY 2""")
 def route_entities(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_name").alias("name"))
-    return A.route_entities(mentions(spark, d), p.where("name like 'small%'"), p.where("name like '%ring'")).groupBy("namespace").agg(F.count("*").alias("n"))
+    facts, edges = A.route_entities(mentions(spark, d), own_relations(spark, d), p.where("name like 'small%'"), p.where("name like '%ring'").select(F.upper("name").alias("name")))
+    count = lambda df, kind: df.groupBy(F.lit(kind).alias("kind"), "namespace").agg(F.count("*").alias("n"))
+    return count(facts, "fact").unionByName(count(edges, "relation"))
 
 
 @query("delete_entities", "SELECT p_partkey AS ordinal FROM part WHERE (p_partkey % 500) // 5 NOT IN (3, 4)")

@@ -88,7 +88,7 @@ def resolve_titles(spark: SparkSession, d: str) -> DataFrame:
     m, o = mentions(spark, d), F.col("ordinal") % 5
     src = F.when(o == 0, F.concat(F.lit("code:"), "name")).when(o == 1, F.concat(F.lit("task:"), "name")).when(o == 2, F.lit("moved:x")).when(o == 3, F.concat(F.lit("t"), "ordinal")).otherwise(F.col("source"))
     titles = m.where("ordinal % 5 = 3").select(F.concat(F.lit("t"), "ordinal").alias("id"), F.concat(F.lit("title "), "ordinal").alias("t"))
-    return m.select("ordinal", src.alias("id")).join(titles, "id", "left").select("ordinal", T.render_source(F.col("id"), F.col("t"), F.lit(0)).alias("title"))
+    return A.resolve_titles(m.select("ordinal", src.alias("id")), titles.withColumnRenamed("t", "title"), "id").select("ordinal", "title")
 
 
 @query(
