@@ -14,6 +14,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators.archive import resolve_titles
 from corpusloom.operators.embedding import RecallOptions, nearest
 from corpusloom.operators.messages import keep_until, keep_within, rrf_fuse
+from corpusloom.operators.vector_index import VectorIndex
 
 Materialize = Callable[[DataFrame], DataFrame]
 
@@ -128,8 +129,9 @@ def chunk_keyword_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.select(F.col("key").alias("query_id"), "id", F.col("matched").cast("long").alias("matched"))
 
 
-def semantic_seeds(queries: DataFrame, entities: DataFrame, options: RecallOptions) -> DataFrame:
-    return nearest(queries, entities, options.seeds, options.floor)
+def semantic_seeds(queries: DataFrame, entities: DataFrame, options: RecallOptions, index: VectorIndex | None = None) -> DataFrame:
+    """The seeds of every query, exactly, or by an index of the entities."""
+    return nearest(queries, entities, options.seeds, options.floor) if index is None else index.search(queries, options.seeds, options.floor)
 
 
 def rank_chunks(queries: DataFrame, chunks: DataFrame, options: RecallOptions) -> DataFrame:

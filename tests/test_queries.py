@@ -23,7 +23,7 @@ def test_same_as_sql(spark, con, name):  # noqa: ANN001
 
 def test_queries_without_sql_have_brute_force():
     """Their results are tested in test_knowledge."""
-    assert set(views.QUERIES) - set(views.SQL) == {"chunk_units", "chunk_transcripts", "chunk_notes", "chunk_tasks", "chunk_code", "recall", "search_knowledge", "match_knowledge", "remember"}
+    assert set(views.QUERIES) - set(views.SQL) == {"chunk_units", "chunk_transcripts", "chunk_notes", "chunk_tasks", "chunk_code", "recall", "search_knowledge", "match_knowledge", "remember", "semantic_seeds_indexed"}
 
 
 def test_entry(spark):  # noqa: ANN001
