@@ -206,6 +206,14 @@ def components(edges: DataFrame, materialize, most: int = 50) -> DataFrame:  # n
     raise RuntimeError("components did not settle")
 
 
+def linked(mentions: DataFrame, materialize) -> DataFrame:  # noqa: ANN001
+    """``mentions`` (namespace, ordinal, name, aliases) with ``root``, one for all that names and aliases link, directly or by others: its smallest key."""
+    keys = explode_keys(mentions.select("namespace", "ordinal", "name", "aliases"), "namespace").withColumn("v", F.concat("namespace", F.lit("\0"), "key"))
+    edges = keys.join(keys.groupBy("namespace", "ordinal").agg(F.min("v").alias("b")), ["namespace", "ordinal"]).select(F.col("v").alias("a"), "b").distinct()
+    roots = components(edges, materialize)
+    return mentions.withColumn("v", F.concat("namespace", F.lit("\0"), T.norm_key(F.col("name")))).join(roots, "v").drop("v")
+
+
 def merge_entities(mentions: DataFrame, materialize, mode: str = "exact") -> DataFrame:  # noqa: ANN001
     """Mentions (namespace, ordinal, name, aliases) with the canonical name they fold into.
 
@@ -213,10 +221,11 @@ def merge_entities(mentions: DataFrame, materialize, mode: str = "exact") -> Dat
     joins the entity that last took its first known key, or starts one. Keys never leave a component, so each
     component is folded alone, and all of them at once.
     """
-    keys = explode_keys(mentions.select("namespace", "ordinal", "name", "aliases"), "namespace").withColumn("v", F.concat("namespace", F.lit("\0"), "key"))
-    edges = keys.join(keys.groupBy("namespace", "ordinal").agg(F.min("v").alias("b")), ["namespace", "ordinal"]).select(F.col("v").alias("a"), "b").distinct()
-    roots = components(edges, materialize)
-    named = mentions.withColumn("v", F.concat("namespace", F.lit("\0"), T.norm_key(F.col("name")))).join(roots, "v").drop("v")
+    return fold_entities(linked(mentions, materialize), mode)
+
+
+def fold_entities(named: DataFrame, mode: str = "exact") -> DataFrame:
+    """The same for mentions that have their ``root``."""
     if mode == "component":
         first = named.groupBy("root").agg(F.min_by("name", "ordinal").alias("canonical"))
         return named.join(first, "root").drop("root")
