@@ -8,6 +8,7 @@ forward-backward marginals give the toxic spans, and what they sum up to gives t
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -296,8 +298,8 @@ def score_texts(texts: list[str], model: Field, emissions: dict | None = None, s
     return score, found
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, longest: int) -> tuple[list[str], list[int]]:
-    """At most ``toxic`` + ``clean`` labelled texts of at most ``longest`` characters, the first by a hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, longest: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``toxic`` + ``clean`` labelled texts of at most ``longest`` characters, the first by a hash of doc_id.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1 are used.
     """
@@ -307,9 +309,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int,
         some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.unionByName(some)
     texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")  # at most toxic + clean rows
-    rows = texts.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.assign(order=[hash_order(i) for i in rows["doc_id"]]).sort_values(["order", "doc_id"]).drop_duplicates("text")
-    return rows["text"].tolist(), rows["toxic"].astype(int).tolist()
+    return texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def hash_order(doc_id: int) -> int:
@@ -318,8 +318,18 @@ def hash_order(doc_id: int) -> int:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500, longest: int = 32768) -> Field:
-    """The field fitted on a bounded sample of labelled rows (see ``training_sample``)."""
-    return fit(*training_sample(docs, labels, toxic, clean, longest))
+    """The field fitted on a bounded sample of labelled rows (see ``training_rows``), in one task; the driver gets the field alone."""
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)  # the bounded sample
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        rows = rows.assign(order=[hash_order(i) for i in rows["doc_id"]]).sort_values(["order", "doc_id"]).drop_duplicates("text")
+        yield pd.DataFrame({"field": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+
+    found = training_rows(docs, labels, toxic, clean, longest).repartition(1).mapInPandas(fitted, "field binary").collect()
+    return pickle.loads(bytes(found[0]["field"])) if found else fit([], [])
 
 
 def score_toxicity(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
