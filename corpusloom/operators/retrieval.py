@@ -353,19 +353,30 @@ def best_entity_match(incoming: DataFrame, existing: DataFrame, floor: float = 0
     return nearest(incoming, existing, 1, floor).drop("rank")
 
 
-def obs_near_dup_join(facts: DataFrame, other: DataFrame, keys: list[str], floor: float = 0.8) -> DataFrame:
-    """Pairs of facts (.., fact_id, text) within the same keys whose token sets reach the similarity.
+def obs_near_dup_join(facts: DataFrame, other: DataFrame, keys: list[str], floor: float = 0.8, materialize: Materialize = lambda df: df) -> DataFrame:
+    """Pairs (.., fact_id, other_id, similarity) of facts (.., fact_id, text) within the same keys whose token sets reach the similarity.
 
-    In one fixed order of tokens, similar sets share one among the first of each, and their sizes are alike: pairs meet by these, then are verified.
+    With the rarest tokens of a key first, similar sets share one among the first of each, and their sizes are alike: pairs meet by these, so a token that
+    a third of all facts have brings none together that share no rarer one; ids alone are joined, and each pair that met is verified on its token sets.
+    Facts without tokens have no pairs; a pair of a table with itself comes both ways.
     """
 
-    def prefixed(df: DataFrame, name: str, tokens: str) -> DataFrame:
-        x = df.select(*keys, F.col("fact_id").alias(name), T.token_set(F.col("text")).alias(tokens)).where(F.size(tokens) > 0)
-        ordered = F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), lambda s: s["t"])
-        n = F.size(tokens)
-        return x.select("*", F.explode(F.slice(ordered, F.lit(1), n - F.ceil(floor * n - 1e-9).cast("int") + 1)).alias("token"))
-
-    n, m = F.size("tokens"), F.size("others")
-    met = prefixed(facts, "fact_id", "tokens").join(prefixed(other, "other_id", "others"), [*keys, "token"]).where((n >= floor * m - 1e-9) & (m >= floor * n - 1e-9))
-    pairs = met.drop("token").dropDuplicates([*keys, "fact_id", "other_id"])
-    return pairs.select(*keys, "fact_id", "other_id", T.jaccard(F.col("tokens"), F.col("others")).alias("similarity")).where(F.col("similarity") >= floor)
+    def sets(df: DataFrame, name: str, tokens: str) -> DataFrame:
+        return materialize(df.select(*keys, F.col("fact_id").alias(name), T.token_set(F.col("text")).alias(tokens)).where(F.size(tokens) > 0))
+
+    a, b = sets(facts, "fact_id", "tokens"), sets(other, "other_id", "others")
+    every = a.select(*keys, F.explode("tokens").alias("token")).unionByName(b.select(*keys, F.explode("others").alias("token")))
+    often = materialize(every.groupBy(*keys, "token").agg(F.count("*").alias("n")))
+
+    def prefixed(x: DataFrame, name: str, tokens: str, size: str) -> DataFrame:
+        counted = x.select(*keys, name, F.explode(tokens).alias("token")).join(often, [*keys, "token"])
+        ordered = counted.groupBy(*keys, name).agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("token").alias("h"), "token"))).alias("ordered"))
+        n = F.size("ordered")
+        first = F.slice("ordered", F.lit(1), n - F.ceil(floor * n - 1e-9).cast("int") + 1)
+        return materialize(ordered.select(*keys, name, n.alias(size), F.explode(first).alias("t")).select(*keys, name, size, "t.token"))
+
+    p, q = prefixed(a, "fact_id", "tokens", "_own"), prefixed(b, "other_id", "others", "_met")
+    met = p.join(q, [*keys, "token"]).where((F.col("_own") >= floor * F.col("_met") - 1e-9) & (F.col("_met") >= floor * F.col("_own") - 1e-9))
+    pairs = met.select(*keys, "fact_id", "other_id").distinct()
+    held = pairs.join(a, [*keys, "fact_id"]).join(b, [*keys, "other_id"])
+    return held.select(*keys, "fact_id", "other_id", T.jaccard(F.col("tokens"), F.col("others")).alias("similarity")).where(F.col("similarity") >= floor)

@@ -114,7 +114,7 @@ def fuse_chunks(spark: SparkSession, d: str) -> DataFrame:
 )
 def obs_near_dup_join(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("fact_id"), F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("x"), F.col("p_size") % 3)).alias("text"))
-    return R.obs_near_dup_join(f, f, ["k"]).withColumn("similarity", F.round("similarity", 9))
+    return R.obs_near_dup_join(f, f, ["k"], materialize=materialize).withColumn("similarity", F.round("similarity", 9))
 
 
 _MATCHED = _top_sql(1, 0.3).replace("WHERE q.vec_id % 50 = 0)", "WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)")

@@ -285,6 +285,16 @@ def test_nearest_within_a_group(spark):  # noqa: ANN001
     assert [(r["query_id"], r["id"]) for r in embedding.nearest(q, v, 1, 0.2, a_block=1, together=1).orderBy("query_id").collect()] == [(1, 13), (2, 13), (3, 13)]
 
 
+def test_near_duplicates_with_a_token_that_all_share(spark):  # noqa: ANN001
+    rng = np.random.default_rng(4)
+    rows = [(("a", "b")[i % 2], i, "common " + " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 8)))) for i in range(120)] + [("a", 900, "common"), ("a", 901, " "), ("a", 902, None), ("c", 903, "common")]
+    df = spark.createDataFrame(rows, "k string, fact_id int, text string")
+    bags = {i: (k, set((t or "").split())) for k, i, t in rows}
+    want = {(i, j) for i, (k, x) in bags.items() for j, (m, y) in bags.items() if k == m and x and y and len(x & y) / len(x | y) >= 0.8 - 1e-12}
+    got = retrieval.obs_near_dup_join(df, df, ["k"], materialize=tables.materialize).collect()
+    assert sorted((r["fact_id"], r["other_id"]) for r in got) == sorted(want)
+
+
 # Writing ----------------------------------------------------------------------------------
 
 
