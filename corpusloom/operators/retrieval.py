@@ -48,7 +48,7 @@ class _Searched:
 def contained(groups: DataFrame, texts: DataFrame, together: int = 1 << 21, part_bytes: int = 1 << 27) -> DataFrame:
     """(key, id, matched): groups of parts (key, parts, need) with ``need`` or more of their distinct parts in a text (id, low), and how many.
 
-    Texts are read once, whatever the number of parts, by an automaton of the parts. Groups with up to ``together`` bytes go to
+    Texts are read once, whatever the number of parts, by an automaton of the parts. Groups of up to ``together`` bytes, with their keys, go to
     every task; more of them are dealt to blocks of that size, and every block of texts meets every block of groups. A null or empty text holds
     nothing; empty parts are nowhere; repeated texts count each.
     """
@@ -57,7 +57,7 @@ def contained(groups: DataFrame, texts: DataFrame, together: int = 1 << 21, part
     g = groups.select(packed("key", "key"), "parts", F.col("need").cast("int").alias("need"))
     t = texts.select(packed("id", "id"), "low")
     size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
-    total = g.agg(size(F.array_join("parts", " ")).alias("n")).first()["n"]  # one number
+    total = g.agg(size(F.concat("key", F.array_join("parts", " "))).alias("n")).first()["n"]  # one number
     schema, names = "key string, id string, matched int", ["key", "id", "matched"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -74,7 +74,7 @@ def contained(groups: DataFrame, texts: DataFrame, together: int = 1 << 21, part
         yield batch_of(rows)
 
     if total <= together:
-        held = [tuple(r) for r in g.collect()]  # at most ``together`` bytes of parts
+        held = [tuple(r) for r in g.collect()]  # at most ``together`` bytes
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = _Searched(held)
