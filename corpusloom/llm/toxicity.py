@@ -8,11 +8,13 @@ forward-backward marginals give the toxic spans, and what they sum up to gives t
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ProcessPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -326,7 +328,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 15
             return
         rows = pd.concat(held, ignore_index=True)
         rows = rows.assign(order=[hash_order(i) for i in rows["doc_id"]]).sort_values(["order", "doc_id"]).drop_duplicates("text")
-        yield pd.DataFrame({"field": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+        # in a process of its own, so that what fitting takes is given back and does not stay with Spark's worker
+        with ProcessPoolExecutor(1, multiprocessing.get_context("fork")) as apart:
+            model = apart.submit(fit, rows["text"].tolist(), rows["toxic"].astype(int).tolist()).result()
+        yield pd.DataFrame({"field": [pickle.dumps(model)]})
 
     found = training_rows(docs, labels, toxic, clean, longest).repartition(1).mapInPandas(fitted, "field binary").collect()
     return pickle.loads(bytes(found[0]["field"])) if found else fit([], [])
