@@ -58,7 +58,7 @@ class TextIds:
     beyond, where lower-casing and composing can depend on more than the word, go through it whole.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
