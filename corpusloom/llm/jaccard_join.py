@@ -43,16 +43,20 @@ def _common_shingles(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            again = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(signed(found[again])), pa.array(times[again])], names=["h", "c"])
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            edge = np.diff((every[1:] == every[:-1]).astype(np.int8), prepend=0, append=0)
+            first = np.flatnonzero(edge == 1)
+            times = np.flatnonzero(edge == -1) - first + 1
+            return pa.RecordBatch.from_arrays([pa.array(signed(every[first])), pa.array(times)], names=["h", "c"])
 
         for _, texts in blocks(batches, "text"):
             held += shingle_sets(texts, words)
             size += sum(map(len, texts))
             if size > 24 << 20:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
 
