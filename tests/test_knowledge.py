@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -55,6 +56,30 @@ def rows_of(df) -> list[tuple]:  # noqa: ANN001
     return sorted(tuple(r) for r in df.collect())
 
 
+@pytest.mark.parametrize("mode", ["exact", "clean"])
+def test_long_sources_are_cut_in_segments(spark, mode):  # noqa: ANN001
+    draw, sources, rows = random.Random(5), {}, []
+    for k, n in enumerate([0, 1, 69, 70, 71, 139, 140, 141, 142, 280, 281, 700, 3000]):
+        wide = draw.choice([1, 30, 100])
+        units = ["".join(draw.choice("abcdeé ") for _ in range(draw.choice([0, 1, draw.randint(1, wide), 61, 150][: 3 + 2 * (k % 2)]))) + draw.choice(["", "x"]) for _ in range(n)]
+        sources["ns" if k % 3 else "", f"s{k}"] = units
+        rows += [("ns" if k % 3 else None, f"s{k}", 7 * i - 50, u) for i, u in enumerate(units)] + [("ns", f"s{k}", 3, None)]
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "namespace string, source string, seq long, unit string")
+    got = [(r[0] or "", *r[1:]) for r in chunking.chunk_units(df, "note", 60, mode, segment=70).collect()]
+    want = chunks_of(sources, "note", 60, clean=mode == "clean")
+    assert Counter(got) == Counter(want) and len(want) > 100
+    assert chunking.chunk_units(df.limit(0), "note", 60, mode, segment=70).isEmpty()
+
+
+def test_a_source_of_a_million_units(spark):  # noqa: ANN001
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("ns").alias("namespace"), F.lit("s").alias("source"), F.col("id").alias("seq"), F.concat(F.lit("unit "), F.sha1(F.col("id").cast("string")).substr(F.lit(1), (F.col("id") * 7919 % 37 + 1).cast("int"))).alias("unit"))
+    blocks = chunking.pack_units([r["unit"] for r in df.orderBy("seq").collect()], 600)
+    want = [("s#" + str(i), b) for i, b in enumerate(b for b in blocks if not chunking._is_noise(b))]
+    got = chunking.chunk_units(df, "note").select("chunk_id", "text").collect()
+    assert len(want) > 30_000 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_chunk_queries(spark):  # noqa: ANN001
     said = defaultdict(list)
     for r in views.messages(spark, DATA).orderBy("session_id", "seq").collect():
