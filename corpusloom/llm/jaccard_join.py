@@ -7,8 +7,10 @@ documents share come last, the others by hash. Two sets of similarity t share a
 1. Equal sets form a class, classes with the same prefix and size form a group; a group's prefix is
    shuffled once, by shingle.
 2. Among the groups that share a shingle, each is paired with one leader of its size band only. These few
-   pairs are expanded to classes and verified on whole texts; verified links give first components. A second
-   round pairs classes of different components with leaders and neighbours that change from shingle to shingle.
+   pairs are expanded to classes and verified on whole texts; verified links give first components. Further
+   rounds pair classes of different components with leaders and neighbours that change from shingle to shingle and
+   from round to round, and verify a few pairs for two components, until a round links hardly any more. So a large family is
+   one component before pairs are sought for all of its members.
 3. Pairs that still lie in different components and pass the size and position filters are verified
    too, so no link between different components is lost.
 4. Links of classes, all of which lie inside components now, are counted: a component's classes are dealt out to
@@ -76,7 +78,8 @@ def _band_width(percent: int) -> float:
     return float(np.log(100 / min(percent, 99)) * (1 + 1e-9))
 
 
-_SHORT = 512  # bits of the short sketch, which goes along in the last join
+_SHORT = 512  # bits of the short sketch, which goes along where rows of one shingle meet
+_MEETS = 3
 
 
 def parity_sketch(elements: np.ndarray, bits: int = 0) -> bytes:
@@ -152,7 +155,8 @@ def _leaders(percent: int, beside: int):  # noqa: ANN202
 
     The leader of a token and band is the first row; it itself follows the leader of the band before. Rows with
     the leader's root, or too far from it in size or position, have none. With ``beside``, only pairs (a, b) are
-    given out: each row with its leader and with so many rows before it.
+    given out, with their roots: each row with its leader and with at most ``_MEETS`` of so many rows before it that
+    differ in root and whose short sketches (further columns) don't rule it out.
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +178,7 @@ def _leaders(percent: int, beside: int):  # noqa: ANN202
 
 def _led(cols, next_token, state, percent, beside):  # noqa: ANN001, ANN202
     """The rows to give out and the state after them: the last row's (token, band, key) and its band's leader (n, pos, key, root)."""
-    token, band, pos, n, key, root = cols
+    token, band, pos, n, key, root, *bits = cols
     last, leader = state
     new_token = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
     new_band = new_token | np.concatenate([[last is None or band[0] != last[1]], band[1:] != band[:-1]])
@@ -191,12 +195,17 @@ def _led(cols, next_token, state, percent, beside):  # noqa: ANN001, ANN202
     ok = _can_link(n.astype(np.int64), pos.astype(np.int64), to[0], to[1], percent) & ~new_token & (to[3] != root)
     after = ((token[-1], band[-1], key[-1]), tuple(x[-1] for x in own))
     if beside:
-        found = [(to[2][ok], key[ok])]
+        found = [(to[2][ok], key[ok], to[3][ok], root[ok])]
+        met = np.zeros(len(token), dtype=np.int64)
         for k in range(1, min(beside, len(token) - 1) + 1):
             near = (token[k:] == token[:-k]) & (band[k:] == band[:-k]) & (root[k:] != root[:-k])
             near &= _can_link(n[k:].astype(np.int64), pos[k:].astype(np.int64), n[:-k].astype(np.int64), pos[:-k].astype(np.int64), percent)
-            found.append((key[:-k][near], key[k:][near]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"]), after
+            near = np.flatnonzero(near & (met[k:] < _MEETS))
+            differ = sum(np.bitwise_count(x.view(np.uint64)[near + k] ^ x.view(np.uint64)[near]).astype(np.int64) for x in bits)
+            near = near[differ * (100 + percent) <= (100 - percent) * (n[near].astype(np.int64) + n[near + k])]
+            met[near + k] += 1
+            found.append((key[:-k][near], key[k:][near], root[:-k][near], root[k:][near]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "root_a", "root_b"]), after
     keep = shared & ~again
     out = pa.RecordBatch.from_arrays(
         [pa.array(x[keep]) for x in (token, band, pos, n, key)] + [pa.array(to[2][keep], mask=~ok[keep])],
@@ -211,24 +220,32 @@ def _led_rows(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_leaders(percent, 0), "token long, band int, pos int, n int, key long, leader long")
 
 
-def _led_pairs(rows: DataFrame, percent: int, beside: int) -> DataFrame:
-    """Pairs across roots of rows that share a token: each with a leader and neighbours that change from token to token."""
-    rows = rows.repartition("token").sortWithinPartitions("token", "band", F.xxhash64("key", "token")).select("token", "band", "pos", "n", "key", "root")
-    return rows.mapInArrow(_leaders(percent, beside), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _led_pairs(rows: DataFrame, percent: int, beside: int, turn: int = 0) -> DataFrame:
+    """Pairs across roots of rows that share a token, with the roots in order: each with a leader and neighbours that change from token to token and from turn to turn."""
+    late = F.col("pos") * (100 + percent) > F.col("n") * (100 - percent)  # links with smaller sets only, so the others stand together
+    rows = rows.repartition("token").sortWithinPartitions("token", "band", late, F.xxhash64("key", "token", F.lit(turn)))
+    rows = rows.select("token", "band", "pos", "n", "key", "root", *[F.col("bits")[k].alias(f"bits_{k}") for k in range(_SHORT // 64)])
+    pairs = rows.mapInArrow(_leaders(percent, beside), "a long, b long, root_a long, root_b long")
+    return pairs.select(*[f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))], *[f("root_a", "root_b").alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]).distinct()
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches don't rule out."""
+    """The pairs (a, b) that their sketches don't rule out; of pairs with the roots ``low`` and ``high`` of their components, a few for each two."""
+    roots = [c for c in ("low", "high") if c in pairs.columns]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(4))
             ok = [sketch_distance(p, q) * (100 + percent) <= (100 - percent) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+            yield batch.select(["a", "b", *roots]).filter(pa.array(ok, type=pa.bool_()))
 
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("ck").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
+    pairs = pairs.select("n_a", "n_b", "sketch_a", "sketch_b", "a", "b", *roots).mapInArrow(compare, ", ".join(f"{c} long" for c in ("a", "b", *roots)))
+    if roots:  # one link joins two components, so the other pairs are for later rounds
+        pair = F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")
+        pairs = pairs.groupBy(*roots).agg(F.array_distinct(F.array(F.min(pair), F.max(pair))).alias("few")).select(F.explode("few").alias("pair")).select("pair.a", "pair.b")
+    return pairs
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, salts: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -269,6 +286,15 @@ def _between(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[Dat
     return materialize(rows.join(mixed, "token").select("token", "band", "pos", "n", "ck", "root"), "mixed"), placed
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, root) after more ``links`` (a, b); old components meet as one vertex each."""
+    for side in ("a", "b"):
+        links = links.join(roots.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    met = components(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct())
+    old = roots.join(met.select(F.col("v").alias("root"), F.col("root").alias("now")), "root", "left").select("v", F.coalesce("now", "root").alias("root"))
+    return materialize(old.union(met.join(roots, "v", "left_anti").select("v", "root")), "roots")
+
+
 def _link_counts(placed: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
     """(ck, n_links) of classes that link with others: how many of them, from rows (ck, root) of ``placed`` and the texts (ck, text) of all classes with links."""
     several = placed.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
@@ -324,6 +350,9 @@ def common_elements(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return out
 
 
+_ROUNDS = 8  # at most; what they leave is found by the last join
+
+
 def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signs of all rows (rk, doc_id, n, ck), the component of each class (ck, first_id, root), and the texts (ck, text) of all classes with links.
 
@@ -342,11 +371,17 @@ def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[Dat
     links, texts = _verify(stars.union(inner), classes, docs, words, percent)
     # from here on only shingles that several components share matter
     rows = live.select("token", "band", "pos", "n", F.col("key").alias("gkey")).join(classes.select("gkey", "ck"), "gkey").select("token", "band", "pos", "n", "ck")
-    rows, placed = _between(rows, classes, components(links))
-    more = _led_pairs(rows.select("token", "band", "pos", "n", F.col("ck").alias("key"), "root"), percent, 3)
-    found, read = _verify(more, classes, docs, words, percent)
-    links, texts = links.union(found), texts.union(read)
-    rows, placed = _between(rows.drop("root"), classes, components(links))
+    roots = components(links)
+    rows, placed = _between(rows, classes, roots)
+    for turn in range(_ROUNDS):
+        more = _led_pairs(rows.join(classes.select("ck", "bits"), "ck").withColumnRenamed("ck", "key"), percent, 64, turn)
+        found, read = _verify(more, classes, docs, words, percent)
+        linked = found.count()
+        if linked:
+            roots, texts = _merged(roots, found), texts.union(read)
+            rows, placed = _between(rows.drop("root"), classes, roots)
+        if linked * 100 < roots.count():
+            break
     # the rest: every pair across components that the filters let through
     rows = rows.join(classes.select("ck", "bits"), "ck")
     differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, _SHORT // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_b")[0])))
@@ -358,7 +393,7 @@ def _joined(docs: DataFrame, words: int, percent: int, common: int) -> tuple[Dat
     within = placed.join(placed.select("gkey", F.col("ck").alias("b"), F.col("root").alias("root_b")), "gkey").where("root < root_b").select(F.col("ck").alias("a"), "b")
     rest = across.select(F.col("ck").alias("a"), "b").union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found, read = _verify(rest, classes, docs, words, percent)
-    roots = components(links.union(found))
+    roots = _merged(roots, found)
     return signs, materialize(classes.join(roots.withColumnRenamed("v", "ck"), "ck", "left").select("ck", "first_id", F.coalesce("root", "ck").alias("root")), "named"), texts.union(read)
 
 

@@ -135,6 +135,32 @@ def test_link_counts_over_blocks(spark):  # noqa: ANN001
         assert got == [(i, links[shingles(t)]) for i, t in enumerate(texts)]
 
 
+def test_a_large_family_is_linked_through_few_pairs(spark, monkeypatch):  # noqa: ANN001
+    rng = random.Random(21)
+    base = words(rng, 150).split()
+    texts = []
+    for i in range(900):
+        w = list(base)
+        for k in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"u{i}.{k}"
+        texts.append(" ".join(w))
+    made = Counter()
+
+    def counted(df, name="t"):  # noqa: ANN001, ANN202
+        out = materialize(df, name)
+        made[name] += out.count() if name in ("pairs", "edges") else 0
+        return out
+
+    materialize = common.materialize
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "materialize", counted)
+    rows = list(enumerate(texts))
+    got = rows_of(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).drop("class_id"))
+    assert got == brute_components(rows)
+    classes = len(set(texts))
+    assert made["pairs"] <= 5 * classes and made["edges"] <= 8 * classes
+
+
 def test_near_copies_with_a_shared_doc_id(spark):  # noqa: ANN001
     rng = random.Random(6)
     a, b, c = (words(rng, 60) for _ in range(3))
