@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,61 @@ def test_split_anchors_find_the_same(docs):  # noqa: ANN001
     assert cover(plain) == cover(split)
 
 
+def brute_passages(texts: list[str | None], n: int) -> list[list[tuple[int, int]]]:
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for t in texts]
+    runs = [[(w[i][0], w[i + n - 1][1]) for i in range(len(w) - n + 1)] for w in found]
+    seen = Counter((t or "").encode()[a:b] for t, r in zip(texts, runs, strict=True) for a, b in r)
+    out = []
+    for t, r in zip(texts, runs, strict=True):
+        covered: list[tuple[int, int]] = []
+        for a, b in r:
+            if seen[(t or "").encode()[a:b]] > 1:
+                covered[-1:] = [(covered[-1][0], b)] if covered and a <= covered[-1][1] else [*covered[-1:], (a, b)]
+        out.append(covered)
+    return out
+
+
+def test_passages_shorter_than_a_stretch_are_found(spark, corpus):  # noqa: ANN001
+    rng = random.Random(12)
+    short = [" ".join(rng.choice(["to", "be", "or", "not", "só", "x1"]) for _ in range(n)) for n in (50, 51, 57)]
+    texts = [r[1] for r in corpus]
+    texts += [f"{words(rng, 30)} {p} {words(rng, 20)}" for p in short for _ in range(3)]
+    texts += [words(rng, 9) + "\n" + short[2] + tail for tail in ("", "s", "\n", " z")]  # a word that goes on is another word
+    texts += [short[1], short[1].replace(" ", "  ", 1), "b " * 50 + "b", "b " * 51 + "b", " ".join(words(rng, 2) for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_passages(texts, 51)
+    at = next(k for k, t in enumerate(texts) if t and short[2] in t)
+    assert want[at] and max(b - a for a, b in want[at]) < 400 and not any(want[k] for k, t in enumerate(texts) if t and short[0] in t)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, passage=51).collect()}
+    assert [[tuple(x) for x in got[k]["passages"]] for k in range(len(texts))] == want
+    assert not got[at]["n_removed"]  # they are told, not removed
+    plain = suffix_dedup.remove_repeats(df).drop("passages")
+    assert rows_of(plain) == rows_of(suffix_dedup.remove_repeats(df, passage=51).drop("passages"))
+    one, split = (suffix_dedup.repeated_stretches(df, hot=h, passage=51).where("words") for h in (2000, 1))
+    cover = lambda df: {(r["rk"], i) for r in df.collect() for i in range(r["lo"], r["hi"] + 400)}
+    assert cover(one) == cover(split)
+
+
+def test_passages_of_texts_beyond_one_piece(spark):  # noqa: ANN001
+    long = " ".join(map(str, range(1_300_000)))  # 9 MB
+    w = long.split()
+    cut = long[: 8 << 20].count(" ")  # the word in which the first piece ends
+    short = " ".join(w[cut - 30 : cut + 40])
+    df = spark.createDataFrame([(1, long), (2, "q " + short + " q"), (3, " ".join(w[-51:])), (4, " ".join(w[-50:]))], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in suffix_dedup.remove_repeats(df, passage=51).select("doc_id", "passages").collect()}
+    a = long.index(short)
+    assert got == {1: [(a, a + len(short)), (len(long) - len(" ".join(w[-51:])), len(long))], 2: [(2, 2 + len(short))], 3: [(0, len(" ".join(w[-51:])))], 4: []}
+
+
+def test_shards_without_repeats_have_the_same_columns():
+    rng = random.Random(3)
+    rows = [(f"{k}.0", k, 0, 0, True, 1, False, words(rng, 200).encode()[:400]) for k in range(2)] + [("7.0", 9, 0, 0, True, 1, True, words(rng, 51).encode())]
+    names = ["shard", "rk", "lo", "hi", "single", "splits", "words", "bytes"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    out = list(suffix_dedup._in_shards(400, 51)(iter([batch])))
+    assert len(out) == 2 and out[0].schema == out[1].schema and out[0].schema.field("words").type == pa.bool_() and not sum(map(len, out))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     buf = rng.integers(97, 99, 600).astype(np.uint8)
