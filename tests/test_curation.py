@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import archive, curation, diffs, graph, messages
+from corpusloom.plans import knowledge
 from corpusloom.plans.relational import no_exclusions
 from corpusloom.sources import readers, tables
 from corpusloom.streaming import streams
@@ -217,3 +218,10 @@ def test_a_repeated_batch_replaces_its_records(spark, tmp_path):  # noqa: ANN001
     readers.append_records(row(2), out, 1)
     readers.append_records(row(3).where("id = 'a'"), out, 1)
     assert {r["id"]: r["v"] for r in readers.latest_records(spark, out, ["id"]).collect()} == {"a": 3, "b": 1}
+
+
+def test_rows_of_one_name_are_files_of_their_own(spark):  # noqa: ANN001
+    """Also where a task holds both: a file for each row, none with two rows in it."""
+    rows = spark.createDataFrame([("cmd/a.go", "package a"), ("cmd/a.go", "package b"), ("cmd/b.go", "package c")], "name string, content string").coalesce(1)
+    found = readers.read_source_files(spark, knowledge._as_files(rows, spark, "sources"), 2000, knowledge._file_name)
+    assert sorted(tuple(r) for r in found.select("path", "content").collect()) == [("cmd/a.go", "package a\n"), ("cmd/a.go", "package b\n"), ("cmd/b.go", "package c\n")]
