@@ -320,6 +320,15 @@ def test_near_duplicates_with_a_token_that_all_share(spark):  # noqa: ANN001
     assert sorted((r["fact_id"], r["other_id"]) for r in got) == sorted(want)
 
 
+def test_near_duplicates_of_equal_facts_are_compared_once(spark):  # noqa: ANN001
+    """4,000 equal facts make 16 million pairs, which are told, but not shuffled."""
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.col("id").alias("fact_id"), F.lit("large ring x1 steel").alias("text")).unionByName(spark.range(4000, 4010).select(F.lit("a").alias("k"), F.col("id").alias("fact_id"), F.lit("other").alias("text")))
+    got = retrieval.obs_near_dup_join(df, df, ["k"], materialize=tables.materialize)
+    began = time.time()
+    assert got.groupBy("similarity").count().collect() == [(1.0, 4000 * 4000 + 100)]
+    assert time.time() - began < 15
+
+
 # Writing ----------------------------------------------------------------------------------
 
 
@@ -375,3 +384,15 @@ def test_resolve_entities_cases(spark):  # noqa: ANN001
     rows = [(1, "OrderService", [], [0.99, 0.01, 0.0], ["handles orders", "stores rows"]), (2, "other", [], [0.0, 1.0, 0.0], ["handles orders"]), (3, "none", [], [], ["a fact"]), (4, "订单服务", ["o"], [1.0, 0.0, 0.0], ["Handles, orders"])]
     got = curation.resolve_entities(spark.createDataFrame(rows, "query_id int, name string, aliases array<string>, embedding array<double>, observations array<string>"), e).orderBy("query_id").collect()
     assert [(r["query_id"], r["name"], r["aliases"], r["observations"]) for r in got] == [(1, "订单服务", ["OrderService"], ["stores rows"]), (2, "other", [], ["handles orders"]), (3, "none", [], ["a fact"])]
+
+
+def test_resolution_grows_with_facts_not_with_their_square(spark):  # noqa: ANN001
+    """6,000 facts meet 6,000 of one entity: every third is told in other words."""
+    e = spark.range(6000).select(F.lit("x").alias("id"), F.lit("X").alias("name"), F.array(F.lit(1.0)).alias("embedding"), F.concat(F.lit("the number "), "id").alias("o"))
+    e = e.groupBy("id", "name", "embedding").agg(F.collect_list("o").alias("observations"))
+    text = F.when(F.col("id") % 3 == 0, F.concat("id", F.lit(", The number!"))).otherwise(F.concat(F.lit("the number "), F.col("id") + 6000))
+    rows = spark.range(6000).select(F.col("id").alias("query_id"), F.lit("X").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array(F.lit(1.0)).alias("embedding"), F.array(text, F.lit("?")).alias("observations"))
+    began = time.time()
+    got = curation.resolve_entities(rows, e, materialize=tables.materialize).select("query_id", F.size("observations").alias("n")).collect()
+    assert sorted((r["query_id"], r["n"]) for r in got) == [(i, 1 if i % 3 == 0 else 2) for i in range(6000)]
+    assert time.time() - began < 40
