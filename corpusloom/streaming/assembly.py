@@ -8,8 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MESSAGE = "message_id string, text string, status string, events long"
@@ -36,29 +35,27 @@ class Assembler(StatefulProcessor):
         self.deltas = handle.getListState("deltas", "seq long, delta string")
         self.known = handle.getValueState("known", "events long, last long, failed boolean, newest long, ended boolean, timer long")
 
-    def _ended(self, key: Any, deltas: dict[int, str], status: str) -> pd.DataFrame:
-        text = "".join(deltas[k] or "" for k in sorted(deltas))
-        return pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [status], "events": [len(deltas)]})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events, last, failed, newest, ended, timer = self.known.get() if self.known.exists() else (0, 0, False, 0, False, 0)
-        came = pd.concat(list(rows), ignore_index=True)
-        newest = max(int(newest), int(came["at_ms"].max()))
+    def _ended(self, key: Any, deltas: dict[int, str], status: str) -> Row:
+        return Row(message_id=key[0], text="".join(deltas[k] or "" for k in sorted(deltas)), status=status, events=len(deltas))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        events, last, failed, newest, ended, timer = self.known.get() or (0, 0, False, 0, False, 0)
+        deltas: dict[int, str] = {}
+        for r in rows:
+            seq, newest = r["event_seq"], max(newest, r["at_ms"])
+            if not ended and seq not in deltas:
+                deltas[seq] = r["delta"]
+                if (r["done"] or r["error"]) and seq > last:
+                    last, failed = seq, r["error"]
         if not ended:
-            new = came.drop_duplicates("event_seq")
-            closing = new[new["done"] | new["error"]]
-            if len(closing):
-                k = closing["event_seq"].astype("int64").idxmax()
-                if int(closing.at[k, "event_seq"]) > last:
-                    last, failed = int(closing.at[k, "event_seq"]), bool(closing.at[k, "error"])
             held = events > 0
-            events += len(new)
-            deltas = dict(zip(new["event_seq"].astype("int64").tolist(), new["delta"].tolist(), strict=True))
+            events += len(deltas)
             if last and events >= last:
-                deltas = ({int(r[0]): r[1] for r in self.deltas.get()} if held else {}) | deltas
+                deltas = ({r[0]: r[1] for r in self.deltas.get()} if held else {}) | deltas
                 if len(deltas) >= last:
-                    ended = True
-                    self.deltas.clear()
+                    ended, events = True, len(deltas)
+                    if held:
+                        self.deltas.clear()
                     yield self._ended(key, deltas, "interrupted" if failed else "complete")
                 else:  # some had come twice
                     events = len(deltas)
@@ -70,7 +67,7 @@ class Assembler(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.known.update((events, last, failed, newest, ended, timer))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         events, last, failed, newest, ended, timer = self.known.get()
         if newest + self.silence_ms > timerValues.getCurrentWatermarkInMs():  # it has spoken since
             timer = newest + self.silence_ms
@@ -78,8 +75,8 @@ class Assembler(StatefulProcessor):
             self.known.update((events, last, failed, newest, ended, timer))
             return
         if not ended:
-            yield self._ended(key, {int(r[0]): r[1] for r in self.deltas.get()}, "interrupted")
-        self.deltas.clear()
+            yield self._ended(key, {r[0]: r[1] for r in self.deltas.get()}, "interrupted")
+            self.deltas.clear()
         self.known.clear()
 
     def close(self) -> None:
@@ -98,4 +95,4 @@ def assembled(deltas: DataFrame, silence: str = "10 minutes", late: str = "1 min
     ms = int(spark.sql(f"SELECT (unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {silence})) div 1000").first()[0])
     x = deltas.withWatermark("at", late).where("message_id is not null and event_seq is not null")
     x = x.select(F.col("message_id").cast("string").alias("message_id"), F.col("event_seq").cast("long").alias("event_seq"), F.coalesce("delta", F.lit("")).alias("delta"), F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("error", F.lit(False)).alias("error"), F.unix_millis("at").alias("at_ms"), "at")
-    return x.groupBy("message_id").transformWithStateInPandas(statefulProcessor=Assembler(ms), outputStructType=MESSAGE, outputMode="Append", timeMode="EventTime")
+    return x.groupBy("message_id").transformWithState(statefulProcessor=Assembler(ms), outputStructType=MESSAGE, outputMode="Append", timeMode="EventTime")
