@@ -238,22 +238,32 @@ def _norm(s: str) -> str:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each mention's entity, component by component; what is held of one is its keys, not its mentions."""
+    """Each mention's entity, component by component; what is held of one is its keys, not its mentions.
+
+    A mention that joins an entity takes all of that entity's keys anew, so a key leads to the one of its entities that was joined last: keys know their entities, entities when
+    they were joined, and a mention costs as much as it has keys, however many its entity has.
+    """
     root = None
-    held: dict[str, int] = {}  # the entity that a key leads to
-    entities: list[tuple[str, list[str]]] = []  # name, keys
+    held: dict[str, list[int]] = {}  # the entities that have a key
+    names: list[str] = []
+    joined: list[int] = []  # when an entity took its keys last
     for batch in batches:
         canonical = []
         for at, name, aliases in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             if at != root:
-                root, held, entities = at, {}, []
+                root, held, names, joined, now = at, {}, [], [], 0
             keys = [k for k in map(_norm, [name, *(aliases or [])]) if k]
-            mine = next((held[k] for k in keys if k in held), None)
-            if mine is None:
-                mine = len(entities)
-                entities.append((name, []))
-            known = entities[mine][1]
-            known += [k for k in keys if k not in known]
-            held.update(dict.fromkeys(known, mine))
-            canonical.append(entities[mine][0])
+            own = next((held[k] for k in keys if k in held), None)
+            if own is None:
+                mine = len(names)
+                names.append(name)
+                joined.append(0)
+            else:
+                mine = own[0] if len(own) == 1 else max(own, key=joined.__getitem__)
+            now += 1
+            joined[mine] = now
+            for k in keys:
+                if mine not in (owners := held.setdefault(k, [])):
+                    owners.append(mine)
+            canonical.append(names[mine])
         yield pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(canonical, type=pa.string())], names=["namespace", "ordinal", "name", "canonical"])

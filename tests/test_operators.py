@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +150,32 @@ def test_recall_is_over_all_words_of_the_benchmark(spark):  # noqa: ANN001
     hits = {(r["query_id"], r["namespace"], r["id"]) for r in knowledge.recall(spark, d).where("kind = 'entity'").select("query_id", "namespace", "id").collect()}
     searched = {0: ("ns0", "ns1", "ns2"), 1: ("ns0", "ns2"), 2: ("ns1",)}
     assert {(i, ns, w) for i, t in texts.items() for ns, w in names if ns in searched[i % 3] and len(w) >= 3 and w in t} <= hits
+
+
+def _folded(rows):  # noqa: ANN001, ANN202
+    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())))]
+    return [x for b in graph._fold(iter([pa.RecordBatch.from_arrays(columns, names=["root", "namespace", "ordinal", "name", "aliases"])])) for x in b.column(3).to_pylist()]
+
+
+def test_folding_is_that_of_the_definition():
+    """A mention joins the entity that last took its first known key, and takes all of its keys anew."""
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [("r", "n", i, f"k{rng.randrange(9)}", [f"k{rng.randrange(9)}" for _ in range(rng.randrange(3))]) for i in range(30)]
+        held, entities, want = {}, [], []
+        for *_, name, aliases in rows:
+            keys = [name, *aliases]
+            mine = next((held[k] for k in keys if k in held), None)
+            if mine is None:
+                mine = len(entities)
+                entities.append((name, set()))
+            entities[mine][1].update(keys)
+            held.update(dict.fromkeys(entities[mine][1], mine))
+            want.append(entities[mine][0])
+        assert _folded(rows) == want
+
+
+def test_folding_grows_with_mentions_not_with_their_square():
+    began = time.time()
+    assert set(_folded([("r", "n", i, f"name {i}", ["grp", "band"]) for i in range(30_000)])) == {"name 0"}
+    assert time.time() - began < 5
