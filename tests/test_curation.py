@@ -222,6 +222,13 @@ def test_a_repeated_batch_replaces_its_records(spark, tmp_path):  # noqa: ANN001
 
 def test_rows_of_one_name_are_files_of_their_own(spark):  # noqa: ANN001
     """Also where a task holds both: a file for each row, none with two rows in it."""
-    rows = spark.createDataFrame([("cmd/a.go", "package a"), ("cmd/a.go", "package b"), ("cmd/b.go", "package c")], "name string, content string").coalesce(1)
+    rows = spark.createDataFrame([*[("cmd/a.go", f"package {i}") for i in range(100)], ("cmd/b.go", "package c")], "name string, content string").coalesce(1)
     found = readers.read_source_files(spark, knowledge._as_files(rows, spark, "sources"), 2000, knowledge._file_name)
-    assert sorted(tuple(r) for r in found.select("path", "content").collect()) == [("cmd/a.go", "package a\n"), ("cmd/a.go", "package b\n"), ("cmd/b.go", "package c\n")]
+    assert sorted(tuple(r) for r in found.select("path", "content").collect()) == sorted([*[("cmd/a.go", f"package {i}\n") for i in range(100)], ("cmd/b.go", "package c\n")])
+
+
+def test_files_are_written_by_all_tasks(spark):  # noqa: ANN001
+    """Few bytes in many files: one partition of rows is dealt to tasks, which name their files by their number."""
+    rows = spark.range(64).select(F.concat(F.lit("f"), "id").alias("name"), F.lit("x").alias("content")).coalesce(1)
+    paths = [r["path"] for r in spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(knowledge._as_files(rows, spark, "many")).select("path").collect()]
+    assert len(paths) == 64 and len({p.rsplit("/", 1)[1].split("-")[1] for p in paths}) >= spark.sparkContext.defaultParallelism
